@@ -92,7 +92,6 @@ def score_days(days: DataFrame, interval_width: float = 0.8) -> DataFrame:
         return F.coalesce(F.try_element_at(F.col(name), level), F.lit(0.0))
 
     trend = F.col("intercept") + F.col("slope") * F.date_diff("ds", "t0")
-    margin = interval_factor(interval_width) * F.coalesce("sigma", F.lit(0.0))
     model = ["t0", "slope", "intercept", "weekly", "yearly", "holidays", "sigma", "last_day", "n"]
     holiday = F.coalesce(holiday_name(F.col("ds")), F.lit(""))
     return (
@@ -102,12 +101,14 @@ def score_days(days: DataFrame, interval_width: float = 0.8) -> DataFrame:
                 "weekly_term": effect("weekly", F.dayofweek("ds")),
                 "yearly_term": effect("yearly", F.month("ds")),
                 "holidays_term": effect("holidays", holiday),
+                "margin": interval_factor(interval_width) * F.coalesce("sigma", F.lit(0.0)),
             }
         )
         .drop(*model)
         .withColumnsRenamed({"weekly_term": "weekly", "yearly_term": "yearly", "holidays_term": "holidays"})
         .withColumn("yhat", F.col("trend") + F.col("weekly") + F.col("yearly") + F.col("holidays"))
-        .withColumns({"yhat_lower": F.col("yhat") - margin, "yhat_upper": F.col("yhat") + margin})
+        .withColumns({"yhat_lower": F.col("yhat") - F.col("margin"), "yhat_upper": F.col("yhat") + F.col("margin")})
+        .drop("margin")
     )
 
 

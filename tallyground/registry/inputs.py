@@ -47,8 +47,8 @@ VIEWS = {
     "batch": "SELECT * FROM {ev} WHERE ts >= TIMESTAMP '2024-01-18 00:00:00'",
     # A dense grid of positions with types and clusters; cluster -1 is noise.
     "grid": """
-        SELECT l_orderkey * 8 + l_linenumber AS row_id, 42.2 + (l_partkey % 100) * 0.002 AS lat,
-               -71.2 + (l_suppkey % 100) * 0.002 AS lon, l_returnflag AS type, l_suppkey % 8 - 1 AS cluster
+        SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(42.2 + (l_partkey % 100) * 0.002 AS DOUBLE) AS lat,
+               CAST(-71.2 + (l_suppkey % 100) * 0.002 AS DOUBLE) AS lon, l_returnflag AS type, l_suppkey % 8 - 1 AS cluster
         FROM {lineitem}
     """,
 }

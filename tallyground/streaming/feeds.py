@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyground.functions.coerce import utc_naive
 from tallyground.plans.update import merged_table
 from tallyground.settings import cut_lineage
 from tallyground.sources import store
@@ -53,20 +54,25 @@ def stream_merge(
     )
 
 
+def _with_event_time(landed: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """Add ``event_time``, the instant of a zone-free UTC time, with a watermark; those need a TIMESTAMP."""
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp")
+    return landed.withColumn("event_time", instant).withWatermark("event_time", lateness)
+
+
 def stream_daily_counts(landed: DataFrame, ts: str, by: list[str], lateness: str = "1 day") -> DataFrame:
     """Daily counts of the days that the watermark has closed, for append output."""
-    day = F.window(ts, "1 day")
     return (
-        landed.withWatermark(ts, lateness)
-        .groupBy(day.alias("day"), *by)
+        _with_event_time(landed, ts, lateness)
+        .groupBy(F.window("event_time", "1 day").alias("day"), *by)
         .agg(F.count("*").alias("y"))
-        .select(*by, F.to_date("day.start").alias("ds"), "y")
+        .select(*by, F.to_date(utc_naive(F.col("day.start"))).alias("ds"), "y")
     )
 
 
 def stream_dedup(landed: DataFrame, ts: str, keys: list[str], lateness: str = "1 day") -> DataFrame:
     """First row per key; the state of a key is dropped once the watermark has passed it."""
-    return landed.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+    return _with_event_time(landed, ts, lateness).dropDuplicatesWithinWatermark(keys).drop("event_time")
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
