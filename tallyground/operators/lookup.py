@@ -30,7 +30,10 @@ def offense_lookup_join(
     )
     if on_duplicate == "first":
         named = named.groupBy("CODE").agg(F.min(offense_type).alias(offense_type))
-    return incidents.join(broadcast_if_small(named), F.col(code) == F.col("CODE"), "inner")
+    side = broadcast_if_small(named)
+    joined = incidents.join(side, incidents[code] == side["CODE"], "inner")
+    taken = "code" in [column.lower() for column in incidents.columns]
+    return joined.drop(side["CODE"]) if taken else joined
 
 
 def drop_null_offense(df: DataFrame, offense_type: str) -> DataFrame:
