@@ -112,10 +112,14 @@ def score_days(days: DataFrame, interval_width: float = 0.8) -> DataFrame:
     )
 
 
+def model_calendar(models: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Every model row beside each day from ``first`` to ``last``; both may refer to columns of the model."""
+    return models.select("*", F.explode(F.when(first <= last, F.sequence(first, last))).alias("ds"))
+
+
 def predict_components(models: DataFrame, first: Column, last: Column, interval_width: float = 0.8) -> DataFrame:
-    """Score every day from ``first`` to ``last``; both may refer to columns of the model row."""
-    calendar = F.explode(F.when(first <= last, F.sequence(first, last))).alias("ds")
-    return score_days(models.select("*", calendar), interval_width)
+    """Score every day from ``first`` to ``last``."""
+    return score_days(model_calendar(models, first, last), interval_width)
 
 
 def weekly_profile(forecast: DataFrame, by: list[str]) -> DataFrame:

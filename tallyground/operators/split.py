@@ -40,21 +40,19 @@ def date_split(daily: DataFrame, settings: ForecastSettings = ForecastSettings()
     return fixed_split(daily, settings) if settings.use_fixed_dates else ratio_split(daily, settings)
 
 
-def as_bounds(split: DataFrame) -> Column:
-    """The one-row split as a struct value, a scalar subquery rather than a join."""
-    return split.select(F.struct("*")).scalar()
+def as_literals(split: DataFrame) -> dict[str, Column]:
+    """The five dates of the one-row split as literals, so that filters on them reach the scan."""
+    row = split.first()
+    return {name: F.lit(row[name]).cast("date") for name in split.columns}
 
 
 def split_label(daily: DataFrame, split: DataFrame) -> DataFrame:
     """Add ``split``: train up to train_end, test up to test_end, buffer after it, before ahead of train_start."""
-    return (
-        daily.withColumn("bounds", as_bounds(split))
-        .withColumn(
-            "split",
-            F.when(F.col("ds") < F.col("bounds.train_start"), "before")
-            .when(F.col("ds") <= F.col("bounds.train_end"), "train")
-            .when(F.col("ds") <= F.col("bounds.test_end"), "test")
-            .otherwise("buffer"),
-        )
-        .drop("bounds")
+    bounds = as_literals(split)
+    return daily.withColumn(
+        "split",
+        F.when(F.col("ds") < bounds["train_start"], "before")
+        .when(F.col("ds") <= bounds["train_end"], "train")
+        .when(F.col("ds") <= bounds["test_end"], "test")
+        .otherwise("buffer"),
     )

@@ -5,37 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyground.operators.additive import fit_additive_sql, predict_components
+from tallyground.operators.additive import fit_additive_sql, model_calendar, score_days
 from tallyground.operators.baselines import baseline_errors
-from tallyground.operators.metrics import evaluate_forecast, series_metrics, test_results_join
-from tallyground.operators.ridge import fit_additive_ridge, predict_ridge
+from tallyground.operators.metrics import FORECAST_COLUMNS, error_metrics, series_metrics
+from tallyground.operators.ridge import fit_additive_ridge, score_ridge
 from tallyground.operators.series import cap_outliers, training_gate
-from tallyground.operators.split import as_bounds, date_split
-from tallyground.settings import ForecastSettings
+from tallyground.operators.split import as_literals, date_split
+from tallyground.settings import ForecastSettings, cut_lineage
 
 
 @dataclass(frozen=True)
 class Model:
-    """How to fit rows per key and how to score a range of days."""
+    """How to fit rows per key, and how to score rows that hold a model and a day."""
 
     fit: Callable[[DataFrame, list[str], ForecastSettings], DataFrame]
-    predict: Callable[[DataFrame, Column, Column, float], DataFrame]
+    score: Callable[[DataFrame, float], DataFrame]
 
 
 def _fit_closed_form(rows: DataFrame, by: list[str], settings: ForecastSettings) -> DataFrame:
     return fit_additive_sql(rows, by, settings.yearly_seasonality, settings.include_holidays)
 
 
-CLOSED_FORM = Model(_fit_closed_form, predict_components)
-RIDGE = Model(fit_additive_ridge, predict_ridge)
+CLOSED_FORM = Model(_fit_closed_form, score_days)
+RIDGE = Model(fit_additive_ridge, score_ridge)
 
 
 @dataclass(frozen=True)
 class ForecastResult:
-    """Frames keyed by the series; nothing is computed before they are used."""
+    """Frames keyed by the series. The models are stored; the rest is computed when used."""
 
     status: DataFrame
     models: DataFrame
@@ -45,26 +45,42 @@ class ForecastResult:
     metrics: DataFrame
 
 
-def phase_rows(daily: DataFrame, by: list[str], settings: ForecastSettings) -> DataFrame:
+def phase_rows(
+    daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings()
+) -> DataFrame:
     """Training rows of both fits with ``phase``, capped within each: ``initial`` to train_end, ``final`` to test_end.
 
-    Series below the training gate are left out. Both phases travel in one shuffle.
+    Series below the training gate are left out. The gate, the caps and the fit that follows all
+    work inside a series, so one shuffle serves them.
     """
-    bounds = F.col("bounds")
-    labelled = daily.withColumn("bounds", as_bounds(date_split(daily, settings)))
-    inside = labelled.filter((F.col("ds") >= bounds["train_start"]) & (F.col("ds") <= bounds["test_end"]))
-    phases = F.when(F.col("ds") <= bounds["train_end"], F.array(F.lit("initial"), F.lit("final"))).otherwise(
-        F.array(F.lit("final"))
+    ds = F.col("ds")
+    in_training = ds <= bounds["train_end"]
+    records = F.count_if(in_training).over(Window.partitionBy(*by))
+    phases = F.when(in_training, F.array(F.lit("initial"), F.lit("final"))).otherwise(F.array(F.lit("final")))
+    rows = (
+        daily.filter(ds.between(bounds["train_start"], bounds["test_end"]))
+        .withColumn("records", records)
+        .filter(F.col("records") >= settings.min_training_records)
+        .select(*by, "ds", "y", F.explode(phases).alias("phase"))
     )
-    rows = inside.select(*by, "ds", "y", F.explode(phases).alias("phase"))
-    gated = training_records(daily, by, settings).filter(F.col("status") == "ok").select(*by)
-    return cap_outliers(rows.join(gated, by, "left_semi"), [*by, "phase"], settings.outlier_threshold)
+    return cap_outliers(rows, [*by, "phase"], settings.outlier_threshold)
 
 
-def training_records(daily: DataFrame, by: list[str], settings: ForecastSettings) -> DataFrame:
-    """The gate of every series under the split of ``settings``."""
-    bounds = as_bounds(date_split(daily, settings))
-    return training_gate(daily, by, bounds["train_start"], bounds["train_end"], settings.min_training_records)
+def series_status(
+    daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings()
+) -> DataFrame:
+    """One row per series: success, skipped below the training gate, or error when the future range is wrong."""
+    gate = training_gate(daily, by, bounds["train_start"], bounds["train_end"], settings.min_training_records)
+    skipped = F.col("status") == "skipped"
+    too_early = F.date_diff(bounds["future_end"], bounds["test_end"]) < 1
+    return gate.select(
+        *by,
+        "records",
+        F.when(skipped, "skipped").when(too_early, "error").otherwise("success").alias("status"),
+        F.when(skipped, "Insufficient training data")
+        .when(too_early, "Future end date is before test end date")
+        .alias("reason"),
+    )
 
 
 def forecast(
@@ -73,45 +89,31 @@ def forecast(
     settings: ForecastSettings = ForecastSettings(),
     model: Model = CLOSED_FORM,
 ) -> ForecastResult:
-    """The whole job for all series at once. ``daily`` is small beside the incidents; hand it in checkpointed
-    or stored, because the bounds, the fit and the evaluation each read it."""
-    bounds = as_bounds(date_split(daily, settings))
-    rows = phase_rows(daily, by, settings)
-    models = model.fit(rows, [*by, "phase"], settings).withColumn("bounds", bounds)
-    initial, final = models.filter("phase = 'initial'"), models.filter("phase = 'final'")
-
-    test_end, width = F.col("bounds.test_end"), settings.interval_width
+    """The whole job for all series at once. ``daily`` is read several times: hand it in stored or cut."""
+    bounds = as_literals(date_split(daily, settings))
+    rows = phase_rows(daily, by, bounds, settings)
+    models = cut_lineage(model.fit(rows, [*by, "phase"], settings))
+    initial = models.filter("phase = 'initial'").drop("phase")
+    final = models.filter("phase = 'final'").drop("phase")
     train = rows.filter("phase = 'initial'").select(*by, "ds", "y")
-    test = (
-        daily.withColumn("bounds", bounds)
-        .filter((F.col("ds") > F.col("bounds.train_end")) & (F.col("ds") <= test_end))
-        .select(*by, "ds", "y")
-    )
+    width = settings.interval_width
+
+    # The test days are scored beside their model, which joins on the series alone.
+    test = daily.filter((F.col("ds") > bounds["train_end"]) & (F.col("ds") <= bounds["test_end"]))
+    scored_test = model.score(test.select(*by, "ds", "y").join(initial, by), width)
+    test_results = scored_test.select(*by, "ds", "y", *FORECAST_COLUMNS)
+    metrics = series_metrics(error_metrics(test_results, by), baseline_errors(train, test_results, by), by)
+
+    # A series without test rows is shown a fixed number of days ahead.
     last_test = test.groupBy(*by).agg(F.max("ds").alias("last_test"))
-    # Without test rows the initial model runs a fixed number of days ahead.
     horizon = F.coalesce("last_test", F.date_add("last_day", settings.fallback_days))
-    scored = model.predict(initial.join(last_test, by, "left"), F.col("t0"), horizon, width)
-    scored = scored.drop("phase", "bounds", "last_test")
-    future = model.predict(final, F.col("bounds.future_start"), F.col("bounds.future_end"), width)
-
-    known = test.join(initial.select(*by), by, "left_semi")
-    evaluation = evaluate_forecast(known, scored, by)
-    metrics = series_metrics(evaluation, baseline_errors(train, known, by), by)
-    gate = training_records(daily, by, settings).withColumn("bounds", bounds)
-    too_early = F.date_diff("bounds.future_end", "bounds.test_end") < 1
-    status = gate.select(
-        *by,
-        "records",
-        F.when(F.col("status") == "skipped", "skipped").when(too_early, "error").otherwise("success").alias("status"),
-        F.when(F.col("status") == "skipped", "Insufficient training data")
-        .when(too_early, "Future end date is before test end date")
-        .alias("reason"),
-    )
+    shown = model_calendar(initial.join(last_test, by, "left"), F.col("t0"), horizon).drop("last_test")
+    ahead = model_calendar(final, bounds["future_start"], bounds["future_end"])
     return ForecastResult(
-        status=status,
-        models=models.drop("bounds"),
-        test_results=test_results_join(known, scored, by),
-        forecast=scored,
-        future=future.drop("phase", "bounds"),
+        status=series_status(daily, by, bounds, settings),
+        models=models,
+        test_results=test_results,
+        forecast=model.score(shown, width),
+        future=model.score(ahead, width),
         metrics=metrics,
     )

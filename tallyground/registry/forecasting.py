@@ -28,7 +28,7 @@ def _forecast(spark, sf_dir, settings=ForecastSettings(), model=plan.CLOSED_FORM
 
 def _phase_rows(spark, sf_dir):
     daily = cut_lineage(incident_daily(spark, sf_dir))
-    return plan.phase_rows(daily, SERIES, ForecastSettings())
+    return plan.phase_rows(daily, SERIES, split.as_literals(split.ratio_split(daily)))
 
 
 # Series ----------------------------------------------------------------------------------------------------------
