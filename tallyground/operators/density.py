@@ -26,9 +26,11 @@ from tallyground.settings import cut_lineage
 NOISE = -1
 # Cell height as a share of eps: below 1/sqrt(2), so that a cell's diagonal is shorter than eps.
 CELL_SHARE = 0.7
-# A refinement step cuts a box into SPLIT × SPLIT; after the last step boxes are single points.
+# A refinement step cuts a crowded box into SPLIT × SPLIT; after the last step boxes are single points.
 SPLIT = 4
 LAST_LEVEL = 12
+# Cells with at most this many core positions are cut into single points at once.
+FEW_PLACES = 64
 # Bounds on distances leave this much room for rounding; links themselves are decided on real points.
 ROOM = 1e-9
 
@@ -194,8 +196,8 @@ def core_cells_linked(core: DataFrame, eps: float) -> DataFrame:
     """Edges ``u, v`` between the nodes of cells that have core points within eps of each other.
 
     ``core`` holds core points with the ``node`` of their cell. Pairs of neighbouring cells are
-    judged on their boxes. An open pair is judged again on the 4 × 4 parts of both, until a witness
-    is found or every part is out of reach.
+    judged on their boxes. An open pair is judged again on the parts of both, until a witness is found
+    or every part is out of reach: single points in cells with few of them, else 4 × 4 parts of each box.
     """
     pair = ["a_node", "b_node"]
     boxes = _boxes(core, ["node", *CELL])
@@ -211,7 +213,7 @@ def core_cells_linked(core: DataFrame, eps: float) -> DataFrame:
     edges = judged.filter("linked").select(*pair)
     open_pairs = judged.filter("not linked")
     level = 0
-    while not open_pairs.isEmpty():
+    while not judged.filter("not linked").isEmpty():
         parent, part = _part(level), _part(level + 1)
         level += 1
         busy = open_pairs.select(F.explode(F.array(*pair)).alias("node")).distinct()
@@ -236,20 +238,23 @@ def _part(level: int) -> Column:
     """Name of the box a point lies in at a refinement level."""
     if level == 0:
         return F.lit("0")
+    own = F.col("point").cast("string")
     if level > LAST_LEVEL:
-        return F.concat_ws("/", F.col("phi").cast("string"), F.col("lam").cast("string"))
+        return own
     grain = F.lit(float(SPLIT**level))
-    return F.concat_ws(
+    part = F.concat_ws(
         "/",
         F.floor(F.col("in_row") * grain).cast("string"),
         F.floor(F.col("in_column") * grain).cast("string"),
     )
+    return F.when(F.col("mates") <= FEW_PLACES, own).otherwise(part)
 
 
 def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Points with at least ``min_samples`` rows within eps, and ``node``: the smallest core point of the cell."""
+    """Points with at least ``min_samples`` rows within eps, with ``node``, the smallest core point of
+    their cell, and ``mates``, the number of core positions there."""
     core = neighbour_counts(points, eps, min_samples).filter(F.col("neighbours") >= min_samples)
-    nodes = core.groupBy(*CELL).agg(F.min("point").alias("node"))
+    nodes = core.groupBy(*CELL).agg(F.min("point").alias("node"), F.count("*").alias("mates"))
     return core.join(nodes, CELL)
 
 
@@ -300,6 +305,7 @@ def dbscan_clusters(
     """
     if not 0 < eps < 0.4:
         raise ValueError("eps is an angle in radians between 0 and 0.4")
+    df = df.drop("cluster")
     if by:
         df = df.filter(F.col(by).isNotNull())
     kind = F.col(by) if by else F.lit(0)

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyground.settings import broadcast_if_small
+
 
 def anti_join_new(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """New rows whose key is not stored. Rows without a key always pass, and stay out of the shuffle."""
-    stored = existing.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("stored_key")).distinct()
+    """New rows whose key is not stored. Rows without a key always pass, and stay out of the shuffle.
+
+    The stored keys are first reduced to those the batch asks for. With a batch of counted, broadcastable
+    size that happens while the stored table is scanned, so the large side is not shuffled.
+    """
     keyed = new.filter(F.col(key).isNotNull())
-    unseen = keyed.join(stored, F.col(key).cast("string") == F.col("stored_key"), "left_anti")
+    asked = keyed.select(F.col(key).cast("string").alias("stored_key")).distinct()
+    stored = existing.select(F.col(key).cast("string").alias("stored_key")).join(
+        broadcast_if_small(asked), "stored_key", "left_semi"
+    )
+    unseen = keyed.join(stored.distinct(), F.col(key).cast("string") == F.col("stored_key"), "left_anti")
     return unseen.unionByName(new.filter(F.col(key).isNull()))
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.operators.merge import merge_incremental
+from tallyground.operators.merge import anti_join_new, merge_incremental
 from tallyground.operators.quality import dataset_metadata, latest_date
 from tallyground.settings import cut_lineage
 from tallyground.sources import store
@@ -54,10 +54,7 @@ def merged_table(
     if len(touched) > MAX_TOUCHED_MONTHS or None in touched:
         return merge_incremental(existing, batch, key, dedup_keys, row_order), False
     # The key test reads one column of all months; the merge itself only the touched ones.
-    stored_keys = existing.select(key)
-    unseen = batch.join(
-        stored_keys.filter(F.col(key).isNotNull()).distinct(), key, "left_anti"
-    )
+    unseen = anti_join_new(batch, existing.select(key), key)
     nearby = store.read_incidents(spark, path).filter(F.col("month").isin(touched)).drop("month")
     return merge_incremental(nearby, unseen, key, dedup_keys, row_order), True
 

@@ -65,11 +65,10 @@ def pages_until_short(pages: DataFrame, batch_size: int, limit: int) -> DataFram
     """
     size = F.coalesce(F.size("result.records"), F.lit(0))
     failed = ~F.coalesce(F.col("success"), F.lit(False))
-    last = pages.filter(failed | (size < batch_size)).agg(F.min("offset")).scalar()
+    last = pages.filter(failed | (size < batch_size)).agg(F.coalesce(F.min("offset"), F.lit(limit))).scalar()
     return (
         pages.filter("success")
-        .filter(F.col("offset") < limit)
-        .filter(last.isNull() | (F.col("offset") <= last))
+        .filter((F.col("offset") < limit) & (F.col("offset") <= last))
         .select("offset", F.posexplode("result.records").alias("position", "record"))
         .filter(F.col("offset") + F.col("position") < limit)
         .select("record.*")

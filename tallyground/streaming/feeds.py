@@ -70,9 +70,16 @@ def stream_daily_counts(landed: DataFrame, ts: str, by: list[str], lateness: str
     )
 
 
-def stream_dedup(landed: DataFrame, ts: str, keys: list[str], lateness: str = "1 day") -> DataFrame:
-    """First row per key; the state of a key is dropped once the watermark has passed it."""
-    return _with_event_time(landed, ts, lateness).dropDuplicatesWithinWatermark(keys).drop("event_time")
+def stream_dedup(
+    landed: DataFrame, ts: str, keys: list[str], lateness: str = "1 day", salts: int = 16
+) -> DataFrame:
+    """First row per key; the state of a key is dropped once the watermark has passed it.
+
+    Streams have no map-side step for this, so a hot key is first reduced on ``salts`` tasks and then on one.
+    """
+    salted = _with_event_time(landed, ts, lateness).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    reduced = salted.dropDuplicatesWithinWatermark([*keys, "salt"]) if salts > 1 else salted
+    return reduced.dropDuplicatesWithinWatermark(keys).drop("event_time", "salt")
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
