@@ -213,7 +213,8 @@ def core_cells_linked(core: DataFrame, eps: float) -> DataFrame:
     edges = judged.filter("linked").select(*pair)
     open_pairs = judged.filter("not linked")
     level = 0
-    while not judged.filter("not linked").isEmpty():
+    # One step past LAST_LEVEL every box is a single point, and a pair of points is never open.
+    while level <= LAST_LEVEL and not judged.filter("not linked").isEmpty():
         parent, part = _part(level), _part(level + 1)
         level += 1
         busy = open_pairs.select(F.explode(F.array(*pair)).alias("node")).distinct()
@@ -238,7 +239,7 @@ def _part(level: int) -> Column:
     """Name of the box a point lies in at a refinement level."""
     if level == 0:
         return F.lit("0")
-    own = F.col("point").cast("string")
+    own = F.concat_ws("/", F.col("phi").cast("string"), F.col("lam").cast("string"))
     if level > LAST_LEVEL:
         return own
     grain = F.lit(float(SPLIT**level))
