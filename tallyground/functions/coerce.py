@@ -4,6 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+# The range of times a nanosecond clock can hold; others count as unreadable.
+FIRST_TIME, LAST_TIME = "1677-09-22 00:00:00", "2262-04-11 00:00:00"
 ZONED_TEXT = r"(?i)\d:\d\d.*(z|[+-]\d{1,2}(:?\d\d)?)\s*$"
 
 
@@ -25,9 +27,11 @@ def utc_naive(ts: Column) -> Column:
 
 def coerce_timestamp(text: Column) -> Column:
     """TIMESTAMP_NTZ from text; a zone in the text is converted to UTC, text without one is kept as it is."""
-    return F.when(text.rlike(ZONED_TEXT), utc_naive(text.try_cast("timestamp"))).otherwise(
+    ts = F.when(text.rlike(ZONED_TEXT), utc_naive(text.try_cast("timestamp"))).otherwise(
         text.try_cast("timestamp_ntz")
     )
+    first, last = (F.lit(bound).cast("timestamp_ntz") for bound in (FIRST_TIME, LAST_TIME))
+    return F.when(ts.between(first, last), ts)
 
 
 def parse_iso_timestamp(text: Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:

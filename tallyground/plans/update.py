@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyground.operators.merge import anti_join_new, merge_incremental
 from tallyground.operators.quality import dataset_metadata, latest_date
-from tallyground.settings import cut_lineage
 from tallyground.sources import store
 
 # A batch that touches more months than this is merged with the whole table.
@@ -35,28 +34,29 @@ def merged_table(
     row_order: list[str],
     ts: str,
     touched_months_only: bool = False,
-) -> tuple[DataFrame, bool]:
-    """The rows to write for ``batch``, and whether they replace only the months they lie in.
+) -> DataFrame:
+    """The rows to write for ``batch``.
 
-    The dedup keys hold the time, so a batch can only change the months of its own rows. Months
-    that were never merged keep their duplicates in that mode; the default merges the whole table.
+    A batch can only change the months of its own rows, since the dedup keys hold the time. With
+    ``touched_months_only`` the result has just those months; months that were never merged keep their
+    duplicates then. The default merges the whole table.
     """
     try:
         existing = store.read_incidents(spark, path).drop("month")
     except FileNotFoundError:
-        return merge_incremental(None, batch, key, dedup_keys, row_order), False
+        return merge_incremental(None, batch, key, dedup_keys, row_order)
     if ts not in dedup_keys:
-        touched_months_only = False
+        raise ValueError(f"dedup keys must hold the time column {ts!r}, or rows could leave their month")
     if not touched_months_only:
-        return merge_incremental(existing, batch, key, dedup_keys, row_order), False
+        return merge_incremental(existing, batch, key, dedup_keys, row_order)
     months = batch.select(F.date_format(ts, "yyyy-MM").alias("month")).distinct().limit(MAX_TOUCHED_MONTHS + 1)
     touched = [row.month for row in months.collect()]
     if len(touched) > MAX_TOUCHED_MONTHS or None in touched:
-        return merge_incremental(existing, batch, key, dedup_keys, row_order), False
+        return merge_incremental(existing, batch, key, dedup_keys, row_order)
     # The key test reads one column of all months; the merge itself only the touched ones.
     unseen = anti_join_new(batch, existing.select(key), key)
     nearby = store.read_incidents(spark, path).filter(F.col("month").isin(touched)).drop("month")
-    return merge_incremental(nearby, unseen, key, dedup_keys, row_order), True
+    return merge_incremental(nearby, unseen, key, dedup_keys, row_order)
 
 
 def update(
@@ -83,11 +83,8 @@ def update(
     batch = new_records(existing, landed, ts, lookback)
     if batch.isEmpty():
         return False
-    rows, partial = merged_table(
-        spark, path, batch, key, list(dedup_keys), list(row_order), ts, touched_months_only
-    )
-    # The rows come from the table they replace, so they are secured before the overwrite starts.
-    store.write_incidents(cut_lineage(rows), path, ts, touched_months_only=partial)
+    rows = merged_table(spark, path, batch, key, list(dedup_keys), list(row_order), ts, touched_months_only)
+    store.write_incidents(rows, path, ts)
     metadata = dataset_metadata(
         store.read_incidents(spark, path), ts, district, F.lit(datetime.now().isoformat())
     )

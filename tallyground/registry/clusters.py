@@ -191,9 +191,9 @@ def hotspot_status(spark, sf_dir):
 
 
 @query(
-    "generate_type_analyses",
+    "generate_crime_type_analyses",
     oracle("""SELECT label, cluster AS cluster_id, n AS "count",
               row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster) AS cluster_rank FROM {hot_counts}"""),
 )
-def generate_type_analyses(spark, sf_dir):
+def generate_crime_type_analyses(spark, sf_dir):
     return _hotspots(spark, sf_dir).counts

@@ -69,12 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A broadcast side may have at most this many rows; beyond it the join is shuffled and AQE splits hot keys.
-BROADCAST_ROWS = 200_000
+# A broadcast side may have at most this many bytes; beyond it the join is shuffled and AQE splits hot keys.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a bounded count proves it small, else leave the choice to Spark."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its measured size allows it, else leave the choice to Spark.
+
+    The size is that of the rows as text, summed in the tasks; nothing but the sum reaches the driver.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

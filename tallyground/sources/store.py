@@ -10,19 +10,18 @@ from tallyground.operators.quality import dataset_metadata
 from tallyground.sources.landing import require_table
 
 
-def write_incidents(df: DataFrame, path: str, ts: str, touched_months_only: bool = False) -> None:
-    """Store incidents by month of occurrence.
+def write_incidents(df: DataFrame, path: str, ts: str) -> None:
+    """Store incidents by month of occurrence, replacing the months that occur in ``df``.
 
-    REBALANCE lets AQE cut a hot month into files of even size. With ``touched_months_only`` Spark
-    replaces just the months that occur in ``df`` and leaves the other partitions alone.
+    REBALANCE lets AQE cut a hot month into files of even size. Dynamic overwrite stages the new files and
+    swaps them in when all tasks are done, so ``df`` may be derived from the table itself.
     """
-    mode = "dynamic" if touched_months_only else "static"
     (
         df.withColumn("month", F.date_format(ts, "yyyy-MM"))
         .hint("rebalance", F.col("month"))
         .sortWithinPartitions("month", ts)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")
         .parquet(path)
     )

@@ -41,10 +41,10 @@ def stream_merge(
         batch = cut_lineage(batch)
         if batch.isEmpty():
             return
-        rows, partial = merged_table(
+        rows = merged_table(
             batch.sparkSession, store_path, batch, key, dedup_keys, row_order, ts, touched_months_only
         )
-        store.write_incidents(cut_lineage(rows), store_path, ts, touched_months_only=partial)
+        store.write_incidents(rows, store_path, ts)
 
     return (
         landed.writeStream.foreachBatch(merge)

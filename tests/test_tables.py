@@ -12,8 +12,8 @@ from tallyground.functions.text import normalize_name
 from tallyground.operators import clean, lookup, merge, quality, sampling
 from tallyground.plans.daily import report
 from tallyground.plans.enrich import enrich
-from tallyground.plans.update import update
-from tallyground.settings import scratch_path
+from tallyground.plans.update import merged_table, update
+from tallyground.settings import broadcast_if_small, scratch_path
 from tallyground.sources import landing, store
 from tallyground.streaming import feeds
 
@@ -37,7 +37,7 @@ def test_numbers(spark, text, number, integer):
 @pytest.mark.parametrize("text, expected", [
     ("2023-01-01 00:00:00+00", dt.datetime(2023, 1, 1)), ("2024-01-01T10:00:00Z", dt.datetime(2024, 1, 1, 10)),
     ("2024-01-01 23:00:00-05:00", dt.datetime(2024, 1, 2, 4)), ("2024-01-01", dt.datetime(2024, 1, 1)),
-    ("2024-13-01", None), ("not a date", None), (None, None)])
+    ("2024-13-01", None), ("0001-01-01", None), ("9999-12-31", None), ("not a date", None), (None, None)])
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_timestamps_do_not_depend_on_the_session_zone(spark, text, expected, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
@@ -160,6 +160,22 @@ def test_update_store(spark, touched_only):
     assert info.total_records == 6 and info.districts == ["A", "B", "C"]
 
 
+def test_dedup_keys_must_hold_the_time(spark):
+    path = scratch_path(spark, "store")
+    store.write_incidents(incidents(spark, STORED), path, "ts")
+    with pytest.raises(ValueError):
+        merged_table(spark, path, incidents(spark, NEWER), "id", ["district"], ["seq"], "ts")
+
+
+def test_broadcast_needs_a_small_side(spark):
+    names = spark.range(1000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(broadcast_if_small(names)) and not hinted(broadcast_if_small(names, max_bytes=1000))
+
+
 def test_missing_table_raises(spark):
     with pytest.raises(FileNotFoundError):
         landing.require_table(spark, scratch_path(spark, "absent"))
