@@ -78,8 +78,8 @@ def grid_points(df: DataFrame, kind: Column, lat: str, lon: str, row_id: str, ep
 
 def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     """Tight box per key with its outermost points. Equal ``places`` 1 means a single position."""
-    def outermost(order: Column) -> Column:
-        return F.max_by(F.struct("phi", "lam"), order)
+    def corner(phi: Column, lam: Column) -> Column:
+        return F.struct(phi.alias("phi"), lam.alias("lam"))
 
     return points.groupBy(*keys).agg(
         F.count("*").alias("places"),
@@ -88,7 +88,10 @@ def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
         F.min("lam").alias("west"),
         F.max("lam").alias("east"),
         F.array(
-            outermost(F.col("phi")), outermost(-F.col("phi")), outermost(F.col("lam")), outermost(-F.col("lam"))
+            corner(F.min("phi"), F.min_by("lam", "phi")),
+            corner(F.max("phi"), F.max_by("lam", "phi")),
+            corner(F.min_by("phi", "lam"), F.min("lam")),
+            corner(F.max_by("phi", "lam"), F.max("lam")),
         ).alias("edge"),
     )
 

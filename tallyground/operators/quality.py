@@ -1,4 +1,7 @@
-"""Freshness, quality checks and the dataset summary. All read the rows once and reduce them by day first."""
+"""Freshness, quality checks and the dataset summary.
+
+All of them, and the daily counts, can be read from ``day_table``, which is one pass over the rows.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyground.functions.coerce import elapsed_days
+from tallyground.operators.clean import UNKNOWN
 
 
 def latest_date(df: DataFrame, ts: str) -> DataFrame:
@@ -17,6 +21,11 @@ def data_freshness(
     df: DataFrame, ts: str, as_of: Column, info_after: int = 30, warn_after: int = 90
 ) -> DataFrame:
     """Latest day, its age at ``as_of`` in whole days, and the level fresh, info, warning or unknown."""
+    return freshness_of(latest_date(df, ts), as_of, info_after, warn_after)
+
+
+def freshness_of(latest: DataFrame, as_of: Column, info_after: int = 30, warn_after: int = 90) -> DataFrame:
+    """Freshness of a one-row ``latest``."""
     age = elapsed_days(F.col("latest"), as_of)
     level = (
         F.when(F.col("days_old").isNull(), "unknown")
@@ -25,28 +34,41 @@ def data_freshness(
         .otherwise("fresh")
     )
     return (
-        latest_date(df, ts)
-        .select(F.to_date("latest").alias("latest_date"), age.alias("days_old"))
+        latest.select(F.to_date("latest").alias("latest_date"), age.alias("days_old"))
         .withColumn("level", level)
     )
 
 
-def quality_profile(df: DataFrame, ts: str, district: str | None) -> DataFrame:
-    """One row of counts that all checks are read from. Rows are reduced to days before the final step."""
-    missing = F.count_if(F.col(district).isNull()) if district else F.lit(0)
-    by_day = df.groupBy(F.to_date(ts).alias("day")).agg(
-        F.count("*").alias("n"), missing.alias("missing"), F.min(ts).alias("oldest"), F.max(ts).alias("newest")
+def day_table(df: DataFrame, ts: str, district: str | None) -> DataFrame:
+    """Rows per district and day as ``district, ds, y, oldest, newest``; missing districts and days stay NULL.
+
+    Without a district column all rows count as UNKNOWN.
+    """
+    name = F.col(district) if district else F.lit(UNKNOWN)
+    return df.groupBy(name.alias("district"), F.to_date(ts).alias("ds")).agg(
+        F.count("*").alias("y"), F.min(ts).alias("oldest"), F.max(ts).alias("newest")
     )
-    return by_day.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("day").isNull(), F.col("n"))), F.lit(0)).alias("invalid_dates"),
-        F.coalesce(F.sum("missing"), F.lit(0)).cast("bigint").alias("missing_districts"),
-        F.count("day").alias("unique_days"),
+
+
+def profile_of(days: DataFrame) -> DataFrame:
+    """One row of counts that all checks are read from."""
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("y"))), F.lit(0))
+
+    return days.agg(
+        rows_where(F.lit(True)).alias("n_rows"),
+        rows_where(F.col("ds").isNull()).alias("invalid_dates"),
+        rows_where(F.col("district").isNull()).alias("missing_districts"),
+        F.count_distinct("ds").alias("unique_days"),
         F.min("oldest").alias("oldest"),
         F.max("newest").alias("newest"),
     ).withColumn("span_days", elapsed_days(F.col("oldest"), F.col("newest")))
 
 
+def quality_profile(df: DataFrame, ts: str, district: str | None) -> DataFrame:
+    return profile_of(day_table(df, ts, district))
+
+
 def quality_checks(profile: DataFrame) -> DataFrame:
     """One row per check: name, severity, observed value, reference value, whether it fires, and a message."""
     n, bad, missing = F.col("n_rows"), F.col("invalid_dates"), F.col("missing_districts")
@@ -86,27 +108,19 @@ def validate_data(df: DataFrame, ts: str, district: str | None) -> DataFrame:
     return quality_checks(quality_profile(df, ts, district)).filter("fired").drop("fired")
 
 
-def dataset_metadata(
-    df: DataFrame,
-    ts: str,
-    district: str,
-    last_updated: Column,
-    data_source: str = "",
-    resource_id: str = "",
+def metadata_of(
+    days: DataFrame, last_updated: Column, data_source: str = "", resource_id: str = ""
 ) -> DataFrame:
-    """One nested row: date range, row count and the sorted districts.
-
-    Rows are reduced to one per district before the list is built, so the list holds each name once.
-    """
-    per_district = df.groupBy(district).agg(
-        F.count("*").alias("n"), F.min(ts).alias("oldest"), F.max(ts).alias("newest")
+    """One nested row: date range, row count and the sorted districts, each name once."""
+    per_district = days.groupBy("district").agg(
+        F.sum("y").alias("n"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest")
     )
     total_days = F.coalesce(elapsed_days(F.col("oldest"), F.col("newest")), F.lit(0))
     return per_district.agg(
         F.min("oldest").alias("oldest"),
         F.max("newest").alias("newest"),
         F.sum("n").alias("total_records"),
-        F.array_sort(F.collect_list(district)).alias("districts"),
+        F.array_sort(F.collect_list("district")).alias("districts"),
     ).select(
         last_updated.cast("string").alias("last_updated"),
         F.struct(
@@ -119,3 +133,14 @@ def dataset_metadata(
         F.lit(data_source).alias("data_source"),
         F.lit(resource_id).alias("resource_id"),
     )
+
+
+def dataset_metadata(
+    df: DataFrame,
+    ts: str,
+    district: str,
+    last_updated: Column,
+    data_source: str = "",
+    resource_id: str = "",
+) -> DataFrame:
+    return metadata_of(day_table(df, ts, district), last_updated, data_source, resource_id)

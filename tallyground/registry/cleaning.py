@@ -334,7 +334,8 @@ def preprocess_data(spark, sf_dir):
 
 @query("load_and_preprocess_data", oracle("SELECT district, ds, y FROM {daily}"))
 def load_and_preprocess_data(spark, sf_dir):
-    return daily_plan.daily(typed_incidents(spark, sf_dir), "ts", "district")
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    return daily_plan.load(typed_incidents(spark, sf_dir), "ts", "district", as_of).daily
 
 
 @query("distinct_series", oracle("SELECT district, count(*) OVER () AS series FROM (SELECT DISTINCT district FROM {inc_typed})"))

@@ -10,7 +10,7 @@ from tallyground.functions.coerce import coerce_integer, coerce_numeric, coerce_
 from tallyground.functions.holidays import us_holidays
 from tallyground.functions.text import normalize_name
 from tallyground.operators import clean, lookup, merge, quality, sampling
-from tallyground.plans.daily import report
+from tallyground.plans.daily import load
 from tallyground.plans.enrich import enrich
 from tallyground.plans.update import merged_table, update
 from tallyground.settings import broadcast_if_small, scratch_path
@@ -117,8 +117,19 @@ def test_quality_of_empty_and_bad_tables(spark):
     ("2024-01-31", "fresh"), ("2024-02-01", "info"), ("2024-03-31", "info"), ("2024-04-01", "warning")])
 def test_freshness(spark, as_of, level):
     rows = incidents(spark, [("1", "2024-01-01", "A", 1, 1), ("2", None, "A", 1, 2)])
-    fresh, _ = report(rows, "ts", "district", F.lit(as_of).cast("timestamp_ntz"))
-    assert fresh.first().level == level
+    result = load(rows, "ts", "district", F.lit(as_of).cast("timestamp_ntz"))
+    assert result.freshness.first().level == level
+    assert [(r.district, r.y) for r in result.daily.collect()] == [("A", 1)]
+    # One of two dates is unreadable.
+    assert [r.check for r in result.issues.collect()] == ["dates"]
+    assert result.metadata.first().total_records == 2
+
+
+def test_load_without_a_district_column(spark):
+    rows = incidents(spark, [("1", "2024-01-01", None, 1, 1)]).drop("district")
+    result = load(rows, "ts", "district", F.lit("2024-01-02").cast("timestamp_ntz"))
+    assert [(r.district, r.y) for r in result.daily.collect()] == [("UNKNOWN", 1)]
+    assert result.issues.isEmpty()
 
 
 def test_metadata_of_an_empty_table(spark):
