@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from tallyground.settings import cut_lineage
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Smallest neighbour per node; an aggregate with map-side combine, so a hub costs one row per task."""
+def _smallest_neighbour(edges: DataFrame) -> DataFrame:
+    """An aggregate with map-side combine, so a hub costs one row per task."""
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """True when every node has one edge to a root that has no edge itself: each component is a star."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return several.unionByName(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node with an edge that is not the smallest node of its component.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) on ``u, v``. Each round
-    is a fixed set of joins and aggregates and is checkpointed; the loop ends when a round changes nothing.
-    Joins meet a hub with a one-row side, which AQE splits when the hub is hot.
+    Alternating large-star and small-star steps (Kiveris et al. 2014) on ``u, v``. Each round is a fixed
+    set of joins and aggregates and is written to the shared folder. Joins meet a hub with a one-row side,
+    which AQE splits when the hub is hot.
     """
-    def fingerprint(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    current = cut_lineage(
-        edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    mark = fingerprint(current)
+    current = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = _star(both).select("u", F.least("u", "m").alias("m"))
+        smallest = _smallest_neighbour(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = _star(large)
+        smallest = _smallest_neighbour(large)
         small = (
             large.join(smallest, "u")
             .filter("v <> m")
@@ -40,6 +41,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         current = cut_lineage(small)
-        previous, mark = mark, fingerprint(current)
-        if mark == previous:
+        if _settled(current):
             return current.select("u", F.col("v").alias("root"))

@@ -127,3 +127,21 @@ def test_rank_ties_go_by_id(spark):
     assert ranks == {2: 1, 0: 2, 1: 3}
     assert hotspots.largest_cluster(counts, "kind").first().cluster_id == 2
     assert hotspots.top_clusters(counts, "kind", 2).filter(F.col("cluster_id") == 1).isEmpty()
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (240, 2))]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    expected = {n: find(n) for n in range(300) if find(n) != n}
+    got = {r.u: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == expected
