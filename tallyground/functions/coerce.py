@@ -21,8 +21,24 @@ def coerce_integer(text: Column) -> Column:
 
 
 def utc_naive(ts: Column) -> Column:
-    """TIMESTAMP to the zone-free wall time in UTC, whatever the session zone is."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    """TIMESTAMP to the zone-free wall time in UTC, whatever the session zone is.
+
+    Counted from the epoch: local wall times repeat an hour each autumn and cannot be converted back.
+    """
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).try_cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def minute_number(ts: Column) -> Column:
+    """Minutes since the epoch of a zone-free time, from its fields alone."""
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def utc_instant(ts: Column) -> Column:
+    """The TIMESTAMP of a zone-free time in UTC, the reverse of ``utc_naive``."""
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(minute_number(ts) * 60_000_000 + micros)
 
 
 def coerce_timestamp(text: Column) -> Column:

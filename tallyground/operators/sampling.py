@@ -16,14 +16,15 @@ def sample_per_type(df: DataFrame, by: str, row_id: str, n: int | None = 10000,
     """The ``n`` rows per group whose seeded hash comes first; groups below ``n`` stay whole.
 
     A window over the raw rows would pull a hot group into one task. Instead each group's rows are
-    counted by the bit length of the hash, which names the smallest power of two that still leaves at
+    counted by the magnitude of the hash, which names the smallest power of two that still leaves at
     least ``n`` rows below it. About ``n`` to ``2n`` rows per group pass that filter and reach the window.
     """
     if n is None:
         return df
     drawn = df.withColumn("draw", _draw(seed, row_id))
-    # 60 bits of the hash as a number; its bit length halves the rows with each step down.
-    bits = F.length(F.bin(F.conv(F.substring("draw", 1, 15), 16, 10).cast("bigint")))
+    # 60 bits of the hash as a number; its magnitude never falls as the hash grows, and halves the rows
+    # with each step down.
+    bits = F.coalesce(F.floor(F.log2(F.conv(F.substring("draw", 1, 15), 16, 10).cast("double"))), F.lit(-1))
     drawn = drawn.withColumn("bits", bits)
     sizes = drawn.groupBy(by, "bits").agg(F.count("*").alias("rows"))
     below = F.sum("rows").over(Window.partitionBy(by).orderBy("bits"))

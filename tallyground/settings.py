@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,20 @@ class HotspotSettings:
     min_days_yearly: int = 730
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyground-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only in a local session
+    without that setting, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallyground-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

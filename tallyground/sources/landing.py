@@ -5,12 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyground import schemas
-from tallyground.functions.coerce import error_message
+from tallyground.functions.coerce import error_message, minute_number
 
 
 def require_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -78,11 +78,35 @@ def pages_until_short(pages: DataFrame, batch_size: int, limit: int) -> DataFram
 def incremental_pull(
     df: DataFrame, ts: str, start: datetime | Column, limit: int | None = None, tie_break: str | None = None
 ) -> DataFrame:
-    """Rows after ``start`` in time order; ``limit`` is the page size of the pull."""
+    """Rows after ``start`` in time order; ``limit`` is the page size of the pull. ``ts`` is zone-free.
+
+    With a limit the rows are first counted per minute, which names the minute the limit falls into. Later rows
+    are filtered out in the scan instead of every task sending its first ``limit`` rows to one.
+    """
     order = [ts] if tie_break is None else [ts, tie_break]
     start = start if isinstance(start, Column) else F.lit(start)
-    newer = df.filter(F.col(ts) > start).orderBy(*order)
-    return newer if limit is None else newer.limit(limit)
+    newer = df.filter(F.col(ts) > start)
+    if limit is None:
+        return newer.orderBy(*order)
+    minute = minute_number(F.col(ts))
+    full = _first_minute_reaching(newer.groupBy(minute.alias("minute")).agg(F.count("*").alias("n")), limit)
+    return newer.filter(full.isNull() | (minute <= full)).orderBy(*order).limit(limit)
+
+
+def _first_minute_reaching(minutes: DataFrame, limit: int) -> Column:
+    """The first minute at which the running count reaches ``limit``, or NULL.
+
+    Days are summed first, so that the running counts cover the days and then the minutes of one day.
+    """
+    minutes = minutes.withColumn("day", F.floor(F.col("minute") / 1440))
+    total = F.sum("n").over(Window.orderBy("day"))
+    days = minutes.groupBy("day").agg(F.sum("n").alias("n")).select("day", "n", total.alias("upto"))
+    day = days.filter(F.col("upto") >= limit).agg(F.min_by(F.struct("day", F.col("upto") - F.col("n")), "day")).first()[0]
+    if day is None:
+        return F.lit(None).cast("bigint")
+    running = F.lit(day[1]) + F.sum("n").over(Window.orderBy("minute"))
+    inside = minutes.filter(F.col("day") == F.lit(day[0])).select("minute", running.alias("upto"))
+    return F.lit(inside.filter(F.col("upto") >= limit).agg(F.min("minute")).first()[0])
 
 
 def standardize_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:

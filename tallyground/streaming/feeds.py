@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyground.functions.coerce import utc_naive
+from tallyground.functions.coerce import utc_instant, utc_naive
 from tallyground.plans.update import merged_table
 from tallyground.settings import cut_lineage
 from tallyground.sources import store
@@ -56,8 +56,7 @@ def stream_merge(
 
 def _with_event_time(landed: DataFrame, ts: str, lateness: str) -> DataFrame:
     """Add ``event_time``, the instant of a zone-free UTC time, with a watermark; those need a TIMESTAMP."""
-    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp")
-    return landed.withColumn("event_time", instant).withWatermark("event_time", lateness)
+    return landed.withColumn("event_time", utc_instant(F.col(ts))).withWatermark("event_time", lateness)
 
 
 def stream_daily_counts(landed: DataFrame, ts: str, by: list[str], lateness: str = "1 day") -> DataFrame:

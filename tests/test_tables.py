@@ -6,14 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyground import schemas
-from tallyground.functions.coerce import coerce_integer, coerce_numeric, coerce_timestamp, elapsed_days
+from tallyground.functions.coerce import (
+    coerce_integer, coerce_numeric, coerce_timestamp, elapsed_days, utc_instant, utc_naive,
+)
 from tallyground.functions.holidays import us_holidays
 from tallyground.functions.text import normalize_name
 from tallyground.operators import clean, lookup, merge, quality, sampling
 from tallyground.plans.daily import load
 from tallyground.plans.enrich import enrich
 from tallyground.plans.update import merged_table, update
-from tallyground.settings import broadcast_if_small, scratch_path
+from tallyground.settings import broadcast_if_small, scratch_path, shared_folder
 from tallyground.sources import landing, store
 from tallyground.streaming import feeds
 
@@ -36,7 +38,10 @@ def test_numbers(spark, text, number, integer):
 
 @pytest.mark.parametrize("text, expected", [
     ("2023-01-01 00:00:00+00", dt.datetime(2023, 1, 1)), ("2024-01-01T10:00:00Z", dt.datetime(2024, 1, 1, 10)),
-    ("2024-01-01 23:00:00-05:00", dt.datetime(2024, 1, 2, 4)), ("2024-01-01", dt.datetime(2024, 1, 1)),
+    ("2024-01-01 23:00:00-05:00", dt.datetime(2024, 1, 2, 4)),
+    ("2024-11-03T05:30:00.25Z", dt.datetime(2024, 11, 3, 5, 30, 0, 250000)),
+    ("2024-11-03T06:30:00Z", dt.datetime(2024, 11, 3, 6, 30)), ("2024-03-10 02:30:00", dt.datetime(2024, 3, 10, 2, 30)),
+    ("1969-12-31T23:59:59.5Z", dt.datetime(1969, 12, 31, 23, 59, 59, 500000)), ("+20000-01-01T00:00:00Z", None), ("2024-01-01", dt.datetime(2024, 1, 1)),
     ("2024-13-01", None), ("0001-01-01", None), ("9999-12-31", None), ("not a date", None), (None, None)])
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_timestamps_do_not_depend_on_the_session_zone(spark, text, expected, zone):
@@ -48,6 +53,16 @@ def test_timestamps_do_not_depend_on_the_session_zone(spark, text, expected, zon
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_instants_reverse_naive_times(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT explode(array(timestamp_ntz'2024-11-03 05:30:00.123456', "
+                         "timestamp_ntz'2024-11-03 06:30:00', timestamp_ntz'1960-02-29 23:59:59.999999')) AS t")
+        assert rows.filter(utc_naive(utc_instant(F.col("t"))) == F.col("t")).count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_elapsed_days_round_down(spark):
     row = spark.sql("SELECT timestamp_ntz'2024-01-01 12:00:00' a, timestamp_ntz'2024-01-03 11:59:59' b").select(
         elapsed_days(F.col("a"), F.col("b")).alias("d")).first()
@@ -192,6 +207,23 @@ def test_missing_table_raises(spark):
         landing.require_table(spark, scratch_path(spark, "absent"))
 
 
+@pytest.mark.parametrize("limit", [1, 7, 60, 61, 150, 1000])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_incremental_pull_limit(spark, limit, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # Three rows share each time, 40 seconds apart, over the change to summer time.
+        rows = spark.range(600).selectExpr(
+            "id", "timestamp_ntz'2024-03-10 01:30:00' + make_dt_interval(0, 0, 0, (id div 3) * 40) AS ts")
+        start = dt.datetime(2024, 3, 10, 1, 35)
+        got = [r.id for r in landing.incremental_pull(
+            rows, "ts", F.lit(start.isoformat(" ")).cast("timestamp_ntz"), limit, "id").collect()]
+        after = [i for i in range(600) if dt.datetime(2024, 3, 10, 1, 30) + dt.timedelta(seconds=i // 3 * 40) > start]
+        assert got == after[:limit]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def page(offset, success, n, error=None):
     record = tuple([None] * len(schemas.RAW_INCIDENT))
     return (offset, success, error, ([record] * n,) if success else None)
@@ -247,3 +279,16 @@ def test_stream_drops_rows_behind_the_watermark(spark):
         feeds.write_available(counts, out, progress).awaitTermination()
     got = sorted((r.ds.day, r.y) for r in spark.read.parquet(out).collect())
     assert got == [(1, 1), (2, 1), (8, 1)]
+
+
+class _Session:
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_shared_folder():
+    assert shared_folder(_Session("/shared/steps", "yarn")) == "/shared/steps"
+    assert shared_folder(_Session(None, "local[8]")) == shared_folder(_Session(None, "local[8]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session(None, "yarn"))
