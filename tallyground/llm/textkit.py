@@ -58,6 +58,11 @@ class SpanHash:
         with np.errstate(over="ignore"):
             np.cumsum(codes * _powers(_BASE, n)[: len(codes)], out=self._sum[1:])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all spans of ``size``, in order."""
+        with np.errstate(over="ignore"):
+            return mix((self._sum[size:] - self._sum[:-size]) * self._back[: len(self._sum) - size] + _U(size))
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self._sum[ends] - self._sum[starts]) * self._back[starts] + (ends - starts).astype(_U))
