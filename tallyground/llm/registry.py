@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.llm import decontaminate, neighbours, packing, secrets, sharding, substrings, suffixes, toxicity
+from tallyground.llm import decontaminate, lines, minhash, neighbours, packing, secrets, sharding, substrings, suffixes, toxicity
 from tallyground.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +57,31 @@ def op5_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lost = lines.removed_lines(docs)
+    numbers = lambda c: F.concat_ws(",", F.transform(c, lambda n: n.cast("string"))).alias(f"{c}_lines")
+    found = lost.select("d", "k", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), numbers("exact"), numbers("near"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    every = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id"), F.lit(lines.LAST)).alias("d"), F.xxhash64(text).alias("k"))
+    return every.join(found, ["d", "k"], "left").drop("d", "k").fillna(0, ["n_lines", "n_exact", "n_near"]).fillna("", ["exact_lines", "near_lines"])
+
+
 @_query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@_query
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    own = lambda c: F.when(F.col(c) != minhash.LAST, F.col(c))
+    first = (F.col("d") == F.col("class_d")) & (F.col("k") == F.col("class_k"))
+    rows = found.select(own("d").alias("doc_id"), own("class_d").alias("class_id"), first.alias("is_first"), "copies")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
+
+
 @_query
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -75,3 +96,8 @@ def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.REJECT_AT).cast("int"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

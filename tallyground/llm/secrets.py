@@ -41,6 +41,8 @@ MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 # Bound of the training sample, values per kind and ordinary candidates.
 SAMPLE = 1000
 ALPHA = 0.05
+# A format counts only if an automaton makes it this much likelier than the background, in nats per character.
+LEAST_RATIO = 0.1
 
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 SYMBOL = np.full(128, -1, dtype=np.int64)
@@ -205,15 +207,13 @@ class Formats:
         self.automata, self.threshold = [], math.inf
         held = []
         for values in labelled.values():
-            # Every fifth value is held out to set the threshold.
+            # Every fifth value is held out; half the ratio that 95 % of those reach is the threshold.
             fit = [v for k, v in enumerate(values) if k % 5]
             if len(fit) >= 10:
                 self.automata.append(Automaton(fit))
                 held += values[::5]
         if self.automata:
-            self.threshold = max(0.0, float(np.quantile(self.ratio(held), 0.05)))
-            if ordinary:
-                self.threshold = max(self.threshold, float(np.quantile(self.ratio(ordinary), 0.99)))
+            self.threshold = max(LEAST_RATIO, 0.5 * float(np.quantile(self.ratio(held), 0.05)))
 
     def ratio(self, values: list[str]) -> np.ndarray:
         best = np.max([a.score(values) for a in self.automata], axis=0)

@@ -13,6 +13,8 @@ import pyarrow as pa
 
 # Bytes of text that are worked on at once; a longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
+# Rows in a slice, so that a row's number takes 14 bits.
+SLICE_ROWS = 1 << 14
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,14 +85,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES):
-    """``batch, data, offsets`` for consecutive slices of about ``size`` bytes of text, whole rows each."""
+    """``batch, data, offsets`` for consecutive slices of about ``size`` bytes of text and at most
+    ``SLICE_ROWS`` rows, whole rows each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
         row = 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+            stop = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1), row + SLICE_ROWS)
             yield (
                 batch.slice(row, stop - row),
                 data[offsets[row] : offsets[stop]],
