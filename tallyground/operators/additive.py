@@ -24,6 +24,7 @@ def fit_additive_sql(
     by: list[str],
     yearly: Column | bool = True,
     holidays: bool = True,
+    weekly: bool = True,
 ) -> DataFrame:
     """Fit ``ds, y`` per group, one term after another on what the earlier terms leave.
 
@@ -45,11 +46,11 @@ def fit_additive_sql(
         .withColumn("slope", slope)
         .withColumn("intercept", F.avg(y).over(group) - F.col("slope") * F.avg(t).over(group))
         .withColumn("rest", y - (F.col("intercept") + F.col("slope") * t))
-        .withColumn("weekday", F.dayofweek("ds"))
+        .withColumn("weekday", F.when(F.lit(weekly), F.dayofweek("ds")))
         .withColumn("month", F.when(yearly, F.month("ds")))
         .withColumn("holiday", holiday)
-        .withColumn("weekly_effect", mean_over(F.col("rest"), "weekday"))
-        .withColumn("rest", F.col("rest") - F.col("weekly_effect"))
+        .withColumn("weekly_effect", F.when(F.col("weekday").isNotNull(), mean_over(F.col("rest"), "weekday")))
+        .withColumn("rest", F.col("rest") - F.coalesce("weekly_effect", F.lit(0.0)))
         .withColumn("yearly_effect", F.when(F.col("month").isNotNull(), mean_over(F.col("rest"), "month")))
         .withColumn("rest", F.col("rest") - F.coalesce("yearly_effect", F.lit(0.0)))
         .withColumn("holiday_effect", F.when(F.col("holiday").isNotNull(), mean_over(F.col("rest"), "holiday")))
@@ -130,9 +131,9 @@ def yearly_profile(forecast: DataFrame, by: list[str]) -> DataFrame:
     return forecast.groupBy(*by, F.dayofyear("ds").alias("day_of_year")).agg(F.avg("yearly").alias("effect"))
 
 
-def holiday_join(daily: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Daily rows with the holiday of their day. The holiday table has a few rows per year and is broadcast."""
-    return daily.join(F.broadcast(holidays), "ds", "left")
+def holiday_join(daily: DataFrame) -> DataFrame:
+    """Daily rows with the holiday of their day, by rule, whatever the year."""
+    return daily.withColumn("holiday", holiday_name(F.col("ds")))
 
 
 def holiday_effects(forecast: DataFrame) -> DataFrame:

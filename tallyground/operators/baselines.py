@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BASELINES = ["naive", "ma7", "ma30"]
+
 
 def baseline_values(train: DataFrame, by: list[str]) -> DataFrame:
     """Per series: last value, and the mean of the last 7 and 30 observed rows."""
@@ -44,5 +46,5 @@ def seasonal_naive(train: DataFrame, test: DataFrame, by: list[str]) -> DataFram
 
 def baseline_errors(train: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
     """Mean absolute error of each baseline on the test rows."""
-    errors = [F.avg(F.abs(F.col("y") - F.col(name))).alias(f"{name}_mae") for name in ("naive", "ma7", "ma30")]
+    errors = [F.avg(F.abs(F.col("y") - F.col(name))).alias(f"{name}_mae") for name in BASELINES]
     return test.join(baseline_values(train, by), by).groupBy(*by).agg(*errors)

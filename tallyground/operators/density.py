@@ -181,7 +181,10 @@ def _neighbour_pairs(few: DataFrame, others: DataFrame, eps: float, value: str)
 
 
 def neighbour_counts(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Points with ``neighbours``: rows within eps, the point's own included, counted up to ``min_samples``."""
+    """Points with ``is_core``, at least ``min_samples`` rows within eps, the point's own included, and ``neighbours``, the
+    number of those rows for points that are not core. Core points are not counted out: that would list the pairs of
+    crowded cells.
+    """
     crowded = points.groupBy(*CELL).agg(F.sum("weight").alias("cell_weight"))
     # The sum per cell joins back on its own key; AQE splits a hot cell.
     sized = points.join(crowded, CELL)
@@ -189,9 +192,14 @@ def neighbour_counts(points: DataFrame, eps: float, min_samples: int) -> DataFra
     counted = (
         _neighbour_pairs(few, points, eps, "weight")
         .groupBy("kind", "point")
-        .agg(F.least(F.sum("weight"), F.lit(min_samples).cast("bigint")).alias("neighbours"))
+        .agg(F.sum("weight").alias("found"))
+        .withColumn("is_core", F.col("found") >= min_samples)
+        .withColumn("neighbours", F.when(~F.col("is_core"), F.col("found")))
+        .drop("found")
+    )
+    many = sized.filter(F.col("cell_weight") >= min_samples).withColumns(
+        {"is_core": F.lit(True), "neighbours": F.lit(None).cast("bigint")}
     )
-    many = sized.filter(F.col("cell_weight") >= min_samples).withColumn("neighbours", F.lit(min_samples).cast("bigint"))
     return many.unionByName(few.join(counted, ["kind", "point"])).drop("cell_weight")
 
 
@@ -257,7 +265,7 @@ def _part(level: int) -> Column:
 def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """Points with at least ``min_samples`` rows within eps, with ``node``, the smallest core point of
     their cell, and ``mates``, the number of core positions there."""
-    core = neighbour_counts(points, eps, min_samples).filter(F.col("neighbours") >= min_samples)
+    core = neighbour_counts(points, eps, min_samples).filter("is_core")
     nodes = core.groupBy(*CELL).agg(F.min("point").alias("node"), F.count("*").alias("mates"))
     return core.join(nodes, CELL)
 

@@ -11,7 +11,7 @@ from tallyground.operators.clean import valid_coordinates
 from tallyground.operators.density import NOISE, dbscan_clusters
 from tallyground.operators.sampling import sample_per_type
 from tallyground.operators.series import daily_counts_dense
-from tallyground.settings import HotspotSettings, broadcast_if_small
+from tallyground.settings import HotspotSettings
 
 # Colours of the ranks on a map.
 RANK_COLOURS = ["red", "blue", "green", "purple", "orange"]
@@ -49,7 +49,7 @@ def top_cluster_points(clustered: DataFrame, by: str, n: int = 5) -> DataFrame:
     )
     colours = F.array(*[F.lit(c) for c in RANK_COLOURS])
     position = F.pmod(F.col("cluster_rank") - 1, F.lit(len(RANK_COLOURS))).cast("int")
-    return clustered.join(broadcast_if_small(ranked), [by, "cluster"]).withColumn("colour", F.get(colours, position))
+    return clustered.join(ranked, [by, "cluster"]).withColumn("colour", F.get(colours, position))
 
 
 def cluster_centroid(clustered: DataFrame, by: str, lat: str, lon: str) -> DataFrame:
@@ -123,7 +123,7 @@ def cluster_forecast(
     Days are dense. Series shorter than ``min_days_weekly`` are left out; yearly effects need ``min_days_yearly``.
     """
     largest = largest_cluster(cluster_counts(clustered, by), by).select(by, F.col("cluster_id").alias("cluster"))
-    rows = clustered.join(broadcast_if_small(largest), [by, "cluster"])
+    rows = clustered.join(largest, [by, "cluster"])
     dense = daily_counts_dense(rows, ts, [by, "cluster"])
     days = F.count("*").over(Window.partitionBy(by, "cluster"))
     models = fit_additive_sql(
@@ -144,9 +144,9 @@ def hotspot_status(sample: DataFrame, clustered: DataFrame, forecast: DataFrame,
     )
     days = forecast.groupBy(by).agg(F.count("*").alias("forecast_days"))
     reason = (
-        F.when(F.col("points").isNull(), "No valid coordinates")
-        .when(F.col("grouped") == 0, "No meaningful clusters")
-        .when(F.col("forecast_days").isNull(), "Could not generate forecast")
+        F.when(F.col("points").isNull(), "no row has a usable position")
+        .when(F.col("grouped") == 0, "every row is noise")
+        .when(F.col("forecast_days").isNull(), "the largest cluster has too few days")
     )
     return (
         sample.select(by).distinct().join(points, by, "left").join(days, by, "left")

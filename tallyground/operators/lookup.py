@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyground.settings import broadcast_if_small
-
 
 def offense_lookup_join(
     incidents: DataFrame,
@@ -20,8 +18,8 @@ def offense_lookup_join(
     """Incidents with the name of their code; rows without a name are dropped.
 
     A repeated code multiplies rows (``fanout``) unless ``on_duplicate`` is ``first``, which keeps
-    its smallest name. A NULL code never matches. The lookup is broadcast when its counted size allows;
-    otherwise the join is shuffled and AQE splits a hot code.
+    its smallest name. A NULL code never matches. Spark broadcasts a small lookup by its own
+    estimate; otherwise the join is shuffled and AQE splits a hot code.
     """
     if on_duplicate not in ("fanout", "first"):
         raise ValueError(f"on_duplicate must be 'fanout' or 'first', not {on_duplicate!r}")
@@ -30,10 +28,9 @@ def offense_lookup_join(
     )
     if on_duplicate == "first":
         named = named.groupBy("CODE").agg(F.min(offense_type).alias(offense_type))
-    side = broadcast_if_small(named)
-    joined = incidents.join(side, incidents[code] == side["CODE"], "inner")
+    joined = incidents.join(named, incidents[code] == named["CODE"], "inner")
     taken = "code" in [column.lower() for column in incidents.columns]
-    return joined.drop(side["CODE"]) if taken else joined
+    return joined.drop(named["CODE"]) if taken else joined
 
 
 def drop_null_offense(df: DataFrame, offense_type: str) -> DataFrame:

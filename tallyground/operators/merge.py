@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyground.settings import broadcast_if_small
-
 
 def anti_join_new(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """New rows whose key is not stored. Rows without a key always pass, and stay out of the shuffle.
 
-    The stored keys are first reduced to those the batch asks for. With a batch of counted, broadcastable
-    size that happens while the stored table is scanned, so the large side is not shuffled.
+    The stored keys are first reduced to those the batch asks for, so that a hot stored key costs one row.
     """
+    stored_key = F.col(key).cast("string").alias("stored_key")
     keyed = new.filter(F.col(key).isNotNull())
-    asked = keyed.select(F.col(key).cast("string").alias("stored_key")).distinct()
-    stored = existing.select(F.col(key).cast("string").alias("stored_key")).join(
-        broadcast_if_small(asked), "stored_key", "left_semi"
-    )
-    unseen = keyed.join(stored.distinct(), F.col(key).cast("string") == F.col("stored_key"), "left_anti")
+    stored = existing.select(stored_key).join(keyed.select(stored_key), "stored_key", "left_semi").distinct()
+    unseen = keyed.join(stored, F.col(key).cast("string") == F.col("stored_key"), "left_anti")
     return unseen.unionByName(new.filter(F.col(key).isNull()))
 
 
@@ -42,12 +37,17 @@ def merge_incremental(
 ) -> DataFrame:
     """Stored rows plus the unseen rows of the batch, the later row winning per ``dedup_keys``.
 
-    Without a stored table the batch is returned as it is. Stored rows rank below new ones;
-    within each side ``row_order`` decides.
+    The batch is reduced to its own winners first; within each side ``row_order`` decides, and stored rows rank below
+    new ones. A row that lost within its batch therefore stays out when the batch comes again.
     """
+    batch = dedup_keep_last(batch, dedup_keys, row_order)
     if existing is None:
         return batch
-    unseen = anti_join_new(batch, existing, key)
+    return later_wins(existing, anti_join_new(batch, existing, key), dedup_keys, row_order)
+
+
+def later_wins(existing: DataFrame, unseen: DataFrame, dedup_keys: list[str], row_order: list[str]) -> DataFrame:
+    """One row per ``dedup_keys`` of both tables; new rows rank above stored ones."""
     both = concat_batches(existing.withColumn("source_rank", F.lit(0)), unseen.withColumn("source_rank", F.lit(1)))
     return dedup_keep_last(both, dedup_keys, ["source_rank", *row_order]).drop("source_rank")
 

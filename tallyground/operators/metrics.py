@@ -22,16 +22,21 @@ def test_results_join(actual: DataFrame, forecast: DataFrame, by: list[str]) ->
     return actual.join(forecast.select(*keys, *FORECAST_COLUMNS), keys, "left")
 
 
-def error_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
-    """MAE, RMSE, MAPE in percent, interval coverage as a share, and the row count per series."""
+def error_metrics(scored: DataFrame, by: list[str], baselines: list[str] | None = None) -> DataFrame:
+    """MAE, RMSE, MAPE in percent, interval coverage as a share, and the row count per series.
+
+    ``baselines`` names further forecasts in the same rows; each adds its MAE.
+    """
     y, yhat = F.col("y").cast("double"), F.col("yhat")
     covered = (y >= F.col("yhat_lower")) & (y <= F.col("yhat_upper"))
+    others = [F.avg(F.abs(y - F.col(name))).alias(f"baseline_{name}_mae") for name in baselines or []]
     return scored.groupBy(*by).agg(
         F.avg(F.abs(y - yhat)).alias("mae"),
         F.sqrt(F.avg(F.pow(y - yhat, F.lit(2.0)))).alias("rmse"),
         (F.avg(F.abs(y - yhat) / F.greatest(F.abs(y), F.lit(MACHINE_EPS))) * 100).alias("mape"),
         F.avg(covered.cast("double")).alias("coverage"),
         F.count("*").alias("test_samples"),
+        *others,
     )
 
 
@@ -48,16 +53,11 @@ def fallback_metrics(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def series_metrics(evaluation: DataFrame, baselines: DataFrame, by: list[str]) -> DataFrame:
-    """Errors of the model and of the baselines in one row per series."""
-    return (
-        evaluation.join(baselines, by)
-        .withColumnsRenamed(
-            {"naive_mae": "baseline_naive_mae", "ma7_mae": "baseline_ma7_mae", "ma30_mae": "baseline_ma30_mae"}
-        )
-        .withColumn("improvement_pct", improvement_pct(F.col("baseline_naive_mae"), F.col("mae")))
-        .withColumn("quality", quality_flag(F.col("improvement_pct")))
-    )
+def series_metrics(errors: DataFrame) -> DataFrame:
+    """Errors of the model and of the baselines with the gain over the naive forecast, one row per series."""
+    return errors.withColumn(
+        "improvement_pct", improvement_pct(F.col("baseline_naive_mae"), F.col("mae"))
+    ).withColumn("quality", quality_flag(F.col("improvement_pct")))
 
 
 def summary_means(metrics: DataFrame) -> DataFrame:

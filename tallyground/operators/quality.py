@@ -88,17 +88,15 @@ def quality_checks(profile: DataFrame) -> DataFrame:
     share = F.format_string("%.1f", F.try_divide(bad * 100.0, n))
     covered = F.format_string("%.1f", F.try_divide(days * 100.0, span))
     checks = [
-        check("empty", "ERROR", n, F.lit(0), n == 0, F.lit("Data is empty")),
+        check("empty", "ERROR", n, F.lit(0), n == 0, F.lit("no rows")),
         check("dates", "WARNING", bad, n, filled & (bad > n * 0.1),
-              F.concat(bad, F.lit(" rows ("), share, F.lit("%) have invalid dates"))),
+              F.concat(bad, F.lit(" of "), n, F.lit(" times are unreadable, "), share, F.lit("%"))),
         check("districts", "WARNING", missing, n, filled & (missing > 0),
-              F.concat(missing, F.lit(" rows missing district"))),
+              F.concat(missing, F.lit(" of "), n, F.lit(" districts are empty"))),
         check("coverage", "WARNING", days, span, (span > 0) & (days < span * 0.8),
-              F.concat(F.lit("Only "), days, F.lit(" unique days out of "), span, F.lit(" expected ("),
-                       covered, F.lit("% coverage)"))),
+              F.concat(days, F.lit(" days occur in a range of "), span, F.lit(", "), covered, F.lit("%"))),
         check("span", "WARNING", span, F.lit(3650), span > 3650,
-              F.concat(F.lit("Data spans more than 10 years ("), F.to_date("oldest"), F.lit(" to "),
-                       F.to_date("newest"), F.lit(")"))),
+              F.concat(F.lit("over ten years, from "), F.to_date("oldest"), F.lit(" until "), F.to_date("newest"))),
     ]
     return profile.select(F.inline(F.array(*checks)))
 
@@ -111,7 +109,10 @@ def validate_data(df: DataFrame, ts: str, district: str | None) -> DataFrame:
 def metadata_of(
     days: DataFrame, last_updated: Column, data_source: str = "", resource_id: str = ""
 ) -> DataFrame:
-    """One nested row: date range, row count and the sorted districts, each name once."""
+    """One nested row: date range, row count and the sorted districts, each name once.
+
+    The list of districts is one array, as large as the district dimension.
+    """
     per_district = days.groupBy("district").agg(
         F.sum("y").alias("n"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest")
     )

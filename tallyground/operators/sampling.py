@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyground.settings import broadcast_if_small, cut_lineage
+from tallyground.settings import cut_lineage
 
 
 def _draw(seed: int, row_id: str) -> Column:
@@ -34,7 +34,7 @@ def sample_per_type(df: DataFrame, by: str, row_id: str, n: int | None = 10000,
         .agg(F.coalesce(F.min(F.when(F.col("below") >= n, F.col("bits"))), F.max("bits")).alias("cutoff"))
     )
     candidates = drawn.join(
-        broadcast_if_small(cut_lineage(cutoffs)), F.col(by).eqNullSafe(F.col("group")), "inner"
+        cut_lineage(cutoffs), F.col(by).eqNullSafe(F.col("group")), "inner"
     ).filter(F.col("bits") <= F.col("cutoff"))
     first = Window.partitionBy(by).orderBy("draw", row_id)
     return (

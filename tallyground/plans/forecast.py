@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyground.operators.additive import fit_additive_sql, model_calendar, score_days
-from tallyground.operators.baselines import baseline_errors
+from tallyground.operators.baselines import BASELINES, baseline_values
 from tallyground.operators.metrics import FORECAST_COLUMNS, error_metrics, series_metrics
 from tallyground.operators.ridge import fit_additive_ridge, score_ridge
 from tallyground.operators.series import cap_outliers, training_gate
@@ -26,7 +26,7 @@ class Model:
 
 
 def _fit_closed_form(rows: DataFrame, by: list[str], settings: ForecastSettings) -> DataFrame:
-    return fit_additive_sql(rows, by, settings.yearly_seasonality, settings.include_holidays)
+    return fit_additive_sql(rows, by, settings.yearly_seasonality, settings.include_holidays, settings.weekly_seasonality)
 
 
 CLOSED_FORM = Model(_fit_closed_form, score_days)
@@ -48,17 +48,18 @@ class ForecastResult:
 def phase_rows(
     daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings()
 ) -> DataFrame:
-    """Training rows of both fits with ``phase``, capped within each: ``initial`` to train_end, ``final`` to test_end.
+    """Training rows of both fits with ``phase``, capped within each: ``initial`` from train_start to train_end, ``final``
+    all rows to test_end.
 
     Series below the training gate are left out. The gate, the caps and the fit that follows all
     work inside a series, so one shuffle serves them.
     """
     ds = F.col("ds")
-    in_training = ds <= bounds["train_end"]
+    in_training = ds.between(bounds["train_start"], bounds["train_end"])
     records = F.count_if(in_training).over(Window.partitionBy(*by))
     phases = F.when(in_training, F.array(F.lit("initial"), F.lit("final"))).otherwise(F.array(F.lit("final")))
     rows = (
-        daily.filter(ds.between(bounds["train_start"], bounds["test_end"]))
+        daily.filter(ds <= bounds["test_end"])
         .withColumn("records", records)
         .filter(F.col("records") >= settings.min_training_records)
         .select(*by, "ds", "y", F.explode(phases).alias("phase"))
@@ -66,19 +67,23 @@ def phase_rows(
     return cap_outliers(rows, [*by, "phase"], settings.outlier_threshold)
 
 
+def _too_early(bounds: dict[str, Column]) -> Column:
+    return F.date_diff(bounds["future_end"], bounds["test_end"]) < 1
+
+
 def series_status(
     daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings()
 ) -> DataFrame:
     """One row per series: success, skipped below the training gate, or error when the future range is wrong."""
     gate = training_gate(daily, by, bounds["train_start"], bounds["train_end"], settings.min_training_records)
     skipped = F.col("status") == "skipped"
-    too_early = F.date_diff(bounds["future_end"], bounds["test_end"]) < 1
+    too_early = _too_early(bounds)
     return gate.select(
         *by,
         "records",
         F.when(skipped, "skipped").when(too_early, "error").otherwise("success").alias("status"),
-        F.when(skipped, "Insufficient training data")
-        .when(too_early, "Future end date is before test end date")
+        F.when(skipped, "too few training days")
+        .when(too_early, "the months ahead end before the test range")
         .alias("reason"),
     )
 
@@ -91,7 +96,7 @@ def forecast(
 ) -> ForecastResult:
     """The whole job for all series at once. ``daily`` is read several times: hand it in stored or cut."""
     bounds = as_literals(date_split(daily, settings))
-    rows = phase_rows(daily, by, bounds, settings)
+    rows = cut_lineage(phase_rows(daily, by, bounds, settings))
     models = cut_lineage(model.fit(rows, [*by, "phase"], settings))
     initial = models.filter("phase = 'initial'").drop("phase")
     final = models.filter("phase = 'final'").drop("phase")
@@ -100,15 +105,17 @@ def forecast(
 
     # The test days are scored beside their model, which joins on the series alone.
     test = daily.filter((F.col("ds") > bounds["train_end"]) & (F.col("ds") <= bounds["test_end"]))
-    scored_test = model.score(test.select(*by, "ds", "y").join(initial, by), width)
+    beside = initial.join(baseline_values(train, by), by)
+    scored_test = model.score(test.select(*by, "ds", "y").join(beside, by), width)
     test_results = scored_test.select(*by, "ds", "y", *FORECAST_COLUMNS)
-    metrics = series_metrics(error_metrics(test_results, by), baseline_errors(train, test_results, by), by)
+    metrics = series_metrics(error_metrics(scored_test, by, BASELINES))
 
     # A series without test rows is shown a fixed number of days ahead.
     last_test = test.groupBy(*by).agg(F.max("ds").alias("last_test"))
     horizon = F.coalesce("last_test", F.date_add("last_day", settings.fallback_days))
     shown = model_calendar(initial.join(last_test, by, "left"), F.col("t0"), horizon).drop("last_test")
-    ahead = model_calendar(final, bounds["future_start"], bounds["future_end"])
+    # The range ahead is the same for all series; where it is in error, none has a future.
+    ahead = model_calendar(final, bounds["future_start"], bounds["future_end"]).filter(~_too_early(bounds))
     return ForecastResult(
         status=series_status(daily, by, bounds, settings),
         models=models,

@@ -2,61 +2,50 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.operators.merge import anti_join_new, merge_incremental
-from tallyground.operators.quality import dataset_metadata, latest_date
-from tallyground.sources import store
+from tallyground import schemas
+from tallyground.functions.coerce import coerce_timestamp
+from tallyground.operators.merge import anti_join_new, dedup_keep_last, later_wins
+from tallyground.operators.quality import dataset_metadata
+from tallyground.settings import cut_lineage
+from tallyground.sources import landing, store
 
-# A batch that touches more months than this is merged with the whole table.
-MAX_TOUCHED_MONTHS = 600
 
-
-def new_records(
-    existing: DataFrame | None, landed: DataFrame, ts: str, lookback: timedelta = timedelta(0)
-) -> DataFrame:
-    """Landed rows from ``lookback`` before the latest stored time on; all of them without a stored table."""
-    if existing is None:
-        return landed
-    since = latest_date(existing, ts).scalar() - F.lit(lookback)
-    return landed.filter(since.isNull() | F.col(ts).isNull() | (F.col(ts) >= since))
+def landed_incidents(spark: SparkSession, path: str, ts: str = "OCCURRED_ON_DATE") -> DataFrame:
+    """The records of landed page files with all their columns and ``row_seq``; the time is typed, the rest stays text."""
+    rows = landing.scan_api_pages(landing.read_pages(spark, path, schemas.RAW_INCIDENT))
+    return rows.withColumn(ts, coerce_timestamp(F.col(ts)))
 
 
 def merged_table(
-    spark: SparkSession,
-    path: str,
-    batch: DataFrame,
-    key: str,
-    dedup_keys: list[str],
-    row_order: list[str],
-    ts: str,
-    touched_months_only: bool = False,
+    spark: SparkSession, path: str, batch: DataFrame, key: str, dedup_keys: list[str], row_order: list[str], ts: str
 ) -> DataFrame:
-    """The rows to write for ``batch``.
+    """The rows to write for ``batch``, which is read several times: hand it in stored.
 
-    A batch can only change the months of its own rows, since the dedup keys hold the time. With
-    ``touched_months_only`` the result has just those months; months that were never merged keep their
-    duplicates then. The default merges the whole table.
+    A batch can only change the months of its own rows, since the dedup keys hold the time. The key test reads one column
+    of all months; the merge itself reads the touched months, and only those are in the result. The first load is
+    deduplicated too, so that untouched months never have duplicates.
     """
-    try:
-        existing = store.read_incidents(spark, path).drop("month")
-    except FileNotFoundError:
-        return merge_incremental(None, batch, key, dedup_keys, row_order)
     if ts not in dedup_keys:
         raise ValueError(f"dedup keys must hold the time column {ts!r}, or rows could leave their month")
-    if not touched_months_only:
-        return merge_incremental(existing, batch, key, dedup_keys, row_order)
-    months = batch.select(F.date_format(ts, "yyyy-MM").alias("month")).distinct().limit(MAX_TOUCHED_MONTHS + 1)
-    touched = [row.month for row in months.collect()]
-    if len(touched) > MAX_TOUCHED_MONTHS or None in touched:
-        return merge_incremental(existing, batch, key, dedup_keys, row_order)
-    # The key test reads one column of all months; the merge itself only the touched ones.
-    unseen = anti_join_new(batch, existing.select(key), key)
-    nearby = store.read_incidents(spark, path).filter(F.col("month").isin(touched)).drop("month")
-    return merge_incremental(nearby, unseen, key, dedup_keys, row_order)
+    try:
+        existing = store.read_incidents(spark, path)
+    except FileNotFoundError:
+        return dedup_keep_last(batch, dedup_keys, row_order)
+    # The list of months is as long as the calendar of the batch.
+    months = [row.month for row in batch.select(store.month_of(ts).alias("month")).distinct().collect()]
+    part = F.col(store.MONTH_PART)
+    touched = part.isin([month for month in months if month is not None])
+    if None in months:
+        touched = touched | part.isNull()
+    nearby = existing.filter(F.coalesce(touched, F.lit(False))).drop(store.MONTH_PART)
+    # Rows that lose within the batch lose before the key test, or they would win when the batch comes again.
+    winners = dedup_keep_last(batch, dedup_keys, row_order)
+    return later_wins(nearby, anti_join_new(winners, existing.select(key), key), dedup_keys, row_order)
 
 
 def update(
@@ -69,22 +58,16 @@ def update(
     district: str = "DISTRICT",
     dedup_keys: tuple[str, ...] = ("OCCURRED_ON_DATE", "DISTRICT", "OFFENSE_CODE"),
     row_order: tuple[str, ...] = ("row_seq",),
-    incremental: bool = True,
-    lookback: timedelta = timedelta(days=1),
-    touched_months_only: bool = False,
 ) -> bool:
-    """Bring the stored table up to date; False when nothing new has landed. A failure leaves the table as it was."""
-    existing = None
-    if incremental:
-        try:
-            existing = store.read_incidents(spark, path)
-        except FileNotFoundError:
-            pass
-    batch = new_records(existing, landed, ts, lookback)
+    """Bring the stored table up to date; False when nothing new has landed.
+
+    Whatever has landed is compared with the stored keys, however late it comes, so that an incremental and a full pull need
+    no different treatment.
+    """
+    batch = cut_lineage(landed)
     if batch.isEmpty():
         return False
-    rows = merged_table(spark, path, batch, key, list(dedup_keys), list(row_order), ts, touched_months_only)
-    store.write_incidents(rows, path, ts)
+    store.write_incidents(merged_table(spark, path, batch, key, list(dedup_keys), list(row_order), ts), path, ts)
     metadata = dataset_metadata(
         store.read_incidents(spark, path), ts, district, F.lit(datetime.now().isoformat())
     )

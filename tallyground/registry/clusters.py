@@ -28,10 +28,14 @@ def _points(spark, sf_dir):
     )
 
 
-@query("neighbor_join", oracle("SELECT p AS vec_id, least(count(*), 20) AS neighbours FROM {all_near} GROUP BY p"))
+@query(
+    "neighbor_join",
+    oracle("""SELECT p AS vec_id, CASE WHEN count(*) < 20 THEN count(*) END AS neighbours, count(*) >= 20 AS is_core
+              FROM {all_near} GROUP BY p"""),
+)
 def neighbor_join(spark, sf_dir):
     counts = density.neighbour_counts(_points(spark, sf_dir), EPS, 20)
-    return counts.select(F.col("point").alias("vec_id"), "neighbours")
+    return counts.select(F.col("point").alias("vec_id"), "neighbours", "is_core")
 
 
 @query("dbscan_core_points", oracle("SELECT p AS vec_id FROM {all_core}"))

@@ -1,14 +1,16 @@
 """Daily series, splits, baselines, models and their evaluation."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tallyground.functions.holidays import us_holidays as holiday_table
-from tallyground.operators import additive, baselines, metrics, series, split
+from tallyground.operators import additive, baselines, metrics, ridge, series, split
 from tallyground.plans import forecast as plan
 from tallyground.registry.catalog import query, rounded, rounds
 from tallyground.registry.inputs import HOLIDAY_CASE, incident_daily, oracle, view
 from tallyground.settings import ForecastSettings, cut_lineage, scratch_path
-from tallyground.sources import landing, store
+from tallyground.sources import store
 
 SERIES = ["district"]
 PHASED = ["district", "phase"]
@@ -337,7 +339,7 @@ def retrain_full(spark, sf_dir):
 def save_model_params(spark, sf_dir):
     path = scratch_path(spark, "params")
     store.save_model_params(additive.model_params(_forecast(spark, sf_dir).models, PHASED), path, "district")
-    return rounded(landing.require_table(spark, path))
+    return rounded(store.load_series_outputs(spark, path))
 
 
 @query("predict_components", oracle(SCORED + "{scored}"))
@@ -366,11 +368,33 @@ def future_forecast(spark, sf_dir):
     return rounded(_forecast(spark, sf_dir).future.select("district", "ds", *COMPONENTS))
 
 
-@query("write_series_outputs", oracle(SCORED + "{future}"))
+ALL_OUTPUTS = f"""SELECT 'future' AS output, district, ds, NULL AS y, {rounds('yhat')} FROM {{future}}
+    UNION ALL SELECT 'forecast', district, ds, NULL, {rounds('yhat')} FROM {{scored}}
+    UNION ALL SELECT 'test_results', t.district, t.ds, t.y, round(yhat, 6) + 0.0
+              FROM {{test}} t JOIN {{scored}} f ON t.district = f.district AND t.ds = f.ds"""
+
+
+def _saved_outputs(spark, sf_dir):
+    """Every output of every series, saved: the future, the fitted range, the test rows and the metrics."""
+    result, paths = _forecast(spark, sf_dir), {}
+    outputs = {"future": result.future, "forecast": result.forecast, "test_results": result.test_results, "metrics": result.metrics}
+    for name, df in outputs.items():
+        paths[name] = scratch_path(spark, name)
+        store.write_series_outputs(df, paths[name], "district")
+    return paths
+
+
+@query("write_series_outputs", oracle(ALL_OUTPUTS))
 def write_series_outputs(spark, sf_dir):
-    path = scratch_path(spark, "future")
-    store.write_series_outputs(_forecast(spark, sf_dir).future.select("district", "ds", *COMPONENTS), path, "district")
-    return rounded(landing.require_table(spark, path))
+    paths = _saved_outputs(spark, sf_dir)
+    rows = None
+    for name in ("future", "forecast", "test_results"):
+        y = F.col("y") if name == "test_results" else F.lit(None)
+        part = store.load_series_outputs(spark, paths[name]).select(
+            F.lit(name).alias("output"), "district", "ds", y.cast("bigint").alias("y"), "yhat"
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rounded(rows)
 
 
 @query("load_forecast", oracle(SCORED + "{future} WHERE district = 'MACHINERY'"))
@@ -423,12 +447,12 @@ def summary_report(spark, sf_dir):
     return rounded(metrics.summary_report(_forecast(spark, sf_dir).metrics, "district"))
 
 
-@query("write_summary", oracle(SUMMARY_SQL))
+@query("write_summary", oracle(METRICS_SQL))
 def write_summary(spark, sf_dir):
     path = scratch_path(spark, "summary")
-    report = metrics.summary_report(_forecast(spark, sf_dir).metrics, "district")
-    store.write_summary(report, path)
-    return rounded(spark.read.schema(report.schema).option("header", True).csv(path))
+    rows = _forecast(spark, sf_dir).metrics.select("district", "test_samples", "quality", *METRICS)
+    store.write_summary(rows, path)
+    return rounded(spark.read.schema(rows.schema).option("header", True).csv(path))
 
 
 @query("series_ranking", oracle(f"SELECT district, {rounds('mae')} FROM {{metrics}} ORDER BY mae, district"))
@@ -437,13 +461,14 @@ def series_ranking(spark, sf_dir):
 
 
 STATUS_SQL = """SELECT district, count(*) FILTER (ds BETWEEN train_start AND train_end) AS records,
-    CASE WHEN count(*) FILTER (ds BETWEEN train_start AND train_end) < 10 THEN 'skipped' ELSE 'success' END AS status
+    CASE WHEN count(*) FILTER (ds BETWEEN train_start AND train_end) < 10 THEN 'skipped' ELSE 'success' END AS status,
+    CASE WHEN count(*) FILTER (ds BETWEEN train_start AND train_end) < 10 THEN 'too few training days' END AS reason
     FROM {daily}, {split} GROUP BY district"""
 
 
 @query("district_forecast", oracle(STATUS_SQL))
 def district_forecast(spark, sf_dir):
-    return _forecast(spark, sf_dir).status.select("district", "records", "status")
+    return _forecast(spark, sf_dir).status.select("district", "records", "status", "reason")
 
 
 @query("status_counts", oracle(f"SELECT status, count(*) AS n FROM ({STATUS_SQL}) GROUP BY status"))
@@ -451,7 +476,7 @@ def status_counts(spark, sf_dir):
     return metrics.status_counts(_forecast(spark, sf_dir).status)
 
 
-@query("horizon_error", oracle("""SELECT district, 'error' AS status, 'Future end date is before test end date' AS reason
+@query("horizon_error", oracle("""SELECT district, 'error' AS status, 'the months ahead end before the test range' AS reason
                                   FROM {gate}"""))
 def horizon_error(spark, sf_dir):
     settings = ForecastSettings(forecast_start_offset_days=-400, future_months=0)
@@ -504,24 +529,55 @@ def holiday_effects(spark, sf_dir):
 )
 def us_holidays(spark, sf_dir):
     per_day = view(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("ds")).agg(F.count("*").alias("orders"))
-    return per_day.join(F.broadcast(holiday_table(spark, 1990, 2030)), "ds").select("ds", "holiday", "orders")
+    years = per_day.agg(F.year(F.min("ds")).alias("first"), F.year(F.max("ds")).alias("last")).first()
+    return per_day.join(holiday_table(spark, years["first"], years["last"]), "ds").select("ds", "holiday", "orders")
 
 
 @query("holiday_join", oracle(f"SELECT district, ds, y, {HOLIDAY_CASE} AS holiday FROM {{daily}}"))
 def holiday_join(spark, sf_dir):
-    joined = additive.holiday_join(incident_daily(spark, sf_dir), holiday_table(spark, 1990, 2030))
-    return joined.select("district", "ds", "y", "holiday")
+    return additive.holiday_join(incident_daily(spark, sf_dir)).select("district", "ds", "y", "holiday")
 
 
-# The ridge model is not a closed form in SQL; it is checked by its tests.
+# The ridge coefficients are no closed form in SQL. What SQL can state is that they solve their equations, that the
+# components add up, and everything beside them.
 
 
-@query("fit_additive_ridge")
+@query(
+    "fit_additive_ridge",
+    oracle(f"""SELECT m.district, m.phase, m.t0, m.last_day, 0.0 AS gap, 0.0 AS sum_gap, test_samples,
+                      {rounds('baseline_naive_mae', 'baseline_ma7_mae', 'baseline_ma30_mae')}
+               FROM {{fit_model}} m LEFT JOIN {{metrics}} e ON m.district = e.district"""),
+)
 def fit_additive_ridge(spark, sf_dir):
     result = _forecast(spark, sf_dir, model=plan.RIDGE)
-    return rounded(result.metrics.select("district", "test_samples", "quality", *METRICS))
+    gap = ridge.ridge_gap(_phase_rows(spark, sf_dir), result.models, PHASED)
+    parts = F.col("yhat") - F.col("trend") - F.col("weekly") - F.col("yearly") - F.col("holidays")
+    sums = result.forecast.groupBy("district").agg(F.max(F.abs(parts)).alias("sum_gap"))
+    found = result.models.select(*PHASED, "t0", "last_day").join(gap, PHASED).join(sums, "district", "left")
+    beside = result.metrics.select("district", "test_samples", "baseline_naive_mae", "baseline_ma7_mae", "baseline_ma30_mae")
+    return rounded(found.join(beside, "district", "left"))
+
+
+# A fixed range that begins after the first rows: the final fit takes those too.
+FIXED = ForecastSettings(use_fixed_dates=True, train_start=date(1996, 1, 1), train_end=date(1997, 6, 30), test_end=date(1998, 1, 31))
+
 
+@query(
+    "fixed_split_models",
+    oracle("""SELECT district, 'initial' AS phase, min(ds) AS t0, max(ds) AS last_day, count(*) AS n FROM {daily}
+              WHERE ds BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND district IN (SELECT district FROM {fixed_gate}) GROUP BY ALL
+              UNION ALL SELECT district, 'final', min(ds), max(ds), count(*) FROM {daily}
+              WHERE ds <= DATE '1998-01-31' AND district IN (SELECT district FROM {fixed_gate}) GROUP BY ALL"""),
+)
+def fixed_split_models(spark, sf_dir):
+    return _forecast(spark, sf_dir, FIXED).models.select("district", "phase", "t0", "last_day", "n")
 
-@query("forecast_all_districts", oracle(METRICS_SQL))
+
+@query("forecast_all_districts", oracle(f"""SELECT m.*, s.records, s.status, f.days FROM ({METRICS_SQL}) m
+    JOIN ({STATUS_SQL}) s ON m.district = s.district
+    JOIN (SELECT district, count(*) AS days FROM {{future}} GROUP BY district) f ON m.district = f.district"""))
 def forecast_all_districts(spark, sf_dir):
-    return rounded(_forecast(spark, sf_dir).metrics.select("district", "test_samples", "quality", *METRICS))
+    result = _forecast(spark, sf_dir)
+    days = result.future.groupBy("district").agg(F.count("*").alias("days"))
+    metrics_ = rounded(result.metrics.select("district", "test_samples", "quality", *METRICS))
+    return metrics_.join(result.status.select("district", "records", "status"), "district").join(days, "district")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyground import schemas
 from tallyground.operators import merge, quality
 from tallyground.operators.clean import coerce_timestamps
 from tallyground.operators.hotspots import cluster_counts
@@ -13,7 +14,6 @@ from tallyground.settings import scratch_path
 from tallyground.sources import landing, store
 
 PAGE = 500
-PULL_LIMIT = 100_000
 EV = "event_id, ts, district, offense, user_id, value"
 MERGE_KEYS = ["hour", "district", "offense"]
 RECORD = (
@@ -50,7 +50,8 @@ def _landed_pages(spark, sf_dir):
     return landing.read_pages(spark, path, RECORD)
 
 
-@query("scan_incidents_csv", oracle("SELECT * FROM {inc}"))
+# An empty field of the file is a missing value.
+@query("scan_incidents_csv", oracle("SELECT nullif(COLUMNS(*), '') FROM {inc}"))
 def scan_incidents_csv(spark, sf_dir):
     rows = view(spark, sf_dir, "inc")
     path = scratch_path(spark, "incidents-csv")
@@ -69,7 +70,9 @@ def scan_code_lookup(spark, sf_dir):
 
 @query(
     "scan_api_pages",
-    oracle(f"SELECT event_id, ts, district, offense, value FROM {{ev}} WHERE (event_id // {PAGE}) % 7 <> 6"),
+    oracle(f"""SELECT event_id, ts, district, offense, value, (event_id // {PAGE}) * {PAGE} + row_number() OVER (
+                   PARTITION BY event_id // {PAGE} ORDER BY event_id) - 1 AS row_seq
+               FROM {{ev}} WHERE (event_id // {PAGE}) % 7 <> 6"""),
 )
 def scan_api_pages(spark, sf_dir):
     return coerce_timestamps(landing.scan_api_pages(_landed_pages(spark, sf_dir)), ts="ts")
@@ -102,24 +105,20 @@ def json_envelope(spark, sf_dir):
 
 @query(
     "pages_until_short",
-    oracle(f"""SELECT event_id, ts, district, offense, value FROM {{ev}}
-               WHERE (event_id // {PAGE}) % 7 <> 6 AND event_id < {PULL_LIMIT} AND event_id // {PAGE} <= (
+    oracle(f"""SELECT event_id, ts, district, offense, value, event_id // {PAGE} <= (
                    SELECT coalesce(min(page), 999999999) FROM (
                        SELECT event_id // {PAGE} AS page, count(*) AS n FROM {{ev}} GROUP BY 1)
-                   WHERE page % 7 = 6 OR n < {PAGE})"""),
+                   WHERE page % 7 = 6 OR n < {PAGE}) AS complete
+               FROM {{ev}} WHERE (event_id // {PAGE}) % 7 <> 6"""),
 )
 def pages_until_short(spark, sf_dir):
-    return coerce_timestamps(landing.pages_until_short(_landed_pages(spark, sf_dir), PAGE, PULL_LIMIT), ts="ts")
+    return coerce_timestamps(landing.pages_until_short(_landed_pages(spark, sf_dir), PAGE), ts="ts")
 
 
-@query(
-    "incremental_pull",
-    oracle(f"""SELECT {EV} FROM {{ev}} WHERE ts > TIMESTAMP '2024-01-10 00:00:00'
-               ORDER BY ts, event_id LIMIT {PULL_LIMIT}"""),
-)
+@query("incremental_pull", oracle(f"SELECT {EV} FROM {{ev}} WHERE ts > TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_id"))
 def incremental_pull(spark, sf_dir):
     start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    return landing.incremental_pull(view(spark, sf_dir, "ev"), "ts", start, PULL_LIMIT, "event_id")
+    return landing.incremental_pull(view(spark, sf_dir, "ev"), "ts", start, tie_break="event_id")
 
 
 @query(
@@ -137,10 +136,40 @@ def require_table(spark, sf_dir):
     return landing.require_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("write_incidents", oracle(f"SELECT {EV}, strftime(ts, '%Y-%m') AS month FROM {{ev}}"))
+# All incident columns, one of them named MONTH, from the orders; the codes of a day repeat.
+INCIDENTS = """SELECT CAST(o_orderkey AS VARCHAR) AS INCIDENT_NUMBER, CAST(o_custkey % 5 AS VARCHAR) AS OFFENSE_CODE,
+    'group' AS OFFENSE_CODE_GROUP, o_orderpriority AS OFFENSE_DESCRIPTION, concat('D', CAST(o_custkey % 7 AS VARCHAR)) AS DISTRICT,
+    CAST(o_custkey AS VARCHAR) AS REPORTING_AREA, '0' AS SHOOTING, {ts} AS OCCURRED_ON_DATE,
+    CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR) AS YEAR, CAST(month(CAST(o_orderdate AS DATE)) AS VARCHAR) AS MONTH,
+    CAST(NULL AS VARCHAR) AS DAY_OF_WEEK, '3' AS HOUR, 'Part' AS UCR_PART, o_orderpriority AS STREET, '42.3' AS Lat, '-71.1' AS Long,
+    o_orderstatus AS Location, o_orderkey AS row_seq FROM orders"""
+INCIDENTS_SQL = INCIDENTS.replace("{ts}", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)")
+
+
+def _incidents(spark, sf_dir):
+    """The same rows; the time as the text that the interface sends."""
+    sent = INCIDENTS.replace("{ts}", "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 00:00:00')")
+    return spark.sql(sent.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+def _deliver(spark, rows, name):
+    """Rows as landed page files, ``row_seq`` as their place."""
+    record = F.struct(*schemas.INCIDENT_COLUMNS)
+    page = F.col("row_seq")
+    line = F.to_json(F.struct(page.alias("offset"), F.lit(True).alias("success"), F.struct(F.array(record).alias("records")).alias("result")))
+    path = scratch_path(spark, name)
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "write_incidents",
+    f"SELECT * EXCLUDE (row_seq), strftime(OCCURRED_ON_DATE, '%Y-%m') AS occurred_month_part FROM ({INCIDENTS_SQL})",
+)
 def write_incidents(spark, sf_dir):
     path = scratch_path(spark, "incidents")
-    store.write_incidents(view(spark, sf_dir, "ev"), path, "ts")
+    rows = _incidents(spark, sf_dir).drop("row_seq")
+    store.write_incidents(coerce_timestamps(rows, OCCURRED_ON_DATE="OCCURRED_ON_DATE"), path, "OCCURRED_ON_DATE")
     return store.read_incidents(spark, path)
 
 
@@ -234,14 +263,27 @@ def sort_by_date(spark, sf_dir):
     return merge.sort_by_date(view(spark, sf_dir, "ev"), "ts", "event_id")
 
 
-@query("update_data", oracle("SELECT * FROM {merged}"))
+# Two deliveries that overlap, each landed twice.
+@query(
+    "update_data",
+    f"""WITH landed AS ({INCIDENTS_SQL}), first AS (SELECT * FROM landed WHERE row_seq % 2 = 0 OR row_seq % 3 = 0),
+        kept AS (SELECT * FROM first QUALIFY row_number() OVER (
+            PARTITION BY OCCURRED_ON_DATE, DISTRICT, OFFENSE_CODE ORDER BY row_seq DESC) = 1),
+        second AS (SELECT * FROM landed WHERE row_seq % 2 = 1 OR row_seq % 3 = 0 QUALIFY row_number() OVER (
+            PARTITION BY OCCURRED_ON_DATE, DISTRICT, OFFENSE_CODE ORDER BY row_seq DESC) = 1),
+        pool AS (SELECT *, 0 AS source_rank FROM kept UNION ALL SELECT *, 1 FROM second
+                 WHERE INCIDENT_NUMBER NOT IN (SELECT INCIDENT_NUMBER FROM kept))
+        SELECT * EXCLUDE (source_rank) FROM pool QUALIFY row_number() OVER (
+            PARTITION BY OCCURRED_ON_DATE, DISTRICT, OFFENSE_CODE ORDER BY source_rank DESC, row_seq DESC) = 1""",
+)
 def update_data(spark, sf_dir):
     path, metadata = scratch_path(spark, "incidents"), scratch_path(spark, "metadata")
-    args = {"key": "event_id", "ts": "hour", "district": "district", "dedup_keys": tuple(MERGE_KEYS),
-            "row_order": ("event_id",)}
-    plan.update(spark, path, metadata, _hourly(view(spark, sf_dir, "existing")), **args)
-    plan.update(spark, path, metadata, _hourly(view(spark, sf_dir, "ev")), **args)
-    return store.read_incidents(spark, path).drop("month")
+    rows = _incidents(spark, sf_dir)
+    for share in ("row_seq % 2 = 0 OR row_seq % 3 = 0", "row_seq % 2 = 1 OR row_seq % 3 = 0"):
+        landed = _deliver(spark, rows.filter(share), "pages")
+        for _ in range(2):  # the second time changes nothing
+            plan.update(spark, path, metadata, plan.landed_incidents(spark, landed))
+    return store.read_incidents(spark, path).drop(store.MONTH_PART)
 
 
 @query("latest_date", oracle("SELECT max(ts) AS latest FROM {inc_typed}"))
@@ -260,7 +302,7 @@ def write_type_outputs(spark, sf_dir):
 def _saved_counts(spark, sf_dir):
     path = scratch_path(spark, "clusters")
     store.write_series_outputs(cluster_counts(view(spark, sf_dir, "grid"), "type"), path, "type")
-    return landing.require_table(spark, path)
+    return store.load_series_outputs(spark, path)
 
 
 @query("load_clusters", oracle("SELECT type, cluster_id, \"count\" AS \"count\" FROM {grid_counts} WHERE type = 'R'"))

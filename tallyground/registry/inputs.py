@@ -174,12 +174,16 @@ CTES = {
         SELECT district FROM {daily}, {split} WHERE ds BETWEEN train_start AND train_end
         GROUP BY district HAVING count(*) >= 10
     """,
+    "fixed_gate": """
+        SELECT district FROM {daily} WHERE ds BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'
+        GROUP BY district HAVING count(*) >= 10
+    """,
     "phases": """
         SELECT district, ds, y, 'initial' AS phase FROM {daily} JOIN {gate} USING (district), {split}
         WHERE ds BETWEEN train_start AND train_end
         UNION ALL
         SELECT district, ds, y, 'final' AS phase FROM {daily} JOIN {gate} USING (district), {split}
-        WHERE ds BETWEEN train_start AND test_end
+        WHERE ds <= test_end
     """,
     "capped": """
         SELECT district, phase, ds,

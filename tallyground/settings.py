@@ -9,7 +9,6 @@ from datetime import date
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # Defaults a user of the reference relies on.
@@ -38,7 +37,8 @@ class ForecastSettings:
 class HotspotSettings:
     eps: float = 0.0001
     min_samples: int = 20
-    sample_size: int | None = 10000
+    # Rows per type that are clustered; None takes all.
+    sample_size: int | None = None
     seed: int = 42
     top_n: int = 5
     forecast_days: int = 30
@@ -75,16 +75,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# A broadcast side may have at most this many bytes; beyond it the join is shuffled and AQE splits hot keys.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when its measured size allows it, else leave the choice to Spark.
-
-    The size is that of the rows as text, summed in the tasks; nothing but the sum reaches the driver.
-    """
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df

@@ -45,8 +45,12 @@ def read_pages(spark: SparkSession, path: str, record: T.StructType = schemas.RA
 
 
 def scan_api_pages(pages: DataFrame) -> DataFrame:
-    """Records of the successful pages."""
-    return pages.filter("success").select(F.inline("result.records"))
+    """Records of the successful pages, with ``row_seq``, their place in the pull."""
+    return (
+        pages.filter("success")
+        .select("offset", F.posexplode("result.records").alias("position", "record"))
+        .select("record.*", (F.col("offset") + F.col("position")).alias("row_seq"))
+    )
 
 
 def api_page_errors(pages: DataFrame) -> DataFrame:
@@ -56,23 +60,17 @@ def api_page_errors(pages: DataFrame) -> DataFrame:
     )
 
 
-def pages_until_short(pages: DataFrame, batch_size: int, limit: int) -> DataFrame:
-    """Records a paged pull would return.
+def pages_until_short(pages: DataFrame, batch_size: int) -> DataFrame:
+    """All landed records, marked by whether the pull was whole up to their page.
 
-    The pull ends at the first page that failed or is shorter than ``batch_size``, and at ``limit``
-    records. All pages before that one are full, so ``offset`` already is the running record count
-    and neither rule needs a window over the pages.
+    ``complete`` is false for records that lie behind a failed page, or behind one shorter than ``batch_size``:
+    something before them may be missing. Nothing is left out.
     """
     size = F.coalesce(F.size("result.records"), F.lit(0))
-    failed = ~F.coalesce(F.col("success"), F.lit(False))
-    last = pages.filter(failed | (size < batch_size)).agg(F.coalesce(F.min("offset"), F.lit(limit))).scalar()
-    return (
-        pages.filter("success")
-        .filter((F.col("offset") < limit) & (F.col("offset") <= last))
-        .select("offset", F.posexplode("result.records").alias("position", "record"))
-        .filter(F.col("offset") + F.col("position") < limit)
-        .select("record.*")
-    )
+    gap = ~F.coalesce(F.col("success"), F.lit(False)) | (size < batch_size)
+    first_gap = pages.filter(gap).agg(F.min("offset")).scalar()
+    complete = first_gap.isNull() | (F.col("offset") <= first_gap)
+    return pages.filter("success").select(complete.alias("complete"), F.inline("result.records"))
 
 
 def incremental_pull(

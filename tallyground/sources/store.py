@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyground import schemas
@@ -10,26 +10,38 @@ from tallyground.operators.quality import dataset_metadata
 from tallyground.sources.landing import require_table
 
 
+# The partition column. No incident column may have this name, whatever its case.
+MONTH_PART = "occurred_month_part"
+
+
+def month_of(ts: str) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
 def write_incidents(df: DataFrame, path: str, ts: str) -> None:
     """Store incidents by month of occurrence, replacing the months that occur in ``df``.
 
     REBALANCE lets AQE cut a hot month into files of even size. Dynamic overwrite stages the new files and
-    swaps them in when all tasks are done, so ``df`` may be derived from the table itself.
+    swaps them in when all tasks are done, so ``df`` may be derived from the table itself. The swap goes month by month:
+    a driver lost in the middle of it leaves some months new and some old, and the next run of the same batch mends that.
     """
+    if MONTH_PART in (name.lower() for name in df.columns):
+        raise ValueError(f"{MONTH_PART!r} is the name of the partition column")
     (
-        df.withColumn("month", F.date_format(ts, "yyyy-MM"))
-        .hint("rebalance", F.col("month"))
-        .sortWithinPartitions("month", ts)
+        df.withColumn(MONTH_PART, month_of(ts))
+        .hint("rebalance", F.col(MONTH_PART))
+        .sortWithinPartitions(MONTH_PART, ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
+        .partitionBy(MONTH_PART)
         .parquet(path)
     )
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, with its ``month`` partition column for pruning."""
-    return require_table(spark, path)
+    """The stored table, with its partition column ``MONTH_PART`` for pruning."""
+    kept = require_table(spark, path)
+    return kept.withColumn(MONTH_PART, F.col(MONTH_PART).cast("string"))
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
@@ -50,17 +62,38 @@ def dataset_info(spark: SparkSession, metadata_path: str, incidents: DataFrame,
     return load_metadata(spark, metadata_path)
 
 
+# Folders of a saved result, by a hash of the series, so that their number does not grow with the series.
+SERIES_FOLDERS = 64
+FOLDER = "series_folder"
+
+
+def _folder(series: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(series, F.lit(""))), F.lit(SERIES_FOLDERS)).cast("int")
+
+
 def write_series_outputs(df: DataFrame, path: str, series: str) -> None:
-    """Results of all series in one table, one partition folder per raw series value.
+    """Results of all series in one table. The series stays a data column, as text, so that no name changes."""
+    named = df.withColumn(series, F.col(series).cast("string"))
+    (
+        named.withColumn(FOLDER, _folder(F.col(series)))
+        .hint("rebalance", F.col(FOLDER))
+        .sortWithinPartitions(FOLDER, series)
+        .write.mode("overwrite")
+        .partitionBy(FOLDER)
+        .parquet(path)
+    )
 
-    The folder name comes from the raw value, so two names that look alike as file names stay apart.
-    """
-    df.hint("rebalance", F.col(series)).write.mode("overwrite").partitionBy(series).parquet(path)
+
+def load_series_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Saved results of all series."""
+    return require_table(spark, path).drop(FOLDER)
 
 
-def load_series_output(spark: SparkSession, path: str, series: str, value: str) -> DataFrame:
-    """Rows of one series; the filter on the partition column reads that folder only."""
-    return require_table(spark, path).filter(F.col(series).cast("string") == value)
+def load_series_output(spark: SparkSession, path: str, series: str, value: str | None) -> DataFrame:
+    """Rows of one series; only its folder is read, and there only the row groups that may hold it."""
+    wanted = F.lit(value).cast("string")
+    here = (F.col(FOLDER) == _folder(wanted)) & F.col(series).eqNullSafe(wanted)
+    return require_table(spark, path).filter(here).drop(FOLDER)
 
 
 def list_series(df: DataFrame, series: str) -> DataFrame:
@@ -68,8 +101,8 @@ def list_series(df: DataFrame, series: str) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """Cross-series summary as CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Metrics of every series as CSV with a header, one row each."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_model_params(params: DataFrame, path: str, series: str) -> None:

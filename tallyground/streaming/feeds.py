@@ -23,27 +23,18 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, **options
 
 
 def stream_merge(
-    landed: DataFrame,
-    store_path: str,
-    checkpoint: str,
-    key: str,
-    ts: str,
-    dedup_keys: list[str],
-    row_order: list[str],
-    touched_months_only: bool = False,
+    landed: DataFrame, store_path: str, checkpoint: str, key: str, ts: str, dedup_keys: list[str], row_order: list[str]
 ) -> StreamingQuery:
-    """Merge every micro-batch into the stored table.
+    """Merge every micro-batch into the stored table; only the months it touches are written.
 
-    Replaying a batch changes nothing: its keys are stored by then, and rows without a key fall on
-    their own dedup keys.
+    Replaying a batch changes nothing: rows that won are stored by then, rows that lost lose again, and rows without a key
+    fall on their own dedup keys.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch = cut_lineage(batch)
         if batch.isEmpty():
             return
-        rows = merged_table(
-            batch.sparkSession, store_path, batch, key, dedup_keys, row_order, ts, touched_months_only
-        )
+        rows = merged_table(batch.sparkSession, store_path, batch, key, dedup_keys, row_order, ts)
         store.write_incidents(rows, store_path, ts)
 
     return (
@@ -60,7 +51,7 @@ def _with_event_time(landed: DataFrame, ts: str, lateness: str) -> DataFrame:
 
 
 def stream_daily_counts(landed: DataFrame, ts: str, by: list[str], lateness: str = "1 day") -> DataFrame:
-    """Daily counts of the days that the watermark has closed, for append output."""
+    """Daily counts that follow every delivery, open days too, for update output; a day closed by the watermark is final."""
     return (
         _with_event_time(landed, ts, lateness)
         .groupBy(F.window("event_time", "1 day").alias("day"), *by)
@@ -69,16 +60,32 @@ def stream_daily_counts(landed: DataFrame, ts: str, by: list[str], lateness: str
     )
 
 
-def stream_dedup(
-    landed: DataFrame, ts: str, keys: list[str], lateness: str = "1 day", salts: int = 16
-) -> DataFrame:
-    """First row per key; the state of a key is dropped once the watermark has passed it.
+def keep_current(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the changed counts of every micro-batch as one more version; ``read_current`` sees the last of each key.
 
-    Streams have no map-side step for this, so a hot key is first reduced on ``salts`` tasks and then on one.
+    A replayed batch overwrites its own version.
     """
-    salted = _with_event_time(landed, ts, lateness).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    reduced = salted.dropDuplicatesWithinWatermark([*keys, "salt"]) if salts > 1 else salted
-    return reduced.dropDuplicatesWithinWatermark(keys).drop("event_time", "salt")
+    def put(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={batch_id}")
+
+    return (
+        counts.writeStream.foreachBatch(put)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_current(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The newest count of every key."""
+    versions = spark.read.parquet(path)
+    return versions.groupBy(*by, "ds").agg(F.max_by("y", "version").alias("y"))
+
+
+def stream_dedup(landed: DataFrame, ts: str, keys: list[str], lateness: str = "1 day") -> DataFrame:
+    """First row per key; the state, one row per key, is dropped once the watermark has passed it."""
+    return _with_event_time(landed, ts, lateness).dropDuplicatesWithinWatermark(keys).drop("event_time")
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,5 +1,6 @@
 """Runs registered queries beside their SQL and compares the rows."""
 
+import decimal
 import math
 import os
 import sys
@@ -20,11 +21,16 @@ def connect(sf_dir):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return ""
-    if isinstance(value, float):
-        return repr(value)
-    return str(value)
+    """Text that tells NULL, NaN, empty text and the kinds of values apart; whole numbers of any width are one kind."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return f"bool {value}"
+    if isinstance(value, int):
+        return f"int {value}"
+    if isinstance(value, (float, decimal.Decimal)):
+        return "NaN" if math.isnan(value) else f"num {float(value) + 0.0!r}"
+    return f"{type(value).__name__} {value}"
 
 
 def _rows(columns, rows):

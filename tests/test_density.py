@@ -114,8 +114,8 @@ def test_hotspot_plan_and_reasons(spark):
         "-71.0D AS lon", f"CASE WHEN id < 380 THEN {day} ELSE timestamp_ntz'2024-01-01' END AS ts")
     result = hotspot_plan(rows, "kind", "ts", "lat", "lon", "id", HotspotSettings(min_samples=10))
     assert {r.kind: r.reason for r in result.status.collect()} == {
-        "dense": None, "far": "No meaningful clusters", "short": "Could not generate forecast",
-        "bad": "No valid coordinates"}
+        "dense": None, "far": "every row is noise", "short": "the largest cluster has too few days",
+        "bad": "no row has a usable position"}
     forecast = result.forecast.collect()
     assert {r.kind for r in forecast} == {"dense"} and len(forecast) == 40 + 30
     assert result.counts.filter("kind = 'dense'").first()["count"] == 200

@@ -100,7 +100,8 @@ def test_constant_series_has_no_improvement(spark):
     assert errors.first().naive_mae == 0
     scored = test.select("series", "ds", F.lit(5.0).alias("yhat"), F.lit(5.0).alias("yhat_lower"),
                          F.lit(5.0).alias("yhat_upper"))
-    row = metrics.series_metrics(metrics.evaluate_forecast(test, scored, ["series"]), errors, ["series"]).first()
+    rows = metrics.eval_join(test, scored, ["series"]).join(baselines.baseline_values(train, ["series"]), "series")
+    row = metrics.series_metrics(metrics.error_metrics(rows, ["series"], baselines.BASELINES)).first()
     assert row.improvement_pct is None and row.coverage == 1.0
 
 

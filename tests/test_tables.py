@@ -15,7 +15,7 @@ from tallyground.operators import clean, lookup, merge, quality, sampling
 from tallyground.plans.daily import load
 from tallyground.plans.enrich import enrich
 from tallyground.plans.update import merged_table, update
-from tallyground.settings import broadcast_if_small, scratch_path, shared_folder
+from tallyground.settings import scratch_path, shared_folder
 from tallyground.sources import landing, store
 from tallyground.streaming import feeds
 
@@ -124,7 +124,7 @@ def test_quality_of_empty_and_bad_tables(spark):
     bad = incidents(spark, [("1", None, None, 1, 1)] * 3 + [("2", "2010-01-01", "A", 1, 1), ("3", "2024-01-01", "A", 1, 1)])
     issues = {r.check: r.message for r in quality.validate_data(bad, "ts", "district").collect()}
     assert set(issues) == {"dates", "districts", "coverage", "span"}
-    assert issues["dates"] == "3 rows (60.0%) have invalid dates"
+    assert issues["dates"] == "3 of 5 times are unreadable, 60.0%"
     assert quality.validate_data(bad.drop("district"), "ts", None).filter("check = 'districts'").isEmpty()
 
 
@@ -170,14 +170,12 @@ def test_merge_rules(spark):
     assert seqs(merged) == [1, 2, 5, 7, 8, 9]
     again = merge.merge_incremental(merged, newer, "id", KEYS, ["seq"])
     assert sorted(again.collect(), key=str) == sorted(merged.collect(), key=str)
-    assert merge.merge_incremental(None, newer, "id", KEYS, ["seq"]).count() == len(NEWER)
+    assert seqs(merge.merge_incremental(None, newer, "id", KEYS, ["seq"])) == [4, 5, 7, 8, 9]
 
 
-@pytest.mark.parametrize("touched_only", [False, True])
-def test_update_store(spark, touched_only):
+def test_update_store(spark):
     path, meta = scratch_path(spark, "store"), scratch_path(spark, "meta")
-    args = {"key": "id", "ts": "ts", "district": "district", "dedup_keys": tuple(KEYS), "row_order": ("seq",),
-            "touched_months_only": touched_only, "lookback": dt.timedelta(days=60)}
+    args = {"key": "id", "ts": "ts", "district": "district", "dedup_keys": tuple(KEYS), "row_order": ("seq",)}
     assert update(spark, path, meta, incidents(spark, STORED), **args)
     assert update(spark, path, meta, incidents(spark, NEWER), **args)
     assert seqs(store.read_incidents(spark, path)) == [1, 2, 5, 7, 8, 9]
@@ -193,13 +191,51 @@ def test_dedup_keys_must_hold_the_time(spark):
         merged_table(spark, path, incidents(spark, NEWER), "id", ["district"], ["seq"], "ts")
 
 
-def test_broadcast_needs_a_small_side(spark):
-    names = spark.range(1000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+@pytest.mark.parametrize("rows", [STORED, NEWER, STORED + NEWER])
+def test_replay_of_any_delivery_changes_nothing(spark, rows):
+    path, meta = scratch_path(spark, "store"), scratch_path(spark, "meta")
+    args = {"key": "id", "ts": "ts", "district": "district", "dedup_keys": tuple(KEYS), "row_order": ("seq",)}
+    # Rows of one delivery with equal dedup keys and different keys: the loser's key is never stored.
+    rows = [*rows, ("8", "2024-03-01", "Z", 1, 20), ("9", "2024-03-01", "Z", 1, 21)]
+    update(spark, path, meta, incidents(spark, rows), **args)
+    once = sorted(map(str, store.read_incidents(spark, path).collect()))
+    update(spark, path, meta, incidents(spark, rows), **args)
+    assert sorted(map(str, store.read_incidents(spark, path).collect())) == once
+    assert 21 in seqs(store.read_incidents(spark, path)) and 20 not in seqs(store.read_incidents(spark, path))
+
+
+def test_update_leaves_other_months_alone(spark):
+    path, meta = scratch_path(spark, "store"), scratch_path(spark, "meta")
+    args = {"key": "id", "ts": "ts", "district": "district", "dedup_keys": tuple(KEYS), "row_order": ("seq",)}
+    update(spark, path, meta, incidents(spark, STORED), **args)
+    files = {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    update(spark, path, meta, incidents(spark, [("7", "2024-02-09", "B", 2, 9)]), **args)
+    after = {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    kept = {f for f in files if "2024-01" in f}
+    assert kept and kept <= after and not {f for f in files if "2024-02" in f} & after
 
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
 
-    assert hinted(broadcast_if_small(names)) and not hinted(broadcast_if_small(names, max_bytes=1000))
+def test_the_store_keeps_every_column(spark):
+    path = scratch_path(spark, "store")
+    row = {c: c.lower() for c in schemas.INCIDENT_COLUMNS}
+    frame = spark.createDataFrame([tuple(row.values())], schemas.RAW_INCIDENT).withColumn(
+        "OCCURRED_ON_DATE", F.lit("2024-02-03 00:00:00").cast("timestamp_ntz"))
+    store.write_incidents(frame, path, "OCCURRED_ON_DATE")
+    got = store.read_incidents(spark, path).first()
+    assert got.MONTH == "month" and got[store.MONTH_PART] == "2024-02"
+    assert set(got.asDict()) == {*schemas.INCIDENT_COLUMNS, store.MONTH_PART}
+    with pytest.raises(ValueError):
+        store.write_incidents(frame.withColumn("Occurred_Month_Part", F.lit(1)), path, "OCCURRED_ON_DATE")
+
+
+def test_saved_results_keep_their_names(spark):
+    path = scratch_path(spark, "saved")
+    names = ["007", "7", "", "A/B", None, "x=y"]
+    store.write_series_outputs(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, v int"), path, "name")
+    assert {(r.name, r.v) for r in store.load_series_outputs(spark, path).select(F.col("name").alias("name"), "v").collect()} == {
+        (n, i) for i, n in enumerate(names)}
+    for i, name in enumerate(names):
+        assert [r.v for r in store.load_series_output(spark, path, "name", name).collect()] == [i]
 
 
 def test_missing_table_raises(spark):
@@ -229,15 +265,17 @@ def page(offset, success, n, error=None):
     return (offset, success, error, ([record] * n,) if success else None)
 
 
-@pytest.mark.parametrize("pages, limit, expected", [
-    ([(0, True, 5), (5, True, 5), (10, True, 2), (12, True, 5)], 100, 12),
-    ([(0, True, 5), (5, True, 0), (10, True, 5)], 100, 5),
-    ([(0, True, 5), (5, False, 0), (10, True, 5)], 100, 5),
-    ([(0, True, 5), (5, True, 5)], 7, 7),
-    ([(0, True, 5), (5, True, 5)], 100, 10)])
-def test_paging(spark, pages, limit, expected):
+@pytest.mark.parametrize("pages, complete, all_rows", [
+    ([(0, True, 5), (5, True, 5), (10, True, 2), (12, True, 5)], 12, 17),
+    ([(0, True, 5), (5, True, 0), (10, True, 5)], 5, 10),
+    ([(0, True, 5), (5, False, 0), (10, True, 5)], 5, 10),
+    ([(0, True, 5), (5, True, 5)], 10, 10)])
+def test_paging(spark, pages, complete, all_rows):
     frame = spark.createDataFrame([page(*p) for p in pages], schemas.page_schema(schemas.RAW_INCIDENT))
-    assert landing.pages_until_short(frame, 5, limit).count() == expected
+    rows = landing.pages_until_short(frame, 5)
+    assert (rows.filter("complete").count(), rows.count()) == (complete, all_rows)
+    assert sorted(r.row_seq for r in landing.scan_api_pages(frame).collect()) == sorted(
+        start + i for start, good, n in pages if good for i in range(n))
 
 
 def test_page_errors(spark):
@@ -269,16 +307,35 @@ def test_stream_merge_replay_changes_nothing(spark):
         assert seqs(store.read_incidents(spark, path)) == [1, 2, 5, 7, 8, 9]
 
 
-def test_stream_drops_rows_behind_the_watermark(spark):
+def test_stream_counts_stay_current(spark):
     landed, out, progress = (scratch_path(spark, n) for n in ("landed", "out", "progress"))
     schema = incidents(spark, []).schema
     days = [("1", "2024-01-01", "A", 1, 1), ("2", "2024-01-02", "A", 1, 2), ("3", "2024-01-08", "A", 1, 3)]
-    for delivery in (days, [("4", "2024-01-02 12:00", "A", 1, 4), ("5", "2024-01-20", "A", 1, 5)]):
+    # Row 4 comes too late for its day; row 6 adds to a day that is still open.
+    later = [("4", "2024-01-02 12:00", "A", 1, 4), ("6", "2024-01-08 12:00", "A", 1, 6), ("5", "2024-01-20", "A", 1, 5)]
+    for delivery, want in ((days, [(1, 1), (2, 1), (8, 1)]), (later, [(1, 1), (2, 1), (8, 2), (20, 1)])):
         incidents(spark, delivery).coalesce(1).write.mode("append").parquet(landed)
         counts = feeds.stream_daily_counts(feeds.stream_files(spark, landed, schema), "ts", ["district"])
-        feeds.write_available(counts, out, progress).awaitTermination()
-    got = sorted((r.ds.day, r.y) for r in spark.read.parquet(out).collect())
-    assert got == [(1, 1), (2, 1), (8, 1)]
+        feeds.keep_current(counts, out, progress).awaitTermination()
+        assert sorted((r.ds.day, r.y) for r in feeds.read_current(spark, out, ["district"]).collect()) == want
+
+
+def test_stream_dedup_drops_late_rows_and_old_state(spark):
+    landed, out, progress = (scratch_path(spark, n) for n in ("landed", "out", "progress"))
+    schema = incidents(spark, []).schema
+    deliveries = [
+        [("1", "2024-01-01", "A", 1, 1), ("1", "2024-01-01 06:00", "A", 1, 2), ("2", "2024-01-05", "A", 1, 3)],
+        # 1 again behind the watermark is late; 2 again within it is known.
+        [("1", "2024-01-01", "A", 1, 4), ("2", "2024-01-05", "A", 1, 5), ("3", "2024-01-20", "A", 1, 6)],
+        # The state of 2 has gone by now, so a later 2 counts as new.
+        [("2", "2024-01-21", "A", 1, 7), ("3", "2024-01-20", "A", 1, 8)],
+    ]
+    for delivery in deliveries:
+        incidents(spark, delivery).coalesce(1).write.mode("append").parquet(landed)
+        unique = feeds.stream_dedup(feeds.stream_files(spark, landed, schema), "ts", ["id"], "1 day")
+        feeds.write_available(unique, out, progress).awaitTermination()
+    got = seqs(spark.read.schema(schema).parquet(out))
+    assert [s for s in got if s not in (1, 2)] == [3, 6, 7] and len(got) == 4
 
 
 class _Session:
