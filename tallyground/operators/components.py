@@ -8,38 +8,29 @@ from pyspark.sql import functions as F
 from tallyground.settings import cut_lineage
 
 
-def _smallest_neighbour(edges: DataFrame) -> DataFrame:
-    """An aggregate with map-side combine, so a hub costs one row per task."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def _settled(edges: DataFrame) -> bool:
-    """True when every node has one edge to a root that has no edge itself: each component is a star."""
-    several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
-    chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-    return several.unionByName(chained).isEmpty()
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node with an edge that is not the smallest node of its component.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014) on ``u, v``. Each round is a fixed
-    set of joins and aggregates and is written to the shared folder. Joins meet a hub with a one-row side,
-    which AQE splits when the hub is hot.
+    Each round every node moves to the smallest neighbour of its smallest neighbour, and edges that then lie within one
+    node vanish; the rest goes on between the moved nodes. A star takes one round, and the graph shrinks with every
+    further one. The smallest neighbour is an aggregate with map-side combine, so a hub costs one row per task; joins meet
+    a hub with a one-row side, which AQE splits when the hub is hot. Each round is written to the shared folder.
     """
-    current = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = edges.filter("u <> v").select("u", "v")
+    labels = None
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = _smallest_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = _smallest_neighbour(large)
-        small = (
-            large.join(smallest, "u")
-            .filter("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(smallest.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        current = cut_lineage(small)
-        if _settled(current):
-            return current.select("u", F.col("v").alias("root"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
+        onward = near.select(F.col("u").alias("p"), F.col("p").alias("root"))
+        moved = cut_lineage(near.join(onward, "p").filter("u <> root").select("u", "root"))
+        if labels is None:
+            labels = moved
+        else:
+            step = moved.select(F.col("u").alias("root"), F.col("root").alias("next"))
+            labels = labels.join(step, "root", "left").select("u", F.coalesce("next", "root").alias("root")).unionByName(moved)
+        a, b = (moved.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
+        ends = edges.join(a, "u", "left").join(b, "v", "left")
+        ends = ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).filter("u <> v")
+        edges = cut_lineage(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if edges.isEmpty():
+            return labels
