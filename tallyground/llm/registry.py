@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 from tallyground.llm import decontaminate, lines, minhash, neighbours, packing, secrets, sharding, substrings, suffixes, toxicity
 from tallyground.llm.frames import table
 
+# Words as the contract cuts them, in DuckDB.
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+CONTAMINATION = f"""
+    WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k
+            FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) t(i) WHERE len(w) > 0),
+    place AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
+              FROM d, (SELECT DISTINCT n FROM win) s, unnest(generate_series(1, len(w) - n + 1)) t(i) WHERE len(w) >= n),
+    hit AS (SELECT doc_id, i, place.n, item FROM place JOIN win ON place.k = win.k AND place.n = win.n),
+    covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+                FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(generate_series(i, i + n - 1)) t(j) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+              FROM hit GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -70,7 +90,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "longest", "longest_at")
+
+
+SQL["op7_benchmark_decontamination"] = CONTAMINATION
 
 
 @_query
