@@ -22,15 +22,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         onward = near.select(F.col("u").alias("p"), F.col("p").alias("root"))
-        moved = cut_lineage(near.join(onward, "p").filter("u <> root").select("u", "root"))
+        moved = cut_lineage(near.join(onward, "p").select("u", "root"))
         if labels is None:
             labels = moved
         else:
+            # A label names a node of the smaller graph, which need not have the label of the node it is named after.
             step = moved.select(F.col("u").alias("root"), F.col("root").alias("next"))
-            labels = labels.join(step, "root", "left").select("u", F.coalesce("next", "root").alias("root")).unionByName(moved)
+            labels = labels.join(step, "root", "left").select("u", F.coalesce("next", "root").alias("root"))
         a, b = (moved.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
-        ends = edges.join(a, "u", "left").join(b, "v", "left")
-        ends = ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).filter("u <> v")
+        ends = edges.join(a, "u").join(b, "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v")
         edges = cut_lineage(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         if edges.isEmpty():
-            return labels
+            return labels.filter("u <> root")

@@ -270,6 +270,20 @@ def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return core.join(nodes, CELL)
 
 
+def _numbers(clusters: DataFrame) -> DataFrame:
+    """``cluster``, the place of every ``root`` within its kind, from 0.
+
+    The roots are dealt by range, numbered within their part, and shifted by the sizes of the parts before; so a kind with
+    very many clusters is not numbered in one task.
+    """
+    dealt = cut_lineage(clusters.repartitionByRange("kind", "root").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("kind", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("kind").orderBy("part")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("kind", "part").orderBy("root")) - 1
+    shifted = dealt.join(sizes.select("kind", "part", before.alias("before")), ["kind", "part"])
+    return shifted.select("kind", "root", (place + F.col("before")).cast("bigint").alias("cluster"))
+
+
 def dbscan_labels(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """``kind, point, cluster, is_core`` for every distinct position of ``grid_points``.
 
@@ -282,11 +296,7 @@ def dbscan_labels(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     rooted = nodes.join(roots, F.col("node") == F.col("u"), "left").select(
         "kind", "node", F.coalesce("root", "node").alias("root")
     )
-    # One row per cluster: at most one cluster per patch of eps size, whatever the number of rows.
-    clusters = rooted.select("kind", "root").distinct().withColumn(
-        "cluster", F.row_number().over(Window.partitionBy("kind").orderBy("root")).cast("bigint") - 1
-    )
-    numbered = rooted.join(clusters, ["kind", "root"]).select("node", "cluster")
+    numbered = rooted.join(_numbers(rooted.select("kind", "root").distinct()), ["kind", "root"]).select("node", "cluster")
     rest = points.join(core.select("kind", "point"), ["kind", "point"], "left_anti")
     core = core.join(numbered, "node")
     claimed = (

@@ -62,10 +62,11 @@ def drop_if_present(spark, sf_dir):
     return clean.drop_if_present(view(spark, sf_dir, "inc"), ["lat_raw", "long_raw", "district", "_id"])
 
 
-@query("cast_categoricals", oracle("SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) IS NOT NULL AS has_value FROM {ev}"))
+@query("cast_categoricals", oracle("SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, round(value, 6) + 0.0 AS value, typeof(CAST(value AS VARCHAR)) = 'VARCHAR' AS is_text FROM {ev}"))
 def cast_categoricals(spark, sf_dir):
     rows = clean.cast_categoricals(view(spark, sf_dir, "ev"), ["user_id", "value", "street"])
-    return rows.select("event_id", "user_id", F.col("value").isNotNull().alias("has_value"))
+    number = F.round(F.col("value").cast("double"), 6).alias("value")
+    return rows.select("event_id", "user_id", number, F.lit(dict(rows.dtypes)["value"] == "string").alias("is_text"))
 
 
 @query("rename_offense_type", oracle("SELECT o_orderkey AS order_id, substr(o_orderpriority, 3) AS offense_type FROM orders"))
@@ -139,16 +140,19 @@ def data_freshness(spark, sf_dir):
 
 
 CHECKS_SQL = """
-    SELECT 'empty' AS "check", 'ERROR' AS severity, n AS observed, 0 AS reference, n = 0 AS fired FROM profile
-    UNION ALL SELECT 'dates', 'WARNING', bad, n, n > 0 AND bad > n * 0.1 FROM profile
-    UNION ALL SELECT 'districts', 'WARNING', missing, n, n > 0 AND missing > 0 FROM profile
-    UNION ALL SELECT 'coverage', 'WARNING', days, span, span > 0 AND days < span * 0.8 FROM profile
-    UNION ALL SELECT 'span', 'WARNING', span, 3650, span > 3650 FROM profile
+    SELECT 'empty' AS "check", 'ERROR' AS severity, n AS observed, 0 AS reference, n = 0 AS fired, 'no rows' AS message FROM profile
+    UNION ALL SELECT 'dates', 'WARNING', bad, n, n > 0 AND bad > n * 0.1,
+        format('{} of {} times are unreadable, {:.1f}%', bad, n, bad * 100.0 / n) FROM profile
+    UNION ALL SELECT 'districts', 'WARNING', missing, n, n > 0 AND missing > 0, format('{} of {} districts are empty', missing, n) FROM profile
+    UNION ALL SELECT 'coverage', 'WARNING', days, span, span > 0 AND days < span * 0.8,
+        format('{} days occur in a range of {}, {:.1f}%', days, span, days * 100.0 / span) FROM profile
+    UNION ALL SELECT 'span', 'WARNING', span, 3650, span > 3650, format('over ten years, from {} until {}', oldest, newest) FROM profile
 """
 PROFILE_SQL = """
     SELECT count(*) AS n, count(*) FILTER (ts IS NULL) AS bad, count(*) FILTER (missing_district) AS missing,
            count(DISTINCT CAST(ts AS DATE)) AS days,
-           CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS BIGINT) AS span
+           CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS BIGINT) AS span,
+           CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS oldest, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS newest
     FROM (SELECT TRY_CAST(occurred_raw AS TIMESTAMP) AS ts, district IS NULL AS missing_district FROM {inc})
 """
 
@@ -156,20 +160,20 @@ PROFILE_SQL = """
 def _checks_sql(condition: str) -> str:
     text = CHECKS_SQL.replace("FROM profile", f"FROM ({PROFILE_SQL})")
     return oracle(
-        f'SELECT "check", severity, CAST(observed AS BIGINT) AS observed, CAST(reference AS BIGINT) AS reference, fired '
+        f'SELECT "check", severity, CAST(observed AS BIGINT) AS observed, CAST(reference AS BIGINT) AS reference, fired, message '
         f"FROM ({text}) WHERE {condition}"
     )
 
 
 def _checks(spark, sf_dir):
     rows = typed_incidents(spark, sf_dir)
-    return quality.quality_checks(quality.quality_profile(rows, "ts", "district")).drop("message")
+    return quality.quality_checks(quality.quality_profile(rows, "ts", "district"))
 
 
 @query("validate_data", _checks_sql("fired"))
 def validate_data(spark, sf_dir):
     issues = quality.validate_data(typed_incidents(spark, sf_dir), "ts", "district")
-    return issues.drop("message").withColumn("fired", F.lit(True))
+    return issues.withColumn("fired", F.lit(True))
 
 
 def _register_check(name: str, check: str) -> None:
