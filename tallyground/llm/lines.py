@@ -21,7 +21,7 @@ along by ``remove_lines``, whatever their names, and ignored by ``removed_lines`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyground.settings import cut_lineage
@@ -47,13 +47,19 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def shingled(lines: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and ``shingles``, the hashes of each line's shingles."""
-    words = lines.select(*keep, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
+    """``keep`` and ``shingles``, the hashes of each line's shingles, never empty.
+
+    Explode these with the outer functions: for the others Spark infers a filter on the size, and pushing it down puts the
+    whole word list into the loop over its shingles, which makes a long line cost the square of its length.
+    """
+    # A shingle's hash joins those of its words, each shifted by its place: two and two words, then four, then the fifth.
+    joined = lambda left, right, by: F.zip_with(left, right, lambda x, y: F.shiftleft(x, by).bitwiseXOR(y))
     n = F.size("words")
-    window = F.transform(
-        F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(F.get(F.col("words"), i + j) for j in range(SHINGLE)))
-    )
-    return words.select(*keep, F.when(n <= SHINGLE, F.array(F.xxhash64("words"))).otherwise(window).alias("shingles"))
+    words = lines.select(*keep, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
+    two = words.withColumn("two", joined(F.col("words"), F.slice("words", F.lit(2), n), 7))
+    four = two.withColumn("four", joined(F.col("two"), F.slice("two", F.lit(3), n), 14))
+    five = F.slice(joined(F.col("four"), F.slice("words", F.lit(SHINGLE), n), 7), F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1)))
+    return four.select(*keep, F.when(n <= SHINGLE, F.array(F.xxhash64("words"))).otherwise(five).alias("shingles"))
 
 
 def rarity_class(shingle: Column) -> Column:
@@ -62,7 +68,7 @@ def rarity_class(shingle: Column) -> Column:
 
 def rarity(lines: DataFrame) -> list[list[int]]:
     """Per grade the hash classes whose shingles occur often. A grade holds at most ``RARITY_CLASSES / factor`` classes."""
-    counts = shingled(lines).select(F.explode("shingles").alias("s")).groupBy(rarity_class(F.col("s")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    counts = shingled(lines).select(F.explode_outer("shingles").alias("s")).groupBy(rarity_class(F.col("s")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     counts = cut_lineage(counts)
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / RARITY_CLASSES
     often = counts.filter(F.col("n") > max(2.0, mean) * GRADES[0]).collect()
@@ -109,18 +115,21 @@ def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     counts = rarity(lines)
     sized = ordered(lines, counts, "node").select("node", F.size("set").alias("size"), "set")
     prefix = F.slice("set", F.lit(1), F.col("size") - tenths_up(F.col("size")) + 1)
-    postings = sized.select("node", "size", F.posexplode(prefix).alias("at", "token")).repartition("token")
-    # Both aggregates below need the rows of a token together, as they already are: no further shuffle.
+    postings = sized.select("node", "size", F.posexplode_outer(prefix).alias("at", "token")).repartition("token")
+    # The aggregate and the window need the rows of a token together, as they already are: no further shuffle.
     once = postings.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("at").alias("at"))
-    several = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    shared = cut_lineage(once.join(several, "token").join(firsts, "node"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("token")) > 1
+    shared = cut_lineage(once.withColumn("several", several).filter("several").drop("several"))
+    shared = cut_lineage(shared.join(firsts, "node"))
     if shared.isEmpty():
         return shared.select("node")
     nodes = shared.select("node", "first").distinct()
     asked = nodes.groupBy(F.col("first.d").alias("d"), F.col("first.k").alias("k")).agg(F.collect_set("first.nth").alias("nths"))
     fetched = texts.join(asked, ["d", "k"]).select("nths", F.posexplode(F.split("t", "\n")).alias("nth", "line")).filter(F.array_contains("nths", F.col("nth")))
     fetched = fetched.withColumn("line", F.trim(F.lower("line"))).withColumn("node", F.xxhash64("line"))
-    sets = cut_lineage(ordered(fetched, counts, "node").groupBy("node").agg(F.first("set").alias("set")))
+    sets = cut_lineage(ordered(fetched, counts, "node"))
+    if sets.count() > nodes.count():  # a document that stands in the table several times gave its lines as often
+        sets = cut_lineage(sets.groupBy("node").agg(F.first("set").alias("set")))
 
     head = F.min(F.struct("first", "node", "size", "at")).alias("head")
     heads = shared.groupBy("token").agg(head)
@@ -141,7 +150,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     """``d, k, n_lines, exact, near``: per document (id and text key) its lines with words, and the numbers of those that go,
     as copies of an earlier line or as similar to one."""
     texts = keyed(docs, doc, text)
-    narrow = lines_of(texts).select("d", "k", "nth", "node")
+    narrow = cut_lineage(lines_of(texts).select("d", "k", "nth", "node"))
     firsts = cut_lineage(narrow.groupBy("node").agg(F.min(F.struct("d", "k", "nth")).alias("first")))
     near = near_nodes(texts, firsts).withColumn("is_near", F.lit(True))
     judged = narrow.join(firsts.join(near, "node", "left"), "node")
