@@ -118,30 +118,30 @@ def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     postings = sized.select("node", "size", F.posexplode_outer(prefix).alias("at", "token")).repartition("token")
     # The aggregate and the window need the rows of a token together, as they already are: no further shuffle.
     once = postings.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("at").alias("at"))
-    several = F.count(F.lit(1)).over(Window.partitionBy("token")) > 1
-    shared = cut_lineage(once.withColumn("several", several).filter("several").drop("several"))
+    nodes_there = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    shared = cut_lineage(once.withColumn("there", nodes_there).filter("there > 1"))
     shared = cut_lineage(shared.join(firsts, "node"))
-    if shared.isEmpty():
-        return shared.select("node")
-    nodes = shared.select("node", "first").distinct()
+    heads = shared.groupBy("token").agg(F.min(F.struct("first", "node", "size", "at")).alias("head"))
+    asked = shared.join(heads, "token").filter(F.col("node") != F.col("head.node"))
+    fits = may_match(F.col("size"), F.col("at"), F.col("head.size"), F.col("head.at"))
+    pairs = cut_lineage(asked.filter(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
+
+    # Whole sets are fetched for lines in these pairs, and for those that may meet others than the first of a shingle.
+    crowded = shared.filter("there > 2")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowded.select("node")).distinct()
+    nodes = cut_lineage(shared.select("node", "first").distinct().join(wanted, "node", "left_semi"))
     asked = nodes.groupBy(F.col("first.d").alias("d"), F.col("first.k").alias("k")).agg(F.collect_set("first.nth").alias("nths"))
     fetched = texts.join(asked, ["d", "k"]).select("nths", F.posexplode(F.split("t", "\n")).alias("nth", "line")).filter(F.array_contains("nths", F.col("nth")))
     fetched = fetched.withColumn("line", F.trim(F.lower("line"))).withColumn("node", F.xxhash64("line"))
     sets = cut_lineage(ordered(fetched, counts, "node"))
     if sets.count() > nodes.count():  # a document that stands in the table several times gave its lines as often
         sets = cut_lineage(sets.groupBy("node").agg(F.first("set").alias("set")))
-
-    head = F.min(F.struct("first", "node", "size", "at")).alias("head")
-    heads = shared.groupBy("token").agg(head)
-    asked = shared.join(heads, "token").filter(F.col("node") != F.col("head.node"))
-    fits = may_match(F.col("size"), F.col("at"), F.col("head.size"), F.col("head.at"))
-    pairs = cut_lineage(asked.filter(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
     gone = cut_lineage(similar(pairs, sets).select(F.col("u").alias("node")).distinct())
 
-    left = shared.join(gone, "node", "left_anti").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "first", "size", "at")))
+    left = crowded.join(gone, "node", "left_anti").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "first", "size", "at")))
     earlier = F.col("first") < F.col("x_first")
     fits = may_match(F.col("x_size"), F.col("x_at"), F.col("size"), F.col("at"))
-    more = left.join(shared, "token").filter(earlier & fits).select(F.col("x_node").alias("u"), F.col("node").alias("v")).distinct()
+    more = left.join(crowded, "token").filter(earlier & fits).select(F.col("x_node").alias("u"), F.col("node").alias("v")).distinct()
     more = more.join(pairs, ["u", "v"], "left_anti")
     return gone.unionByName(similar(more, sets).select(F.col("u").alias("node")).distinct())
 
