@@ -6,10 +6,10 @@ weight, rank and coordinate follow from the shingle alone. A document keeps the
 coordinate the one of the smallest rank; two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity. Only about ``t log t + 2 t`` darts are looked at, whatever the document's length.
 
-Documents that agree in all coordinates of one of ``BANDS`` bands meet in a bucket. A bucket links its members to one
-leader, never to each other, so its pairs grow with its members; each pair is verified on whole texts. Buckets whose
-members are still in several components choose new leaders by another hash, until a round of that finds no further link.
-Classes are the connected components.
+Documents that agree in all coordinates of one of ``BANDS`` bands meet in a bucket. A bucket links its members to
+``LEADERS`` of them, never all to each other, so its pairs grow with its members; each pair is verified on whole texts.
+Buckets whose members are still in several components choose further leaders by other hashes, until a round of that
+finds no further link. Classes are the connected components.
 
 Documents with equal word sequences are one node (64-bit hash) before banding, so copies cost nothing further.
 
@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 is missed by all bands with probability (1 - 0.8^4)^24, below 4 in a million.
 BANDS = 24
 BAND_ROWS = 4
+# Leaders that a bucket compares its members with in one round.
+LEADERS = 3
 RANK_UNIT = 0.125
 LAST = (1 << 63) - 1
 ELEMENT_BITS = 50
@@ -177,31 +179,44 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 
 def components(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``node, root`` for nodes that are linked to a smaller one, from ``members`` (``key, node``) of shared buckets."""
-    spark = members.sparkSession
-    links = roots = tried = None
+    """``node, root`` for nodes that are not the root of their class, from ``members`` (``key, node``) of shared buckets."""
+    chosen = [F.min("node").alias("l0")] + [F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"l{k}") for k in range(1, LEADERS)]
+    leaders = members.groupBy("key").agg(*chosen).select("key", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("v"))
+    asked = members.join(leaders, "key").filter("node <> v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    tried = cut_lineage(asked.distinct())
+    links = cut_lineage(verified(tried, texts, shingle, least))
+    if links.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = cut_lineage(connected_components(links).select(F.col("u").alias("node"), "root"))
     turn = 0
     while True:
-        if roots is None:
-            leaders = members.groupBy("key").agg(F.min("node").alias("v"))
-            open_ = members.join(leaders, "key").filter("node <> v").select(F.col("node").alias("u"), "v")
-        else:
-            # Buckets in several components choose another leader; only members of other components ask it.
-            placed = cut_lineage(members.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-            order = F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), F.col("node"), F.col("root"))
-            leaders = placed.groupBy("key").agg(F.min(order).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-            open_ = placed.join(leaders.select("key", "m"), "key").filter(F.col("root") != F.col("m.root")).select(F.col("node").alias("u"), F.col("m.node").alias("v"))
-        pairs = open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        new = cut_lineage(verified(pairs, texts, shingle, least))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        # Buckets in several components choose members of their largest one, and one of the smallest, as further leaders.
+        # Members of the largest component need not ask: whoever is like them asks them.
         turn += 1
-        if links is not None and new.isEmpty():
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        placed = cut_lineage(placed.join(sizes, "root", "left").select("key", "node", "root", F.coalesce("size", F.lit(0)).alias("size")))
+        one = F.struct("node", "root")
+        draw = [F.xxhash64(F.lit(turn), F.lit(k), "key", "node") for k in range(LEADERS + 1)]
+        large = [F.max_by(one, F.struct("size", "root", draw[k])) for k in range(LEADERS)]
+        large = F.array(*large, F.min_by(one, F.struct("size", draw[LEADERS]))).alias("ls")
+        leaders = placed.groupBy("key").agg(large, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        leaders = leaders.select("key", F.col("ls")[0]["root"].alias("main"), F.explode(F.array_distinct("ls")).alias("l"))
+        asked = placed.join(leaders, "key").filter("root <> main and root <> l.root")
+        asked = asked.select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v")).distinct()
+        asked = cut_lineage(asked.join(tried, ["u", "v"], "left_anti"))
+        new = cut_lineage(verified(asked, texts, shingle, least))
+        if new.isEmpty():
             return roots
-        links = new if links is None else links.unionByName(new)
-        if links.isEmpty():
-            return spark.createDataFrame([], "node long, root long")
-        roots = cut_lineage(connected_components(links).select(F.col("u").alias("node"), "root"))
+        tried = tried.unionByName(asked)
+        own = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        edges = new.join(own, "u", "left").join(own.select(F.col("u").alias("v"), F.col("a").alias("b")), "v", "left")
+        edges = edges.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+        # Roots that move, and nodes that had no root before.
+        step = cut_lineage(connected_components(cut_lineage(edges.distinct())).select(F.col("u").alias("node"), "root"))
+        onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        known = roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        roots = cut_lineage(known.unionByName(step))
 
 
 def classes(
