@@ -20,7 +20,8 @@ holds an unbounded group; the list of such samples is bounded by ``MOST_HEAVY``.
 must agree, so that equality is one of 112 bits.
 
 Cases: a null text is empty; texts shorter than ``length`` lose nothing; a null id comes after all others; rows with the
-same id never cover each other; repeated rows each get the same result; an empty table gives an empty result; further
+same id never cover each other, and are told apart by 32 bits of a hash of their text; repeated rows each get the same
+result; an empty table gives an empty result; further
 columns travel inside ``record``.
 """
 
@@ -41,8 +42,11 @@ from tallyground.settings import cut_lineage
 LENGTH = 50
 GRAM = 16
 # Bytes of text whose runs are combined and sent together, and bytes of text per bucket.
-SLICE = 16 << 20
-BUCKET_BYTES = 16 << 20
+SLICE = 8 << 20
+BUCKET_BYTES = 8 << 20
+# Bytes of text that are hashed at once, and rows that are turned into Python objects at once.
+HASHED = 1 << 20
+ROWS = 256
 # A sample is heavy from so many runs on, and from this share of all slices' runs.
 HEAVY = 2000
 MOST_HEAVY = 1_000_000
@@ -98,7 +102,7 @@ def collected(batches: Iterator[pa.RecordBatch], length: int, gram: int, heavy:
     """Runs of about ``SLICE`` bytes of text at once: ids, text keys, and the runs with their document's number there."""
     held, size = [], 0
     ids, keys, base = [], [], 0
-    for batch, data, offsets in tk.slices(batches, "t"):
+    for batch, data, offsets in tk.slices(batches, "t", HASHED):
         a, b, h, c, doc, spans = runs(data, offsets, length, gram)
         if len(heavy) and len(a):
             place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
@@ -110,7 +114,7 @@ def collected(batches: Iterator[pa.RecordBatch], length: int, gram: int, heavy:
                 a, b = np.concatenate([a[~split], starts]), np.concatenate([b[~split], starts + length])
                 h, c = np.concatenate([h[~split], tk.mix(names)]), np.concatenate([c[~split], names])
                 doc = np.concatenate([doc[~split], np.repeat(doc[split], n)])
-        held.append((h, c, doc + base, a - offsets[doc], b - a))
+        held.append((h, c, *(v.astype(np.int32) for v in (doc + base, a - offsets[doc], b - a))))
         ids.append(tk.long_column(batch, "d"))
         keys.append(tk.long_column(batch, "k"))
         base, size = base + batch.num_rows, size + len(data)
@@ -217,7 +221,7 @@ def found_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFr
                 if len(pick):
                     docs, local = np.unique(doc[pick], return_inverse=True)
                     size = (n[pick].astype(np.uint32) << np.uint32(1)) | done[pick].astype(np.uint32)
-                    rows.append((j, to_blob(h[pick], (c[pick] >> np.uint64(16)).astype(np.uint32), (c[pick] & np.uint64(0xFFFF)).astype(np.uint16), local.astype(np.uint32), a[pick].astype(np.uint32), size), to_blob(ids[docs], keys[docs])))
+                    rows.append((j, to_blob(h[pick], (c[pick] >> np.uint64(16)).astype(np.uint32), (c[pick] & np.uint64(0xFFFF)).astype(np.uint16), local.astype(np.uint32), a[pick].astype(np.uint32), size), to_blob(ids[docs], keys[docs].astype(np.uint32))))
             for at in range(0, len(rows), 256):
                 part = list(zip(*rows[at : at + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["bucket", "runs", "docs"])
@@ -226,8 +230,8 @@ def found_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFr
         parts = []
         for blob, docs in zip(table.column("runs").to_pylist(), table.column("docs").to_pylist(), strict=True):
             h, c1, c2, local, a, n = from_blob(blob, (np.uint64, np.uint32, np.uint16, np.uint32, np.uint32, np.uint32))
-            ids, keys = from_blob(docs, (np.int64, np.int64))
-            parts.append((h, c1.astype(np.uint64) << np.uint64(16) | c2, ids[local], keys[local], a, n))
+            ids, keys = from_blob(docs, (np.int64, np.uint32))
+            parts.append((h, c1.astype(np.uint64) << np.uint64(16) | c2, ids[local], keys[local].astype(np.int64), a, n))
         h, c, d, k, a, n = (np.concatenate(v) for v in zip(*parts, strict=True))
         done, n = (n & np.uint32(1)).astype(bool), n >> np.uint32(1)
         covered, tie = decide(h, c, d)
@@ -239,6 +243,12 @@ def found_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFr
     return cut_lineage(dealt.groupBy("bucket").applyInArrow(settle, SPANS_TYPE))
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def spans_of(blobs: list[bytes]) -> list[np.ndarray]:
     parts = [from_blob(b, [kind for _, kind in SPAN]) for b in blobs]
     return [np.concatenate(v) for v in zip(*parts, strict=True)]
@@ -250,7 +260,7 @@ def settled_ties(texts: DataFrame, found: DataFrame, buckets: int, length: int)
     joined = texts.join(tied, ["d", "k"])
 
     def fetch(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for d, k, text, blobs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("d", "k", "t", "spans")), strict=True):
                 raw = text.encode()
@@ -301,14 +311,14 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, removed`` (stretches of bytes) and ``kept`` (the remaining bytes) for every row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(t).alias("k"), t.alias("t"), F.col(doc).cast("long").alias("id"))
+    texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("d"), (F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF))).alias("k"), t.alias("t"), F.col(doc).cast("long").alias("id"))
     buckets = max(1, math.ceil(size_of(docs, text)[1] / BUCKET_BYTES))
     found = found_runs(texts, buckets, length, gram)
     every = found.unionByName(settled_ties(texts, found, buckets, length)).groupBy("d", "k").agg(F.collect_list("spans").alias("spans"))
     joined = texts.join(every, ["d", "k"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in small(batches):
             ids, sizes, lost, kept = [], [], [], []
             for i, raw, blobs in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = raw.encode()
