@@ -6,10 +6,16 @@ weight, rank and coordinate follow from the shingle alone. A document keeps the
 coordinate the one of the smallest rank; two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity. Only about ``t log t + 2 t`` darts are looked at, whatever the document's length.
 
-Documents that agree in all coordinates of one of ``BANDS`` bands meet in a bucket. A bucket links its members to
-``LEADERS`` of them, never all to each other, so its pairs grow with its members; each pair is verified on whole texts.
-Buckets whose members are still in several components choose further leaders by other hashes, until a round of that
-finds no further link. Classes are the connected components.
+Documents that agree in all coordinates of one of ``BANDS`` bands meet in a bucket. Each candidate pair is verified on whole
+texts, and classes are the connected components.
+
+1. A bucket of at most ``SMALL`` members lists all its pairs. A larger one links its members to ``LEADERS`` of them, so that
+   pairs grow with its members; ``TURNS`` times it then draws further leaders, if its members are in several components.
+2. Larger buckets that still hold several components are settled exactly: their members are joined on the rare shingles that
+   two similar texts must share (prefix filter, each occurrence of a shingle counts), where their components differ and
+   sizes and places leave room for the similarity. One pair for each two components is verified first, then all pairs
+   whose components that has not joined. So no link of a bucket is lost. Members that are nearly similar, but in a component
+   each, cost a comparison per pair that shares such a shingle.
 
 Documents with equal word sequences are one node (64-bit hash) before banding, so copies cost nothing further.
 
@@ -36,8 +42,14 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 is missed by all bands with probability (1 - 0.8^4)^24, below 4 in a million.
 BANDS = 24
 BAND_ROWS = 4
-# Leaders that a bucket compares its members with in one round.
+# Leaders that a bucket compares its members with in one round, and rounds after the first.
 LEADERS = 3
+TURNS = 2
+# Members of a bucket whose pairs are all verified at once.
+SMALL = 8
+# Hash classes in which shingles are counted to order them by rarity, and the bits of a shingle's key below its rarity.
+RARITY_CLASSES = 1 << 20
+RARITY_SHIFT = 58
 RANK_UNIT = 0.125
 LAST = (1 << 63) - 1
 ELEMENT_BITS = 50
@@ -178,45 +190,146 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return two.select("u", "v", "a", "b").mapInArrow(scan, "u long, v long")
 
 
+def tokens(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """``document, token``: a token for each occurrence of a shingle, so that the sets have the weighted similarity."""
+    doc, element, count, _ = elements(data, offsets, shingle)
+    with np.errstate(over="ignore"):
+        nth = tk.expand(np.zeros(len(count), np.int64), count).astype(_U)
+        return np.repeat(doc, count), tk.mix(np.repeat(element, count) * _A + nth * _C)
+
+
+def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Per hash class the bits of its number of tokens."""
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        n = np.zeros(RARITY_CLASSES, np.int64)
+        for _, data, offsets in tk.slices(batches, "t"):
+            n += np.bincount((tokens(data, offsets, shingle)[1] % _U(RARITY_CLASSES)).astype(np.int64), minlength=RARITY_CLASSES)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["c", "n"])
+
+    counts = texts.select("t").mapInArrow(scan, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    bits = np.zeros(RARITY_CLASSES, np.uint8)
+    bits[np.asarray(counts["c"])] = np.log2(np.asarray(counts["n"]) + 1).astype(np.uint8)
+    return bits
+
+
+def prefixes(texts: DataFrame, bits: np.ndarray, shingle: int, least: float) -> DataFrame:
+    """``token, node, root, size, at, short``: the rarest tokens of a text, of which any similar one has one.
+
+    ``short`` marks those that are enough on the smaller side of a pair.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch, data, offsets in tk.slices(batches, "t"):
+            doc, token = tokens(data, offsets, shingle)
+            key = (bits[(token % _U(RARITY_CLASSES)).astype(np.int64)].astype(_U) << _U(RARITY_SHIFT)) | (token >> _U(64 - RARITY_SHIFT))
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            size = np.bincount(doc, minlength=batch.num_rows)
+            at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+            size = size[doc]
+            # Two texts of similarity s share s of the larger one's size at least, and 2s / (1 + s) of the smaller one's.
+            keep = at <= size - np.ceil(least * size - 1e-6)
+            short = at <= size - np.ceil(2 * least / (1 + least) * size - 1e-6)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[keep].view(np.int64)), pa.array(tk.long_column(batch, "node")[doc[keep]]), pa.array(tk.long_column(batch, "root")[doc[keep]]),
+                    pa.array(size[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(short[keep]),
+                ],
+                names=["token", "node", "root", "size", "at", "short"],
+            )
+
+    return texts.select("node", "root", "t").mapInArrow(scan, "token long, node long, root long, size int, at int, short boolean")
+
+
+def across(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``u, v, a, b, room``: nodes of different components (``a < b``) that may be similar, and the most they can share of all
+    their shingles. ``texts``: ``node, root, t``."""
+    every = cut_lineage(prefixes(texts, rarity(texts, shingle), shingle, least))
+    # Tokens of one component only link nothing; what is left is joined on the token, where Spark splits hot ones.
+    several = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    every = cut_lineage(every.join(several, "token"))
+    one = every.filter("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "at")))
+    most = F.least("at", "x_at") + F.least(F.col("size") - F.col("at"), F.col("x_size") - F.col("x_at"))
+    both = F.col("size") + F.col("x_size")
+    ordered = (F.struct("x_size", "x_node") < F.struct("size", "node")) & (F.col("root") != F.col("x_root"))
+    fits = (F.col("x_size") >= F.col("size") * least - 1e-6) & (most * (1 + least) >= both * least - 1e-6)
+    met = every.join(one, "token").filter(ordered & fits)
+    first = F.col("x_root") < F.col("root")
+    sides = [F.when(first, F.col(f"x_{c}")).otherwise(F.col(c)) for c in ("node", "root")]
+    others = [F.when(first, F.col(c)).otherwise(F.col(f"x_{c}")) for c in ("node", "root")]
+    met = met.select(sides[0].alias("u"), others[0].alias("v"), sides[1].alias("a"), others[1].alias("b"), (most / (both - most)).alias("room"))
+    return met.groupBy("u", "v", "a", "b").agg(F.min("room").alias("room"))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links ``u, v``."""
+    own = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
+    edges = links.join(own, "u", "left").join(own.select(F.col("u").alias("v"), F.col("a").alias("b")), "v", "left")
+    edges = edges.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    # Roots that move, and nodes that had no root before.
+    step = cut_lineage(connected_components(cut_lineage(edges.distinct())).select(F.col("u").alias("node"), "root"))
+    onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    known = roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut_lineage(known.unionByName(step))
+
+
 def components(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``node, root`` for nodes that are not the root of their class, from ``members`` (``key, node``) of shared buckets."""
+    """``node, root`` for nodes that are not the root of their class, from ``members`` (``key, n, node``) of shared buckets of
+    ``n`` nodes."""
+    few = members.filter(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("ns"))
+    few = few.select(F.explode(F.flatten(F.transform("ns", lambda u, i: F.transform(F.slice("ns", i + 2, SMALL), lambda v: F.struct(u.alias("u"), v.alias("v")))))).alias("p"))
+    members = members.filter(F.col("n") > SMALL)
     chosen = [F.min("node").alias("l0")] + [F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"l{k}") for k in range(1, LEADERS)]
     leaders = members.groupBy("key").agg(*chosen).select("key", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("v"))
     asked = members.join(leaders, "key").filter("node <> v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
-    tried = cut_lineage(asked.distinct())
+    tried = cut_lineage(asked.unionByName(few.select("p.u", "p.v")).distinct())
     links = cut_lineage(verified(tried, texts, shingle, least))
     if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = cut_lineage(connected_components(links).select(F.col("u").alias("node"), "root"))
-    turn = 0
-    while True:
-        # Buckets in several components choose members of their largest one, and one of the smallest, as further leaders.
-        # Members of the largest component need not ask: whoever is like them asks them.
-        turn += 1
+        roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    else:
+        roots = cut_lineage(connected_components(links).select(F.col("u").alias("node"), "root"))
+    members = cut_lineage(members.select("key", "node"))
+    for turn in range(TURNS + 1):
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         placed = cut_lineage(placed.join(sizes, "root", "left").select("key", "node", "root", F.coalesce("size", F.lit(0)).alias("size")))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        placed = cut_lineage(placed.join(open_keys, "key"))
+        if placed.isEmpty():
+            return roots
+        if turn == TURNS:
+            break
+        # Members of a bucket's largest component, and one of its smallest, are further leaders; those outside the largest ask.
         one = F.struct("node", "root")
-        draw = [F.xxhash64(F.lit(turn), F.lit(k), "key", "node") for k in range(LEADERS + 1)]
+        draw = [F.xxhash64(F.lit(turn + 1), F.lit(k), "key", "node") for k in range(LEADERS + 1)]
         large = [F.max_by(one, F.struct("size", "root", draw[k])) for k in range(LEADERS)]
         large = F.array(*large, F.min_by(one, F.struct("size", draw[LEADERS]))).alias("ls")
-        leaders = placed.groupBy("key").agg(large, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        leaders = placed.groupBy("key").agg(large)
         leaders = leaders.select("key", F.col("ls")[0]["root"].alias("main"), F.explode(F.array_distinct("ls")).alias("l"))
         asked = placed.join(leaders, "key").filter("root <> main and root <> l.root")
         asked = asked.select(F.least("node", "l.node").alias("u"), F.greatest("node", "l.node").alias("v")).distinct()
         asked = cut_lineage(asked.join(tried, ["u", "v"], "left_anti"))
-        new = cut_lineage(verified(asked, texts, shingle, least))
-        if new.isEmpty():
-            return roots
         tried = tried.unionByName(asked)
-        own = roots.select(F.col("node").alias("u"), F.col("root").alias("a"))
-        edges = new.join(own, "u", "left").join(own.select(F.col("u").alias("v"), F.col("a").alias("b")), "v", "left")
-        edges = edges.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
-        # Roots that move, and nodes that had no root before.
-        step = cut_lineage(connected_components(cut_lineage(edges.distinct())).select(F.col("u").alias("node"), "root"))
-        onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        known = roots.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        roots = cut_lineage(known.unionByName(step))
+        links = cut_lineage(verified(asked, texts, shingle, least))
+        if not links.isEmpty():
+            roots = joined(roots, links)
+
+    unsettled = cut_lineage(texts.join(placed.select("node", "root").distinct(), "node").select("node", "root", "t"))
+    known = tried.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    pairs = across(unsettled, shingle, least).withColumns({"x": F.least("u", "v"), "y": F.greatest("u", "v")})
+    pairs = cut_lineage(pairs.join(known, ["x", "y"], "left_anti").select("u", "v", "a", "b", "room"))
+    likely = pairs.groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("room", "u", "v")).alias("p")).select("p.u", "p.v")
+    links = cut_lineage(verified(likely, unsettled, shingle, least))
+    if not links.isEmpty():
+        roots = joined(roots, links)
+    # Of the others, those between components that are still apart.
+    own = roots.select(F.col("node").alias("a"), F.col("root").alias("p"))
+    rest = pairs.join(likely, ["u", "v"], "left_anti").join(own, "a", "left").join(own.select(F.col("a").alias("b"), F.col("p").alias("q")), "b", "left")
+    rest = rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")).select("u", "v")
+    links = cut_lineage(verified(rest, unsettled, shingle, least))
+    return roots if links.isEmpty() else joined(roots, links)
 
 
 def classes(
@@ -229,7 +342,7 @@ def classes(
     first = F.min(F.struct("d", "k"))
     nodes = cut_lineage(rows.groupBy("node").agg(first.alias("first"), F.max("bands").alias("bands")))
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(keys.join(shared, "key"))
     asked = members.select("node").distinct().join(nodes.select("node", "first.d", "first.k"), "node")
     # A document that stands in the table several times is fetched once.

@@ -318,6 +318,26 @@ def test_minhash_against_brute_force(spark):
     assert minhash.keep_first(empty(spark)).count() == 0
 
 
+def test_minhash_joins_families_by_single_links(spark):
+    # Families of 150 near copies; the first document of each is similar to the first of the next, and no other pair is.
+    base, rows = [f"w{i}" for i in range(400)], []
+    for f in range(4):
+        for i in range(150):
+            text = list(base)
+            for spot in (10 + 5 * (i % 25), 140 + 5 * (i * 7 % 25)) if i else ():
+                text[spot] = f"own{f}x{i}"
+            rows.append((f * 1000 + i, " ".join(text)))
+        for k in range(7):
+            base[390 - 6 * (7 * f + k)] = f"next{f}x{k}"
+    classes = brute.near_classes([r for r in rows if r[0] % 1000 < 12])
+    assert set(classes) == {0}
+    sets = {i: brute.shingles(t) for i, t in rows if i % 1000 < 12}
+    alike = lambda i, j: (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total()
+    assert [(i, j) for i in sets for j in sets if i // 1000 < j // 1000 and alike(i, j)] == [(0, 1000), (1000, 2000), (2000, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.class_d for r in minhash.classes(df).collect()} == {0}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     element = np.arange(300, dtype=np.uint64) * np.uint64(7919)
