@@ -1,11 +1,14 @@
-"""Substring dedup by hashing units of text: lines, paragraphs, or the sentences of lines.
+"""Substring dedup by hashing units of text: lines, paragraphs, the sentences of lines, or those and their clauses.
 
 Each unit is normalised to its words (A-Z lower-cased, punctuation and white space dropped) and hashed to 128 bits.
 Units of equal digests are the same; the one of the smallest rank (document id, then place in the text) stays and the
 rest is removed. Digests are first counted with a partial sum in each task, so a unit in a third of all documents costs
 one row per task; only digests that occur twice are joined with the units, by a join whose hot keys Spark can split.
 
-Units of fewer than ``least_words`` words always stay: they are common in ordinary prose.
+Units of fewer than ``least_words`` words stay: they are common in ordinary prose. With ``unit="clause"`` a sentence that stays
+loses its repeated clauses (up to a comma, semicolon or colon before a blank), so that a passage inside other prose is found but for
+the clauses at its ends; and a short clause goes where it follows or precedes, with nothing but short clauses between, the same
+longer clause as in an earlier place, which that longer clause repeats.
 
 Cases: a null text has no units; a null id ranks after all others; rows of equal id and equal text are one document and
 get the same result; rows of equal id and different text rank by a hash of the text; an empty table gives an empty
@@ -26,7 +29,7 @@ from tallyground.llm import textkit as tk
 LEAST_WORDS = 5
 LAST = (1 << 63) - 1
 KEY = ("id key", "text key")
-UNITS = "d long, h long, nth int, a int, b int, x long, y long"
+UNITS = "d long, h long, s int, whole boolean, a int, b int, x long, y long"
 
 
 def unit_bounds(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
@@ -36,27 +39,55 @@ def unit_bounds(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
         ends = np.flatnonzero(newline[1:] & newline[:-1]) + 2
     else:
         ends = np.flatnonzero(newline) + 1
-    if unit == "sentence":
-        stop = (data == ord(".")) | (data == ord("!")) | (data == ord("?"))
+    if unit in ("sentence", "clause"):
+        stop = np.isin(data, np.frombuffer(b".!?,;:" if unit == "clause" else b".!?", np.uint8))
         ends = np.concatenate([ends, np.flatnonzero(stop[:-1] & (data[1:] == 32)) + 1])
     begin = np.unique(np.concatenate([offsets[:-1], ends]))
     return begin[begin < len(data)]
 
 
-def units(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, ...]:
-    """``document, number in it, first byte, end byte, digest, second digest, words`` of every unit with words."""
-    begin = unit_bounds(data, offsets, unit)
+def units(data: np.ndarray, offsets: np.ndarray, unit: str, least_words: int) -> tuple[np.ndarray, ...]:
+    """``document, first byte of the sentence, whole, first byte, end byte, digest, second digest`` of the units that may go.
+
+    ``whole`` is false for the clauses of a longer sentence.
+    """
     starts, ends, _ = tk.words(data, offsets)
     hashes = tk.word_hashes(data, starts, ends)
-    low = np.searchsorted(starts, begin)
-    high = np.concatenate([low[1:], [len(starts)]])
-    stop = np.concatenate([begin[1:], [len(data)]])
-    doc = np.searchsorted(offsets, begin, "right") - 1
-    nth = np.arange(len(begin)) - np.searchsorted(doc, doc)
     one, two = tk.SpanHash(hashes), tk.SpanHash(tk.mix(hashes ^ np.uint64(0xA5A5A5A5)))
-    keep = high > low
-    doc, nth, begin, stop, low, high = (v[keep] for v in (doc, nth, begin, stop, low, high))
-    return doc, nth, begin - offsets[doc], stop - offsets[doc], one(low, high).view(np.int64), two(low, high).view(np.int64), high - low
+
+    def cut(unit: str) -> tuple[np.ndarray, ...]:
+        begin = unit_bounds(data, offsets, unit)
+        low = np.searchsorted(starts, begin)
+        high = np.concatenate([low[1:], [len(starts)]])
+        stop = np.concatenate([begin[1:], [len(data)]])
+        keep = high > low
+        return tuple(v[keep] for v in (np.searchsorted(offsets, begin, "right") - 1, begin, stop, low, high))
+
+    doc, begin, stop, low, high = cut("sentence" if unit == "clause" else unit)
+    keep = high - low >= least_words
+    found = [tuple(v[keep] for v in (doc, begin, np.ones(len(doc), bool), begin, stop, one(low, high), two(low, high)))]
+    if unit == "clause" and len(doc):
+        sentence, sentence_low, sentence_high = begin, low, high
+        doc, begin, stop, low, high = cut("clause")
+        of = np.searchsorted(sentence_low, low, "right") - 1
+        sentence, whole = sentence[of], (sentence_low[of] == low) & (sentence_high[of] == high)
+        x, y = one(low, high), two(low, high)
+        long = high - low >= least_words
+        keep = long & ~whole
+        found.append(tuple(v[keep] for v in (doc, sentence, whole, begin, stop, x, y)))
+        # Short clauses: a digest of the nearest long clause on each side and of the words from there up to the clause's far end.
+        short, anchors = np.flatnonzero(~long), np.flatnonzero(long)
+        after = np.searchsorted(anchors, short)
+        for side, at in enumerate((after - 1, after)):
+            own = short[(at >= 0) & (at < len(anchors))]
+            anchor = anchors[at[(at >= 0) & (at < len(anchors))]]
+            own, anchor = own[doc[own] == doc[anchor]], anchor[doc[own] == doc[anchor]]
+            first, last = (low[own], low[anchor]) if side else (high[anchor], high[own])
+            with np.errstate(over="ignore"):
+                x2, y2 = (tk.mix(v[anchor] * np.uint64(2 * side + 3) + run(first, last)) for v, run in ((x, one), (y, two)))
+            found.append((doc[own], sentence[own], whole[own], begin[own], stop[own], x2, y2))
+    doc, sentence, whole, begin, stop, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return doc, sentence - offsets[doc], whole, begin - offsets[doc], stop - offsets[doc], x.view(np.int64), y.view(np.int64)
 
 
 def keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -68,15 +99,13 @@ def keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def all_units(rows: DataFrame, text: str, unit: str, least_words: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]):
         for batch, data, offsets in tk.slices(batches, "t"):
-            doc, nth, a, b, x, y, n = units(data, offsets, unit)
-            keep = n >= least_words
-            doc = doc[keep]
+            doc, sentence, whole, a, b, x, y = units(data, offsets, unit, least_words)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(tk.long_column(batch, "d")[doc]), pa.array(tk.long_column(batch, "h")[doc]),
-                    *(pa.array(v[keep].astype(np.int32)) for v in (nth, a, b)), pa.array(x[keep]), pa.array(y[keep]),
+                    pa.array(tk.long_column(batch, "d")[doc]), pa.array(tk.long_column(batch, "h")[doc]), pa.array(sentence.astype(np.int32)),
+                    pa.array(whole), *(pa.array(v.astype(np.int32)) for v in (a, b)), pa.array(x), pa.array(y),
                 ],
-                names=["d", "h", "nth", "a", "b", "x", "y"],
+                names=["d", "h", "s", "whole", "a", "b", "x", "y"],
             )
 
     return rows.select(F.col(KEY[0]).alias("d"), F.col(KEY[1]).alias("h"), F.col(text).alias("t")).mapInArrow(scan, UNITS)
@@ -85,14 +114,17 @@ def all_units(rows: DataFrame, text: str, unit: str, least_words: int) -> DataFr
 def repeats(rows: DataFrame, text: str, unit: str, least_words: int) -> DataFrame:
     """``d, h, spans``: the spans of bytes that a document loses, for documents that lose any."""
     found = all_units(rows, text, unit, least_words)
-    rank = F.struct("d", "h", "nth")
+    rank = F.struct("d", "h", "a")
     first = found.groupBy("x", "y").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(first.select("x", "y", "first"), ["x", "y"]).filter(rank != F.col("first"))
-    # Rows of one document repeated in the table give the same span more than once.
-    return later.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    # Rows of one document repeated in the table give the same span more than once. A sentence that goes takes its clauses along.
+    span = F.struct("a", "b")
+    of_sentence = later.groupBy("d", "h", "s").agg(F.max(F.when(F.col("whole"), span)).alias("all"), F.collect_set(span).alias("some"))
+    spans = F.when(F.col("all").isNull(), F.col("some")).otherwise(F.array("all"))
+    return of_sentence.groupBy("d", "h").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", unit: str = "clause", least_words: int = LEAST_WORDS) -> DataFrame:
     """``record`` (all columns of the row), ``spans`` (removed bytes, offsets of the original text) and ``kept``."""
     rows = keyed(docs, doc, text).select(*KEY, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"))
     lost = repeats(keyed(docs, doc, text), text, unit, least_words)

@@ -381,6 +381,15 @@ def test_units_against_brute_force(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_clauses_of_a_passage_inside_other_prose(spark):
+    passage = "the first clause of it has words, the second clause of it follows; yes, of course, and the third one ends it here"
+    rows = [(1, f"Before. {passage}."), (2, f"A host that begins so, {passage}, and a host that goes on. Yes, of course, new words stand here too."), (3, f"Before. {passage}.")]
+    left = {r.record.doc_id: r.kept for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1]
+    assert left[2] == "A host that begins so, and a host that goes on. Yes, of course, new words stand here too."
+    assert left[3] == ""
+
+
 # Toxicity
 
 
