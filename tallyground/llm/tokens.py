@@ -2,12 +2,14 @@
 
 The vocabulary's split pattern is applied as array operations on character classes; each distinct piece is encoded once
 per worker and kept, so most of the work is one lookup per piece. Texts with an apostrophe before one of the pattern's
-contraction letters are encoded one by one.
+contraction letters are encoded one by one. Texts are first cut at the literals of the file's added tokens, which get
+their ids, as the tokenizer does by default.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -42,13 +44,16 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``added``: whether the literals of added tokens stand for these, or are text like any other."""
+
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
         if model["type"] != "BPE":
             raise ValueError(f"{path} is no byte-level BPE vocabulary")
         byte_of = _byte_of()
@@ -56,6 +61,10 @@ class Encoder:
         special = {token for token in model["vocab"] if token.startswith("<|")}
         ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens", [])} if added else {}
+        if added and any(t.get(k) for t in whole.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} has added tokens that take blanks or words around them into account")
+        self.literal = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self._forget()
 
     def _forget(self) -> None:
@@ -86,6 +95,28 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
+        whole = data.tobytes()
+        if not any(t in whole for t in self.added):
+            return self._plain(data, offsets)
+        begin, end, mark, after, doc = [], [], [], [], []  # the texts between literals, and after which of them a literal comes
+        for k, (at, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for m in self.literal.finditer(whole, at, stop):
+                mark.append(self.added[m[0]])
+                after.append(len(begin))
+                begin.append(at)
+                end.append(m.start())
+                doc.append(k)
+                at = m.end()
+            begin.append(at)
+            end.append(stop)
+            doc.append(k)
+        size = np.array(end) - np.array(begin)
+        ids, n = self._plain(data[tk.expand(np.array(begin), size)], np.concatenate([[0], np.cumsum(size)]))
+        ids = np.insert(ids, np.cumsum(n)[after], np.array(mark, np.int32))
+        n[after] += 1
+        return ids, np.bincount(doc, n, minlength=len(offsets) - 1).astype(np.int64)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)

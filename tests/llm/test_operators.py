@@ -164,6 +164,21 @@ def test_plan_holds_every_piece_once(seed):
     assert sum(n for _, n in made) <= 1.02 * least + 2
 
 
+def test_added_tokens_equal_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallyground.llm import textkit
+
+    reference = Tokenizer.from_file(VOCABULARY)
+    mark, rng = "<|endoftext|>", random.Random(4)
+    texts = ["a <|endoftext|> b", mark, mark * 3, "", "x <|endof", "text|> y", f"it's{mark}'s  {mark}\n\n{mark} é", "<" + mark + ">"]
+    texts += ["".join(rng.choices([mark, " ", "  ", "a", "'s", "\n", "é", "<|"], k=rng.randint(0, 12))) for _ in range(200)]
+    ids, n = tokens.load(VOCABULARY).encode(*textkit.text_bytes(pa.array(texts, pa.string())))
+    for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 
