@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.llm import decontaminate, lines, minhash, neighbours, packing, secrets, sharding, substrings, suffixes, toxicity
+from tallyground.llm import decontaminate, lines, minhash, neighbours, packing, periods, secrets, sharding, substrings, suffixes, toxicity
 from tallyground.llm.frames import table
 
 # Words as the contract cuts them, in DuckDB.
@@ -122,6 +122,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.REJECT_AT).cast("int"))
 
 
+def _repeated(doc: str = "doc_id", text: str = "text") -> Column:
+    """The text, in which a tenth of the documents repeat a stretch of their words as the contract says."""
+    h = F.crc32(F.col(doc).cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    new = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, place(i).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(new, " ")).otherwise(F.col(text))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(table(spark, sf_dir, "documents").withColumn("text", _repeated()))
+    run = "struct<start:bigint,length:bigint,period:bigint>"
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast(run), lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(listed, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
