@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.llm import decontaminate, lines, minhash, neighbours, packing, periods, secrets, sharding, substrings, suffixes, toxicity
+from tallyground.llm import codes, decontaminate, lines, minhash, neighbours, packing, periods, secrets, sharding, substrings, suffixes, toxicity
 from tallyground.llm.frames import table
 
 # Words as the contract cuts them, in DuckDB.
@@ -151,6 +152,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.quantise(table(spark, sf_dir, "embeddings"))
+    books = hashlib.sha256(",".join(map(str, found.books.ravel().tolist())).encode()).hexdigest()
+    two_digits = F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return codes.with_label_error(found.rows).select(
+        F.col("key").alias("vec_id"), F.array_join(two_digits, "").alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256")
+    )
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
