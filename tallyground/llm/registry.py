@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyground.llm import codes, decontaminate, lines, minhash, neighbours, packing, periods, secrets, sharding, substrings, suffixes, toxicity
+from tallyground.llm import codes, decontaminate, lines, minhash, neighbours, packing, periods, personal, secrets, sharding, substrings, suffixes, toxicity
 from tallyground.llm.frames import table
 
 # Words as the contract cuts them, in DuckDB.
@@ -127,13 +127,18 @@ def _repeated(doc: str = "doc_id", text: str = "text") -> Column:
     """The text, in which a tenth of the documents repeat a stretch of their words as the contract says."""
     h = F.crc32(F.col(doc).cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    new = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(words, place(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(new, " ")).otherwise(F.col(text))
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        new = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int")))
+        return F.when(n > 0, F.array_join(new, " ")).otherwise(F.col(text))
+
+    # The words are a lambda's argument, so that they are cut once and not again for each word.
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.when((h % 10 == 0) & F.col(text).isNotNull(), F.get(F.transform(words, repeat), 0)).otherwise(F.col(text))
 
 
 @_query
@@ -152,6 +157,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n_added = (F.size("found") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"), n_added)
+
+
 @_query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = codes.quantise(table(spark, sf_dir, "embeddings"))
