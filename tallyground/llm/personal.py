@@ -12,9 +12,10 @@ segments of bounded length, which picks boundaries and types together. A decoded
 ``MARGIN`` nats above leaving its atoms outside and touches no span of the fixed patterns.
 
 The labels come from the fixed patterns: regions with their spans, the same regions with the spans in other written
-forms (``forms``), and regions without a span. Regions in which a failing match holds more than 19 digits, or in which a
-field that was trained on other regions finds a span, are left out, as their truth is unknown. At most ``SAMPLE`` regions per kind are used, those with the smallest hashes; only they reach
-the driver. The scan covers every whole text, in one pass without a shuffle.
+forms (``forms``), and regions without a span. Regions in which a failing match holds more digits than a card or a phone
+number has, or in which a field that was trained on other regions finds a span, are left out, as their truth is unknown.
+At most ``SAMPLE`` regions per kind are used, those with the smallest hashes; only they reach the driver. The scan covers
+every whole text, in one pass without a shuffle.
 
 Cases: null text counts as empty and has no spans; without any span in the corpus nothing is learned and only the fixed
 patterns count; repeated rows each get their own row; an empty table gives an empty result; further columns are
@@ -48,10 +49,10 @@ SAMPLE = 200
 MOST_ATOMS = 24
 MARGIN = 3.0
 STEPS = 100
-RIDGE = 0.02
+RIDGE = 0.0005
 # Candidates that are scored at once.
 AT_ONCE = 1 << 15
-# A neighbouring word belongs to a region with so many characters at most.
+# A neighbouring word belongs to a region with about so many characters at most.
 CONTEXT = 40
 
 # Kinds of atoms.
@@ -100,28 +101,32 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of words with digits or at signs, with the words next to them on the same line."""
+    """Stretches of words with digits or at signs, with up to two words on either side on the same line."""
     if not TRIGGER.search(text):
         return []
     out: list[tuple[int, int]] = []
-    begin = end = before = -1  # of the open region; the end of the word before
-    left, hot = 0, False
+    begin, end, cold, hot = -1, 0, 0, False  # the open region: words without a trigger since the last one, any trigger at all
+    before, chain = 0, [0, 0]  # the end of the word before; where the words one and two back begin, as far as they are near
     for m in WORD.finditer(text):
         start, stop = m.span()
-        near = before >= 0 and start - before <= 3 and "\n" not in text[before:start]
+        near = before > 0 and start - before <= 3 and "\n" not in text[before:start]
+        if not near:
+            chain = [start, start]
+            if begin >= 0 and hot:
+                out.append((begin, end))
+            begin = -1
         trigger = TRIGGER.search(text, start, stop) is not None
-        if trigger or (MARK_ONLY.match(text, start, min(stop, start + 4)) and stop - start <= 3):
-            if begin >= 0 and near:
-                end, hot = stop, hot or trigger
-            else:
-                if begin >= 0 and hot:
-                    out.append((begin, end))
-                begin, end, hot = (max(left, before - CONTEXT) if near else start), stop, trigger
+        if trigger or (stop - start <= 3 and MARK_ONLY.match(text, start, stop)):
+            if begin < 0:
+                begin, hot = max(chain[0], start - 2 * CONTEXT, out[-1][1] if out else 0), False
+            end, cold, hot = stop, 0, hot or trigger
         elif begin >= 0:
-            if hot:
-                out.append((begin, min(stop, start + CONTEXT) if near else end))
-            begin = -1
-        before, left = stop, start
+            end, cold = min(stop, start + CONTEXT), cold + 1
+            if cold == 2 or end < stop:
+                if hot:
+                    out.append((begin, end))
+                begin = -1
+        before, chain = stop, [chain[1], start]
     if begin >= 0 and hot:
         out.append((begin, end))
     return out
@@ -340,7 +345,7 @@ class Field:
 
 def doubtful(text: str) -> bool:
     """Whether a failing match may hide several spans."""
-    return any(len(DIGIT.findall(m[0])) > 19 for m in CARD.finditer(text))
+    return any(len(DIGIT.findall(m[0])) > most for pattern, most in ((CARD, 19), (PHONE, 15)) for m in pattern.finditer(text))
 
 
 def forms(kind: int, value: str) -> list[str]:
@@ -431,7 +436,7 @@ def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], steps: int = S
         expected = chance.sum(1)
         grad_follow = follow_right - np.stack([np.bincount(kind, chance[:, u], minlength=types) for u in range(types)])
         grad = np.stack([(x[row[kind == t]] * (right[kind == t] - expected[kind == t])[:, None]).sum(0) for t in range(types)])
-        for k, (value, slope) in enumerate(((weight, grad / n - RIDGE / 10 * weight), (follow, grad_follow / n - RIDGE / 10 * follow))):
+        for k, (value, slope) in enumerate(((weight, grad / n - RIDGE * weight), (follow, grad_follow / n - RIDGE * follow))):
             first, second = moments[2 * k], moments[2 * k + 1]
             first += 0.1 * (slope - first)
             second += 0.01 * (slope * slope - second)

@@ -119,7 +119,7 @@ def test_swallowed_spans_are_added(spark):
     found = {r.doc_id: [(s.kind, s.start, s.end, s.base) for s in r.found] for r in personal.find_personal(docs).collect()}
     assert found[-1] == [("card", 9, 25, False), ("card", 26, 42, False)]
     assert found[-2] == [("card", 0, 19, False)]
-    assert found[-3] == [("email", 11, 41, False)]
+    assert found[-3] == [("email", 11, 44, False)]
     base = {r["doc_id"]: plain(r["text"]) for r in rows}
     assert all([s[:3] for s in found[k] if s[3]] == v for k, v in base.items())
     assert sum(not s[3] for k in base for s in found[k]) <= 5
