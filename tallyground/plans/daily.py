@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyground.operators import quality
 from tallyground.operators.clean import drop_bad_dates, fill_unknown_district
 from tallyground.operators.series import daily_counts
 from tallyground.settings import cut_lineage
+from tallyground.sources import store
 
 
 def daily(df: DataFrame, ts: str, district: str = "district") -> DataFrame:
@@ -31,7 +32,15 @@ def load(df: DataFrame, ts: str, district: str, as_of: Column) -> DailyResult:
 
     The rows are reduced to one per district and day and written once; all four results read that table.
     """
-    days = cut_lineage(quality.day_table(df, ts, district if district in df.columns else None))
+    return _results(cut_lineage(quality.day_table(df, ts, district if district in df.columns else None)), district, as_of)
+
+
+def load_stored(spark: SparkSession, path: str, district: str, as_of: Column) -> DailyResult:
+    """The same four results of a stored table from its profile, without a look at the rows."""
+    return _results(store.read_profile(spark, path), district, as_of)
+
+
+def _results(days: DataFrame, district: str, as_of: Column) -> DailyResult:
     profile = quality.profile_of(days)
     counts = (
         fill_unknown_district(days.dropna(subset=["ds"]), "district")

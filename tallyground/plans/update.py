@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tallyground import schemas
 from tallyground.functions.coerce import coerce_timestamp
 from tallyground.operators.merge import anti_join_new, dedup_keep_last, later_wins
-from tallyground.operators.quality import dataset_metadata
+from tallyground.operators.quality import metadata_of
 from tallyground.settings import cut_lineage
 from tallyground.sources import landing, store
+from tallyground.sources.versions import NO_MONTH
 
 
-def landed_incidents(spark: SparkSession, path: str, ts: str = "OCCURRED_ON_DATE") -> DataFrame:
+def landed_incidents(spark: SparkSession, path: str | list[str], ts: str = "OCCURRED_ON_DATE") -> DataFrame:
     """The records of landed page files with all their columns and ``row_seq``; the time is typed, the rest stays text."""
     rows = landing.scan_api_pages(landing.read_pages(spark, path, schemas.RAW_INCIDENT))
     return rows.withColumn(ts, coerce_timestamp(F.col(ts)))
@@ -26,26 +27,22 @@ def merged_table(
 ) -> DataFrame:
     """The rows to write for ``batch``, which is read several times: hand it in stored.
 
-    A batch can only change the months of its own rows, since the dedup keys hold the time. The key test reads one column
-    of all months; the merge itself reads the touched months, and only those are in the result. The first load is
+    A batch can only change the months of its own rows, since the dedup keys hold the time. The key test opens the folders of
+    the batch's own keys; the merge itself reads the touched months, and only those are in the result. The first load is
     deduplicated too, so that untouched months never have duplicates.
     """
     if ts not in dedup_keys:
         raise ValueError(f"dedup keys must hold the time column {ts!r}, or rows could leave their month")
+    # Rows that lose within the batch lose before the key test, or they would win when the batch comes again.
+    winners = dedup_keep_last(batch, dedup_keys, row_order)
     try:
-        existing = store.read_incidents(spark, path)
+        known = store.stored_keys(spark, path, batch, key)
     except FileNotFoundError:
-        return dedup_keep_last(batch, dedup_keys, row_order)
+        return winners
     # The list of months is as long as the calendar of the batch.
-    months = [row.month for row in batch.select(store.month_of(ts).alias("month")).distinct().collect()]
-    part = F.col(store.MONTH_PART)
-    touched = part.isin([month for month in months if month is not None])
-    if None in months:
-        touched = touched | part.isNull()
-    nearby = existing.filter(F.coalesce(touched, F.lit(False))).drop(store.MONTH_PART)
-    # Rows that lose within the batch lose before the key test, or they would win when the batch comes again.
-    winners = dedup_keep_last(batch, dedup_keys, row_order)
-    return later_wins(nearby, anti_join_new(winners, existing.select(key), key), dedup_keys, row_order)
+    months = [row.month or NO_MONTH for row in batch.select(store.month_of(ts).alias("month")).distinct().collect()]
+    nearby = store.read_incidents(spark, path, months).drop(store.MONTH_PART)
+    return later_wins(nearby, anti_join_new(winners, known, key), dedup_keys, row_order)
 
 
 def update(
@@ -58,18 +55,35 @@ def update(
     district: str = "DISTRICT",
     dedup_keys: tuple[str, ...] = ("OCCURRED_ON_DATE", "DISTRICT", "OFFENSE_CODE"),
     row_order: tuple[str, ...] = ("row_seq",),
+    consumed: DataFrame | None = None,
 ) -> bool:
     """Bring the stored table up to date; False when nothing new has landed.
 
-    Whatever has landed is compared with the stored keys, however late it comes, so that an incremental and a full pull need
-    no different treatment.
+    Whatever has landed is compared with the stored keys, however late it comes. Rows, profile, keys and the ledger entries of
+    ``consumed`` change in one step; the metadata is read from the profile.
     """
     batch = cut_lineage(landed)
-    if batch.isEmpty():
+    empty = batch.isEmpty()
+    if empty and consumed is None:
+        return False
+    rows = batch if empty else merged_table(spark, path, batch, key, list(dedup_keys), list(row_order), ts)
+    store.write_incidents(rows, path, ts, district, key, consumed)
+    store.write_metadata(metadata_of(store.read_profile(spark, path), F.lit(datetime.now().isoformat())), metadata_path)
+    store.clean(spark, path)
+    return not empty
+
+
+def update_from(
+    spark: SparkSession, path: str, metadata_path: str, folder: str, full: bool = False, ts: str = "OCCURRED_ON_DATE", **rules
+) -> bool:
+    """Update from the page files of a landing folder that no update has read before, or from all of them.
+
+    The ledger of the store remembers what was read; when nothing has landed since, no page is opened. ``rules`` go to
+    ``update``.
+    """
+    files = cut_lineage(store.landed_files(spark, folder) if full else store.unread_files(spark, path, folder))
+    # Names of files only, which any scan of them holds on the driver too.
+    names = [row.path for row in files.select("path").collect()]
+    if not names:
         return False
-    store.write_incidents(merged_table(spark, path, batch, key, list(dedup_keys), list(row_order), ts), path, ts)
-    metadata = dataset_metadata(
-        store.read_incidents(spark, path), ts, district, F.lit(datetime.now().isoformat())
-    )
-    store.write_metadata(metadata, metadata_path)
-    return True
+    return update(spark, path, metadata_path, landed_incidents(spark, names, ts), ts=ts, consumed=files, **rules)

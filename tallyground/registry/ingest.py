@@ -115,9 +115,12 @@ def pages_until_short(spark, sf_dir):
     return coerce_timestamps(landing.pages_until_short(_landed_pages(spark, sf_dir), PAGE), ts="ts")
 
 
-@query("incremental_pull", oracle(f"SELECT {EV} FROM {{ev}} WHERE ts > TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_id"))
+# The pull starts at the latest stored time.
+@query("incremental_pull", oracle(f"SELECT {EV} FROM {{ev}} WHERE ts > (SELECT max(ts) FROM {{existing}}) ORDER BY ts, event_id"))
 def incremental_pull(spark, sf_dir):
-    start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    path = scratch_path(spark, "incidents")
+    store.write_incidents(view(spark, sf_dir, "existing"), path, "ts", "district", "event_id")
+    start = F.lit(store.latest_stored(spark, path).first()[0]).cast("timestamp_ntz")
     return landing.incremental_pull(view(spark, sf_dir, "ev"), "ts", start, tie_break="event_id")
 
 
@@ -152,14 +155,12 @@ def _incidents(spark, sf_dir):
     return spark.sql(sent.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
-def _deliver(spark, rows, name):
-    """Rows as landed page files, ``row_seq`` as their place."""
+def _deliver(rows, path):
+    """Rows as more landed page files, ``row_seq`` as their place."""
     record = F.struct(*schemas.INCIDENT_COLUMNS)
     page = F.col("row_seq")
     line = F.to_json(F.struct(page.alias("offset"), F.lit(True).alias("success"), F.struct(F.array(record).alias("records")).alias("result")))
-    path = scratch_path(spark, name)
-    rows.select(line.alias("value")).write.text(path)
-    return path
+    rows.select(line.alias("value")).write.mode("append").text(path)
 
 
 @query(
@@ -215,10 +216,18 @@ def load_metadata(spark, sf_dir):
     return _flat_metadata(store.load_metadata(spark, path))
 
 
-@query("dataset_info", oracle(METADATA_SQL.replace("run 1", "Unknown")))
+# The saved summary where there is one, else the figures of the data.
+@query("dataset_info", oracle(f"""SELECT 'saved' AS branch, * FROM ({METADATA_SQL}) UNION ALL
+    SELECT 'data', * FROM ({METADATA_SQL.replace("run 1", "Unknown")})"""))
 def dataset_info(spark, sf_dir):
+    rows, saved = view(spark, sf_dir, "ev"), scratch_path(spark, "metadata")
     missing = scratch_path(spark, "metadata")
-    return _flat_metadata(store.dataset_info(spark, missing, view(spark, sf_dir, "ev"), "ts", "district"))
+    store.write_metadata(_metadata(spark, sf_dir), saved)
+    both = [
+        _flat_metadata(store.dataset_info(spark, path, rows, "ts", "district")).select(F.lit(branch).alias("branch"), "*")
+        for branch, path in (("saved", saved), ("data", missing))
+    ]
+    return both[0].unionByName(both[1])
 
 
 @query("anti_join_new", oracle(f"SELECT {EV} FROM {{batch}} WHERE event_id NOT IN (SELECT event_id FROM {{existing}})"))
@@ -263,7 +272,7 @@ def sort_by_date(spark, sf_dir):
     return merge.sort_by_date(view(spark, sf_dir, "ev"), "ts", "event_id")
 
 
-# Two deliveries that overlap, each landed twice.
+# Two deliveries that overlap, in one landing folder; each is read once.
 @query(
     "update_data",
     f"""WITH landed AS ({INCIDENTS_SQL}), first AS (SELECT * FROM landed WHERE row_seq % 2 = 0 OR row_seq % 3 = 0),
@@ -277,12 +286,12 @@ def sort_by_date(spark, sf_dir):
             PARTITION BY OCCURRED_ON_DATE, DISTRICT, OFFENSE_CODE ORDER BY source_rank DESC, row_seq DESC) = 1""",
 )
 def update_data(spark, sf_dir):
-    path, metadata = scratch_path(spark, "incidents"), scratch_path(spark, "metadata")
+    path, metadata, folder = (scratch_path(spark, name) for name in ("incidents", "metadata", "landing"))
     rows = _incidents(spark, sf_dir)
     for share in ("row_seq % 2 = 0 OR row_seq % 3 = 0", "row_seq % 2 = 1 OR row_seq % 3 = 0"):
-        landed = _deliver(spark, rows.filter(share), "pages")
-        for _ in range(2):  # the second time changes nothing
-            plan.update(spark, path, metadata, plan.landed_incidents(spark, landed))
+        _deliver(rows.filter(share), folder)
+        for _ in range(2):  # the second time nothing has landed
+            plan.update_from(spark, path, metadata, folder)
     return store.read_incidents(spark, path).drop(store.MONTH_PART)
 
 

@@ -39,7 +39,7 @@ def scan_code_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CODE_LOOKUP).options(header=True, enforceSchema=False, escape='"').csv(path)
 
 
-def read_pages(spark: SparkSession, path: str, record: T.StructType = schemas.RAW_INCIDENT) -> DataFrame:
+def read_pages(spark: SparkSession, path: str | list[str], record: T.StructType = schemas.RAW_INCIDENT) -> DataFrame:
     """Landed page envelopes, one JSON object per line."""
     return spark.read.schema(schemas.page_schema(record)).json(path)
 

@@ -1,47 +1,171 @@
-"""The stored incident table and the saved results."""
+"""The stored incident table and the saved results.
+
+Beside the rows the store keeps two small tables, written by the same runs and live for the same months: the rows per district and day
+(``read_profile``), from which the metadata, the freshness and the checks are read, and the keys by a hash of the key
+(``stored_keys``). A delivery therefore reads and writes no month but its own, and looks only into the folders of its own keys.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyground import schemas
-from tallyground.operators.quality import dataset_metadata
+from tallyground.operators.quality import dataset_metadata, day_table
+from tallyground.settings import remove_path
+from tallyground.sources import versions
 from tallyground.sources.landing import require_table
+from tallyground.sources.versions import MONTH_PART, RUN, Version
 
-
-# The partition column. No incident column may have this name, whatever its case.
-MONTH_PART = "occurred_month_part"
+# Folders of the key table; a store keeps the number it was made with.
+KEY_FOLDERS = 16
+KEY_FOLDER = "key_folder"
+# Versions that readers may still be working on.
+KEEP_VERSIONS = 3
+PROFILE = "district string, ds date, y bigint, oldest timestamp_ntz, newest timestamp_ntz"
 
 
 def month_of(ts: str) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def write_incidents(df: DataFrame, path: str, ts: str) -> None:
+def key_folder(key: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(folders)).cast("int")
+
+
+def write_incidents(
+    df: DataFrame, path: str, ts: str, district: str | None = None, key: str | None = None,
+    consumed: DataFrame | None = None, key_folders: int = KEY_FOLDERS,
+) -> None:
     """Store incidents by month of occurrence, replacing the months that occur in ``df``.
 
-    REBALANCE lets AQE cut a hot month into files of even size. Dynamic overwrite stages the new files and
-    swaps them in when all tasks are done, so ``df`` may be derived from the table itself. The swap goes month by month:
-    a driver lost in the middle of it leaves some months new and some old, and the next run of the same batch mends that.
+    All files are staged in a run of their own; publishing the version that names it puts them in place in one step, with the
+    profile, the keys and the entries of ``consumed`` in the ledger. ``df`` may be derived from the table itself.
+    ``district`` and ``key`` stay what they were if not given; the first write that names others rewrites all months, since both
+    side tables are made for them. REBALANCE lets AQE cut a hot month into files of even size.
     """
-    if MONTH_PART in (name.lower() for name in df.columns):
-        raise ValueError(f"{MONTH_PART!r} is the name of the partition column")
-    (
-        df.withColumn(MONTH_PART, month_of(ts))
-        .hint("rebalance", F.col(MONTH_PART))
-        .sortWithinPartitions(MONTH_PART, ts)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH_PART)
-        .parquet(path)
-    )
+    if {name.lower() for name in df.columns} & {MONTH_PART, RUN}:
+        raise ValueError(f"{MONTH_PART!r} and {RUN!r} are the names of the partition columns")
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    before = versions.current(spark, path) or Version(ts=ts, key_folders=key_folders)
+    if before.ts != ts:
+        raise ValueError(f"'{path}' is stored by {before.ts!r}")
+    district, key = district or before.district, key or before.key
+    _stage(df, path, ts, run)
+    months = versions.staged_months(spark, path, run)
+    if (before.district, before.key) != (district, key) and set(before.months) - set(months):
+        _stage(read_incidents(spark, path, sorted(set(before.months) - set(months))).drop(MONTH_PART), path, ts, run)
+        months = versions.staged_months(spark, path, run)
+    known = json.loads(before.schema)["fields"] if before.schema else []
+    fields = json.loads(df.schema.json())["fields"] + [f for f in known if f["name"] not in df.columns]
+    schema = json.dumps({"type": "struct", "fields": fields})
+    after = versions.replaced(before, months, run, schema=schema, district=district, key=key)
+    rows = versions.read_table(spark, path, "data", T.StructType.fromJson(json.loads(schema)), after, months)
+    days = day_table(rows, ts, district).withColumn(MONTH_PART, month_of("ds"))
+    _append(days.hint("rebalance"), f"{path}/profile", run)
+    if key:
+        keys = rows.filter(F.col(key).isNotNull()).select(
+            F.col(key).cast("string").alias("stored_key"), key_folder(F.col(key), after.key_folders).alias(KEY_FOLDER), MONTH_PART
+        )
+        _append(keys.hint("rebalance", F.col(KEY_FOLDER)), f"{path}/keys", run, KEY_FOLDER)
+    _enter(spark, path, consumed, after.number)
+    versions.publish(spark, path, after)
+
+
+def _stage(df: DataFrame, path: str, ts: str, run: str) -> None:
+    rows = df.withColumn(MONTH_PART, month_of(ts)).hint("rebalance", F.col(MONTH_PART))
+    _append(rows.sortWithinPartitions(MONTH_PART, ts), f"{path}/data", run, MONTH_PART)
+
+
+def _append(rows: DataFrame, path: str, run: str, *parts: str) -> None:
+    rows.withColumn(RUN, F.lit(run)).write.mode("append").partitionBy(*parts, RUN).parquet(path)
+
+
+def existing_version(spark: SparkSession, path: str) -> Version:
+    version = versions.current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"No data at '{path}'. Run the update plan first.")
+    return version
+
+
+def read_incidents(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """The stored table, with its partition column ``MONTH_PART`` for pruning; only ``months`` if given."""
+    version = existing_version(spark, path)
+    return versions.read_table(spark, path, "data", T.StructType.fromJson(json.loads(version.schema)), version, months)
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per district and day, as ``quality.day_table`` counts them, without a look at the rows."""
+    version = existing_version(spark, path)
+    return versions.read_table(spark, path, "profile", T.StructType.fromDDL(PROFILE), version).drop(MONTH_PART)
+
+
+def latest_stored(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the latest stored time, where the next pull starts."""
+    return read_profile(spark, path).agg(F.max("newest").alias("latest"))
+
+
+def stored_keys(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The stored keys in the folders that the keys of ``wanted`` fall into, as a column ``key``.
+
+    A store without a key table for this column is read itself, one column of all months.
+    """
+    version = existing_version(spark, path)
+    if version.key != key:
+        return read_incidents(spark, path).select(key)
+    # At most as many numbers as there are folders.
+    folders = [r[0] for r in wanted.filter(F.col(key).isNotNull()).select(key_folder(F.col(key), version.key_folders)).distinct().collect()]
+    schema = T.StructType().add("stored_key", "string").add(KEY_FOLDER, T.IntegerType())
+    keys = versions.read_table(spark, path, "keys", schema, version).filter(F.col(KEY_FOLDER).isin(folders))
+    return keys.select(F.col("stored_key").alias(key))
+
+
+def clean(spark: SparkSession, path: str, keep: int = KEEP_VERSIONS) -> None:
+    """Delete what no version among the newest ``keep`` names, and ledger entries that a later one repeats."""
+    oldest = versions.clean(spark, path, keep)
+    for number in versions.ledger_numbers(spark, path):
+        if number < oldest // LEDGER_WHOLE * LEDGER_WHOLE:
+            remove_path(spark, f"{path}/ledger/version={number}")
+
+
+# Every so many versions the ledger is written whole, so that the number of its files stays bounded.
+LEDGER_WHOLE = 32
+
+
+def _ledger(spark: SparkSession, path: str, upto: int) -> DataFrame | None:
+    """Entries of the versions ``upto`` a number; what a version that was never published has left does not count."""
+    numbers = [n for n in versions.ledger_numbers(spark, path) if n <= upto]
+    if not numbers:
+        return None
+    return spark.read.parquet(*[f"{path}/ledger/version={n}" for n in numbers]).select("path", "length", "modified")
+
+
+def _enter(spark: SparkSession, path: str, consumed: DataFrame | None, number: int) -> None:
+    """Write the ledger entries of the version ``number``, which is not published yet."""
+    before = _ledger(spark, path, number - 1) if number % LEDGER_WHOLE == 0 else None
+    entries = consumed if before is None else before if consumed is None else before.unionByName(consumed)
+    if entries is None:
+        remove_path(spark, f"{path}/ledger/version={number}")
+    else:
+        entries.distinct().write.mode("overwrite").parquet(f"{path}/ledger/version={number}")
+
+
+
+def landed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a landing folder by name, size and time; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, with its partition column ``MONTH_PART`` for pruning."""
-    kept = require_table(spark, path)
-    return kept.withColumn(MONTH_PART, F.col(MONTH_PART).cast("string"))
+def unread_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The landed files that no published version has consumed. A file that has changed counts as new."""
+    files, version = landed_files(spark, folder), versions.current(spark, path)
+    ledger = _ledger(spark, path, version.number) if version else None
+    return files if ledger is None else files.join(ledger, ["path", "length", "modified"], "left_anti")
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:

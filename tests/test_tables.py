@@ -1,6 +1,7 @@
 """Cleaning, quality, lookup, merge, storage and streaming."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,9 +209,9 @@ def test_update_leaves_other_months_alone(spark):
     path, meta = scratch_path(spark, "store"), scratch_path(spark, "meta")
     args = {"key": "id", "ts": "ts", "district": "district", "dedup_keys": tuple(KEYS), "row_order": ("seq",)}
     update(spark, path, meta, incidents(spark, STORED), **args)
-    files = {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    files = {r[0] for r in store.read_incidents(spark, path).select(F.input_file_name()).distinct().collect()}
     update(spark, path, meta, incidents(spark, [("7", "2024-02-09", "B", 2, 9)]), **args)
-    after = {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    after = {r[0] for r in store.read_incidents(spark, path).select(F.input_file_name()).distinct().collect()}
     kept = {f for f in files if "2024-01" in f}
     assert kept and kept <= after and not {f for f in files if "2024-02" in f} & after
 
@@ -338,6 +339,40 @@ def test_stream_dedup_drops_late_rows_and_old_state(spark):
     assert [s for s in got if s not in (1, 2)] == [3, 6, 7] and len(got) == 4
 
 
+def files_below(path):
+    return sum(name.endswith(".parquet") for _, _, names in os.walk(path) for name in names)
+
+
+def test_versions_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "MOST_VERSIONS", 3)
+    landed, out, progress, closed, closing = (scratch_path(spark, n) for n in ("landed", "out", "progress", "closed", "closing"))
+    schema, most, final = incidents(spark, []).schema, 0, {}
+    for k in range(7):
+        rows = [(str(k), f"2024-01-{1 + k:02d}", "A", 1, k), (str(100 + k), f"2024-01-{1 + max(0, k - 1):02d} 06:00", "A", 1, k)]
+        incidents(spark, rows).coalesce(1).write.mode("append").parquet(landed)
+        counts = lambda: feeds.stream_daily_counts(feeds.stream_files(spark, landed, schema), "ts", ["district"])
+        feeds.keep_current(counts(), out, progress).awaitTermination()
+        feeds.write_available(counts(), closed, closing).awaitTermination()
+        want = spark.read.schema(schema).parquet(landed).groupBy("district", F.to_date("ts").alias("ds")).agg(F.count("*").alias("y"))
+        assert sorted(feeds.read_current(spark, out, ["district"]).collect()) == sorted(want.collect())
+        most = max(most, len([n for n in os.listdir(out) if "=" in n]))
+        days = {(r.district, r.ds): r.y for r in spark.read.schema(counts().schema).parquet(closed).collect()}
+        assert final.items() <= days.items()
+        final = days
+    assert most <= 4 and any(n.startswith("base=") for n in os.listdir(out)) and len(final) == 5
+    # A batch that the base holds is not written again.
+    base, newer = feeds._state(spark, out)
+    assert base is not None and all(n > base for n in newer) and files_below(out) <= 8 * 4
+
+
+def test_stream_state_is_off_the_heap(spark):
+    folder = scratch_path(spark, "landed")
+    incidents(spark, STORED).coalesce(1).write.parquet(folder)
+    stream = feeds.stream_files(spark, folder, incidents(spark, []).schema)
+    feeds.write_available(feeds.stream_dedup(stream, "ts", ["id"]), scratch_path(spark, "out"), scratch_path(spark, "progress")).awaitTermination()
+    assert "RocksDB" in spark.conf.get(feeds.STATE_STORE)
+
+
 class _Session:
     def __init__(self, folder, master):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
