@@ -32,8 +32,8 @@ def stream_daily_counts(spark, sf_dir):
 
 # Days that end a day or more before the latest row are closed; each comes once.
 @query("stream_closed_days", oracle("""
-    SELECT district, CAST(ts AS DATE) AS ds, count(*) AS y FROM {ev} GROUP BY ALL
-    HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM {ev}) - INTERVAL 1 DAY"""))
+    SELECT district, ds, count(*) AS y FROM (SELECT district, CAST(ts AS DATE) AS ds FROM {ev})
+    WHERE CAST(ds AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM {ev}) - INTERVAL 1 DAY GROUP BY district, ds"""))
 def stream_closed_days(spark, sf_dir):
     folder, path, progress = (scratch_path(spark, name) for name in ("landed", "closed", "progress"))
     schema = view(spark, sf_dir, "ev").schema
