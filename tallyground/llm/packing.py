@@ -37,8 +37,8 @@ ROUNDS = 400
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
 
 
-def cut(docs: DataFrame, vocabulary: str, doc: str, text: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with their ids. ``part`` and ``nth`` number the pieces of each length within a task; they hold once
+def cut(docs: DataFrame, vocabulary: str, doc: str, text: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """The pieces, with their ids if these are wanted. ``part`` and ``nth`` number the pieces of each length within a task; they hold once
     the rows are written."""
 
     def scan(batches: Iterator[pa.RecordBatch]):
@@ -69,7 +69,8 @@ def cut(docs: DataFrame, vocabulary: str, doc: str, text: str, capacity: int = C
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)), pa.array(crc, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)) if with_ids else pa.nulls(len(piece), pa.list_(pa.int32())),
+                    pa.array(crc, pa.int64()),
                     pa.array(np.full(len(piece), part), pa.int32()), pa.array(nth),
                 ],
                 names=[x.split()[0] for x in PIECES.split(", ")],
@@ -193,7 +194,7 @@ def pack(
     docs: DataFrame, vocabulary: str, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset``."""
-    pieces = cut_lineage(cut(docs, vocabulary, doc, text, capacity))
+    pieces = cut_lineage(cut(docs, vocabulary, doc, text, capacity, with_ids))
     # One row per task and length; their running sums give each task its first rank.
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")

@@ -14,6 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 
 from tallyground.llm import textkit as tk
@@ -76,7 +77,7 @@ class Encoder:
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         whole = data.tobytes()
         texts = [whole[s:e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found = self.encoding.encode_ordinary_batch(texts, num_threads=1)
+        found = [self.encoding.encode_ordinary(t) for t in texts]  # the batch call costs a thread hand-over per text
         if len(self.keys) + len(keys) > KEPT:
             self._forget()
         count = np.fromiter(map(len, found), np.int64, len(found))
@@ -131,13 +132,18 @@ class Encoder:
             keep = ~odd[doc]
             first, last, doc = first[keep], last[keep], doc[keep]
         keys = tk.SpanHash(tk.BYTE_CODES[data])(first, last)
-        unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        missing = np.flatnonzero(self._places(unique) < 0)
+        coded = pa.array(keys).dictionary_encode()  # a hash table; sorting the pieces would cost several times as much
+        unique, back = np.asarray(coded.dictionary), np.asarray(coded.indices)
+        places = self._places(unique)
+        missing = np.flatnonzero(places < 0)
         if len(missing):
             known = len(self.keys) + len(missing) <= KEPT
             new = missing if known else np.arange(len(unique))
+            where = np.empty(len(unique), np.int64)
+            where[back] = np.arange(len(back))
             self._learn(data, unique[new], first[where[new]], last[where[new]])
-        place = self._places(unique)[back]
+            places = self._places(unique)
+        place = places[back]
         count = self.count[place]
         ids = self.ids[tk.expand(self.begin[place], count)]
         per_doc = np.bincount(doc, count, minlength=n).astype(np.int64)
