@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6378137.0
 
 
+def angles(lat: str, lon: str) -> dict[str, Column]:
+    """``phi`` and ``lam``: a position in degrees as radians."""
+    return {"phi": F.radians(lat), "lam": F.radians(lon)}
+
+
 def haversine(phi1: Column, lam1: Column, phi2: Column, lam2: Column) -> Column:
     """Great-circle distance in radians between two points given in radians."""
     h = F.pow(F.sin((phi2 - phi1) / 2), F.lit(2.0)) + F.cos(phi1) * F.cos(phi2) * F.pow(

@@ -87,8 +87,11 @@ def model_params(models: DataFrame, by: list[str]) -> DataFrame:
     return models.select(*by, F.inline(terms))
 
 
-def score_days(days: DataFrame, interval_width: float = 0.8) -> DataFrame:
-    """Components, forecast and interval for rows that hold a model and a day ``ds``."""
+def score_days(days: DataFrame, interval_width: float = 0.8, by: list[str] | None = None) -> DataFrame:
+    """Components, forecast and interval for rows that hold a model and a day ``ds``.
+
+    The trend of this model never bends, so its interval is as wide on all days of a series, whatever ``by`` names it.
+    """
     def effect(name: str, level: Column) -> Column:
         return F.coalesce(F.try_element_at(F.col(name), level), F.lit(0.0))
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyground.functions.geo import haversine
+from tallyground.functions.geo import angles, haversine
 from tallyground.operators.components import connected_components
 from tallyground.settings import cut_lineage
 
@@ -60,7 +60,7 @@ def grid_points(df: DataFrame, kind: Column, lat: str, lon: str, row_id: str, ep
     )
     turn = (F.col("lam") + F.lit(math.pi)) / F.lit(2 * math.pi)
     return (
-        spots.withColumns({"phi": F.radians("lat"), "lam": F.radians("lon")})
+        spots.withColumns(angles("lat", "lon"))
         .withColumn("row_place", (F.col("phi") + F.lit(math.pi / 2)) / F.lit(height))
         .withColumn("band", F.floor("row_place"))
         .withColumn("columns", _columns_in_band(F.col("band"), height))

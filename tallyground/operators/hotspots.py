@@ -137,6 +137,12 @@ def cluster_forecast(
     )
 
 
+# Why a type has no forecast, in the order in which the reasons are tried.
+NO_POSITION = "no row has a usable position"
+ALL_NOISE = "every row is noise"
+TOO_FEW_DAYS = "the largest cluster has too few days"
+
+
 def hotspot_status(sample: DataFrame, clustered: DataFrame, forecast: DataFrame, by: str) -> DataFrame:
     """One row per type: success, or skipped with the reason."""
     points = clustered.groupBy(by).agg(
@@ -144,9 +150,9 @@ def hotspot_status(sample: DataFrame, clustered: DataFrame, forecast: DataFrame,
     )
     days = forecast.groupBy(by).agg(F.count("*").alias("forecast_days"))
     reason = (
-        F.when(F.col("points").isNull(), "no row has a usable position")
-        .when(F.col("grouped") == 0, "every row is noise")
-        .when(F.col("forecast_days").isNull(), "the largest cluster has too few days")
+        F.when(F.col("points").isNull(), NO_POSITION)
+        .when(F.col("grouped") == 0, ALL_NOISE)
+        .when(F.col("forecast_days").isNull(), TOO_FEW_DAYS)
     )
     return (
         sample.select(by).distinct().join(points, by, "left").join(days, by, "left")

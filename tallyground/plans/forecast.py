@@ -22,7 +22,7 @@ class Model:
     """How to fit rows per key, and how to score rows that hold a model and a day."""
 
     fit: Callable[[DataFrame, list[str], ForecastSettings], DataFrame]
-    score: Callable[[DataFrame, float], DataFrame]
+    score: Callable[[DataFrame, float, list[str]], DataFrame]
 
 
 def _fit_closed_form(rows: DataFrame, by: list[str], settings: ForecastSettings) -> DataFrame:
@@ -45,10 +45,14 @@ class ForecastResult:
     metrics: DataFrame
 
 
+PHASES = ("initial", "final")
+
+
 def phase_rows(
-    daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings()
-) -> DataFrame:
-    """Training rows of both fits with ``phase``, capped within each: ``initial`` from train_start to train_end, ``final``
+    daily: DataFrame, by: list[str], bounds: dict[str, Column], settings: ForecastSettings = ForecastSettings(),
+    wanted: tuple[str, ...] = PHASES,
+) -> DataFrame:
+    """Training rows of the wanted fits with ``phase``, capped within each: ``initial`` from train_start to train_end, ``final``
     all rows to test_end.
 
     Series below the training gate are left out. The gate, the caps and the fit that follows all
@@ -57,7 +61,8 @@ def phase_rows(
     ds = F.col("ds")
     in_training = ds.between(bounds["train_start"], bounds["train_end"])
     records = F.count_if(in_training).over(Window.partitionBy(*by))
-    phases = F.when(in_training, F.array(F.lit("initial"), F.lit("final"))).otherwise(F.array(F.lit("final")))
+    initial = F.when(in_training & F.lit("initial" in wanted), F.lit("initial"))
+    phases = F.array_compact(F.array(initial, F.when(F.lit("final" in wanted), F.lit("final"))))
     rows = (
         daily.filter(ds <= bounds["test_end"])
         .withColumn("records", records)
@@ -93,10 +98,15 @@ def forecast(
     by: list[str],
     settings: ForecastSettings = ForecastSettings(),
     model: Model = CLOSED_FORM,
+    wanted: tuple[str, ...] = PHASES,
 ) -> ForecastResult:
-    """The whole job for all series at once. ``daily`` is read several times: hand it in stored or cut."""
+    """The whole job for all series at once. ``daily`` is read several times: hand it in stored or cut.
+
+    With ``wanted`` only one of the fits is made: metrics, test results and ``forecast`` need the initial one, ``future`` the
+    final one; frames of the other fit are empty then.
+    """
     bounds = as_literals(date_split(daily, settings))
-    rows = cut_lineage(phase_rows(daily, by, bounds, settings))
+    rows = cut_lineage(phase_rows(daily, by, bounds, settings, wanted))
     models = cut_lineage(model.fit(rows, [*by, "phase"], settings))
     initial = models.filter("phase = 'initial'").drop("phase")
     final = models.filter("phase = 'final'").drop("phase")
@@ -106,7 +116,7 @@ def forecast(
     # The test days are scored beside their model, which joins on the series alone.
     test = daily.filter((F.col("ds") > bounds["train_end"]) & (F.col("ds") <= bounds["test_end"]))
     beside = initial.join(baseline_values(train, by), by)
-    scored_test = model.score(test.select(*by, "ds", "y").join(beside, by), width)
+    scored_test = model.score(test.select(*by, "ds", "y").join(beside, by), width, by)
     test_results = scored_test.select(*by, "ds", "y", *FORECAST_COLUMNS)
     metrics = series_metrics(error_metrics(scored_test, by, BASELINES))
 
@@ -120,7 +130,7 @@ def forecast(
         status=series_status(daily, by, bounds, settings),
         models=models,
         test_results=test_results,
-        forecast=model.score(shown, width),
-        future=model.score(ahead, width),
+        forecast=model.score(shown, width, by),
+        future=model.score(ahead, width, by),
         metrics=metrics,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from tallyground.operators import hotspots as ops
 from tallyground.settings import HotspotSettings, cut_lineage
+from tallyground.sources import store
 
 
 @dataclass(frozen=True)
@@ -26,3 +27,9 @@ def hotspots(
     forecast = ops.cluster_forecast(clustered, by, ts, settings)
     counts = ops.cluster_rank(ops.cluster_counts(clustered, by), by)
     return HotspotResult(clustered, counts, forecast, ops.hotspot_status(df, clustered, forecast, by))
+
+
+def save(result: HotspotResult, by: str, clusters: str, forecast: str) -> None:
+    """Write the ranked clusters and the forecast of every type below the given paths."""
+    store.write_series_outputs(result.counts, clusters, by)
+    store.write_series_outputs(result.forecast, forecast, by)

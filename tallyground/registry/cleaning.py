@@ -1,5 +1,8 @@
 """Typing, filters, the lookup join, quality checks and scalar functions."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyground.functions import coerce, geo, stats, text
@@ -8,6 +11,7 @@ from tallyground.plans import daily as daily_plan
 from tallyground.plans.enrich import enrich
 from tallyground.registry.catalog import query, rounded, rounds
 from tallyground.registry.inputs import filled_incidents, incident_daily, oracle, table, typed_incidents, view
+from tallyground.sources import landing
 
 AS_OF = "2001-10-15 12:00:00"
 
@@ -72,7 +76,7 @@ def cast_categoricals(spark, sf_dir):
 @query("rename_offense_type", oracle("SELECT o_orderkey AS order_id, substr(o_orderpriority, 3) AS offense_type FROM orders"))
 def rename_offense_type(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("substr(o_orderpriority, 3)").alias("name"))
-    return rows.withColumnsRenamed({"o_orderkey": "order_id", "name": "offense_type"})
+    return landing.standardize_columns(rows, {"o_orderkey": "order_id", "name": "offense_type", "NAME_2": "offense_name"})
 
 
 @query("filter_by_series", oracle("SELECT ds, y FROM {daily} WHERE district = 'BUILDING'"))
@@ -104,13 +108,11 @@ def offense_lookup_join(spark, sf_dir):
     return joined.select("incident_number", "offense_code", "offense_type")
 
 
-@query("drop_null_offense", oracle(LOOKUP_SQL))
+# Applied to the lookup itself: the codes that have a type at all.
+@query("drop_null_offense", oracle("SELECT code AS offense_code, name AS offense_type FROM {codes} WHERE name IS NOT NULL"))
 def drop_null_offense(spark, sf_dir):
-    codes = view(spark, sf_dir, "codes").withColumnsRenamed({"code": "offense_code", "name": "offense_type"})
-    rows = typed_incidents(spark, sf_dir).select("incident_number", "offense_code")
-    return lookup.drop_null_offense(rows.join(codes, "offense_code", "left"), "offense_type").select(
-        "incident_number", "offense_code", "offense_type"
-    )
+    codes = landing.standardize_columns(view(spark, sf_dir, "codes"), {"code": "offense_code", "name": "offense_type"})
+    return lookup.drop_null_offense(codes, "offense_type")
 
 
 @query(
@@ -157,14 +159,18 @@ PROFILE_SQL = """
 """
 
 
-def _checks_sql(condition: str) -> str:
+def _checks_text(condition: str) -> str:
     text = CHECKS_SQL.replace("FROM profile", f"FROM ({PROFILE_SQL})")
-    return oracle(
+    return (
         f'SELECT "check", severity, CAST(observed AS BIGINT) AS observed, CAST(reference AS BIGINT) AS reference, fired, message '
         f"FROM ({text}) WHERE {condition}"
     )
 
 
+def _checks_sql(condition: str) -> str:
+    return oracle(_checks_text(condition))
+
+
 def _checks(spark, sf_dir):
     rows = typed_incidents(spark, sf_dir)
     return quality.quality_checks(quality.quality_profile(rows, "ts", "district"))
@@ -228,9 +234,10 @@ def parse_iso_timestamp(spark, sf_dir):
     return view(spark, sf_dir, "ev").select("event_id", coerce.parse_iso_timestamp(iso).alias("shown"))
 
 
-@query("radians", oracle(f"SELECT row_id, {rounds('phi', digits=9)} FROM (SELECT row_id, radians(lat) AS phi FROM {{grid}})"))
+@query("radians", oracle(f"""SELECT row_id, {rounds('phi', 'lam', digits=9)} FROM (
+    SELECT row_id, radians(lat) AS phi, radians(lon) AS lam FROM {{grid}})"""))
 def radians(spark, sf_dir):
-    return rounded(view(spark, sf_dir, "grid").select("row_id", F.radians("lat").alias("phi")), 9)
+    return rounded(view(spark, sf_dir, "grid").withColumns(geo.angles("lat", "lon")).select("row_id", "phi", "lam"), 9)
 
 
 @query(
@@ -336,10 +343,33 @@ def preprocess_data(spark, sf_dir):
     )
 
 
-@query("load_and_preprocess_data", oracle("SELECT district, ds, y FROM {daily}"))
+# Daily counts, freshness, issues and metadata, all from the same pass.
+@query(
+    "load_and_preprocess_data",
+    oracle(f"""SELECT 'daily' AS output, district AS name, ds, y AS value, NULL AS note FROM {{daily}}
+        UNION ALL SELECT 'issue', "check", NULL, observed, severity || ': ' || message FROM ({_checks_text("fired")})
+        UNION ALL SELECT 'freshness', CASE WHEN d > 90 THEN 'warning' WHEN d > 30 THEN 'info' ELSE 'fresh' END, CAST(m AS DATE), d, NULL
+            FROM (SELECT max(ts) AS m, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 86400000000) AS BIGINT) AS d FROM {{inc_typed}})
+        UNION ALL SELECT 'metadata', string_agg(DISTINCT nullif(district, 'UNKNOWN'), ',' ORDER BY nullif(district, 'UNKNOWN')), CAST(min(ts) AS DATE), count(*),
+            strftime(max(ts), '%Y-%m-%d') FROM {{inc_typed}}"""),
+)
 def load_and_preprocess_data(spark, sf_dir):
-    as_of = F.lit(AS_OF).cast("timestamp_ntz")
-    return daily_plan.load(typed_incidents(spark, sf_dir), "ts", "district", as_of).daily
+    loaded = daily_plan.load(typed_incidents(spark, sf_dir), "ts", "district", F.lit(AS_OF).cast("timestamp_ntz"))
+    none = F.lit(None)
+
+    def part(output, df, name, ds, value, note):
+        kinds = {"name": "string", "ds": "date", "value": "bigint", "note": "string"}
+        columns = [c.cast(kind).alias(k) for c, (k, kind) in zip((name, ds, value, note), kinds.items(), strict=True)]
+        return df.select(F.lit(output).alias("output"), *columns)
+
+    metadata = loaded.metadata
+    parts = [
+        part("daily", loaded.daily, F.col("district"), F.col("ds"), F.col("y"), none),
+        part("issue", loaded.issues, F.col("check"), none, F.col("observed"), F.concat_ws(": ", "severity", "message")),
+        part("freshness", loaded.freshness, F.col("level"), F.col("latest_date"), F.col("days_old"), none),
+        part("metadata", metadata, F.concat_ws(",", "districts"), F.col("date_range.start"), F.col("total_records"), F.col("date_range.end")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("distinct_series", oracle("SELECT district, count(*) OVER () AS series FROM (SELECT DISTINCT district FROM {inc_typed})"))

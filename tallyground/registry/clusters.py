@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from tallyground.operators import density, hotspots, sampling
 from tallyground.plans import hotspots as plan
+from tallyground.plans.analysis import analyse
 from tallyground.registry.catalog import query, rounded, rounds
-from tallyground.registry.inputs import oracle, view
-from tallyground.settings import HotspotSettings
+from tallyground.registry.forecasting import STATUS_SQL
+from tallyground.registry.inputs import CTES, oracle, view
+from tallyground.settings import HotspotSettings, scratch_path
+from tallyground.sources import store
 
 EPS = 0.0001
 PER_LABEL = HotspotSettings(min_samples=5)
@@ -182,22 +185,96 @@ def cluster_forecast(spark, sf_dir):
     )
 
 
+# Beside the types of the table three that must be skipped: one without positions, one whose rows lie far from each other, and one
+# whose rows share a place and a week.
+SKIPPED = """
+    SELECT CAST(100 AS INT) AS label, -vec_id - 1 AS vec_id, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, occurred FROM {geo}
+    WHERE vec_id < 50
+    UNION ALL SELECT CAST(101 AS INT), -vec_id - 1001, CAST(40 + vec_id * 0.1 AS DOUBLE), CAST(-70 AS DOUBLE), occurred FROM {geo} WHERE vec_id < 50
+    UNION ALL SELECT CAST(102 AS INT), -vec_id - 2001, CAST(41 AS DOUBLE), CAST(-72 AS DOUBLE), CAST('1995-03-06' AS DATE) FROM {geo} WHERE vec_id < 200
+"""
+
+
 @query(
     "hotspot_status",
-    oracle("""SELECT t.label, CASE WHEN c.label IS NULL THEN 'No meaningful clusters'
-                                   WHEN f.label IS NULL THEN 'Could not generate forecast' END AS reason,
+    oracle(f"""SELECT t.label, CASE WHEN c.label IS NULL THEN '{hotspots.ALL_NOISE}'
+                                    WHEN f.label IS NULL THEN '{hotspots.TOO_FEW_DAYS}' END AS reason,
               CASE WHEN c.label IS NULL OR f.label IS NULL THEN 'skipped' ELSE 'success' END AS status
-              FROM (SELECT DISTINCT label FROM {geo}) t LEFT JOIN (SELECT DISTINCT label FROM {hot_counts}) c
-              ON t.label = c.label LEFT JOIN (SELECT DISTINCT label FROM {hot_fit_rows}) f ON t.label = f.label"""),
+              FROM (SELECT DISTINCT label FROM {{geo}}) t LEFT JOIN (SELECT DISTINCT label FROM {{hot_counts}}) c
+              ON t.label = c.label LEFT JOIN (SELECT DISTINCT label FROM {{hot_fit_rows}}) f ON t.label = f.label
+              UNION ALL SELECT 100, '{hotspots.NO_POSITION}', 'skipped' UNION ALL SELECT 101, '{hotspots.ALL_NOISE}', 'skipped'
+              UNION ALL SELECT 102, '{hotspots.TOO_FEW_DAYS}', 'skipped'"""),
 )
 def hotspot_status(spark, sf_dir):
-    return _hotspots(spark, sf_dir).status
+    geo = view(spark, sf_dir, "geo")
+    skipped = spark.sql(SKIPPED, geo=geo)
+    rows = geo.select(*skipped.columns).unionByName(skipped)
+    return plan.hotspots(rows, "label", "occurred", "lat", "lon", "vec_id", PER_LABEL).status
 
 
 @query(
     "generate_crime_type_analyses",
-    oracle("""SELECT label, cluster AS cluster_id, n AS "count",
-              row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster) AS cluster_rank FROM {hot_counts}"""),
+    oracle(f"""SELECT 'cluster' AS output, label, cluster AS cluster_id, n AS "count",
+              row_number() OVER (PARTITION BY label ORDER BY n DESC, cluster) AS cluster_rank, NULL AS ds, NULL AS yhat FROM {{hot_counts}}
+              UNION ALL SELECT 'forecast', label, cluster, NULL, NULL, ds, yhat FROM ({HOT_FORECAST})
+              UNION ALL SELECT CASE WHEN c.label IS NULL OR f.label IS NULL THEN 'skipped' ELSE 'success' END, t.label, NULL, NULL, NULL, NULL, NULL
+              FROM (SELECT DISTINCT label FROM {{geo}}) t LEFT JOIN (SELECT DISTINCT label FROM {{hot_counts}}) c
+              ON t.label = c.label LEFT JOIN (SELECT DISTINCT label FROM {{hot_fit_rows}}) f ON t.label = f.label"""),
 )
 def generate_crime_type_analyses(spark, sf_dir):
-    return _hotspots(spark, sf_dir).counts
+    return rounded(_analyses(_hotspots(spark, sf_dir)))
+
+
+def _analyses(result):
+    """All outputs per type in one table: ranked clusters, the forecast, the status."""
+    empty = {"cluster_id": "long", "count": "long", "cluster_rank": "long", "ds": "date", "yhat": "double"}
+
+    def part(output, df, **names):
+        columns = [F.col(names[c]).cast(kind).alias(c) if c in names else F.lit(None).cast(kind).alias(c) for c, kind in empty.items()]
+        return df.select(output.alias("output"), "label", *columns)
+
+    counts = part(F.lit("cluster"), result.counts, cluster_id="cluster_id", count="count", cluster_rank="cluster_rank")
+    ahead = part(F.lit("forecast"), result.forecast, cluster_id="cluster", ds="ds", yhat="yhat")
+    return counts.unionByName(ahead).unionByName(part(F.col("status"), result.status))
+
+
+# The results of every type, saved and read back.
+@query(
+    "write_type_outputs",
+    oracle(f"""SELECT 'cluster' AS output, CAST(label AS VARCHAR) AS label, cluster AS cluster_id, n AS "count", NULL AS ds, NULL AS yhat
+              FROM {{hot_counts}} UNION ALL SELECT 'forecast', CAST(label AS VARCHAR), cluster, NULL, ds, yhat FROM ({HOT_FORECAST})"""),
+)
+def write_type_outputs(spark, sf_dir):
+    result = _hotspots(spark, sf_dir)
+    paths = {name: scratch_path(spark, name) for name in ("clusters", "forecast")}
+    plan.save(result, "label", **paths)
+    saved = {name: store.load_series_outputs(spark, path) for name, path in paths.items()}
+    counts = saved["clusters"].select(
+        F.lit("cluster").alias("output"), "label", "cluster_id", "count", F.lit(None).cast("date").alias("ds"), F.lit(None).cast("double").alias("yhat")
+    )
+    ahead = saved["forecast"].select(
+        F.lit("forecast").alias("output"), "label", F.col("cluster").alias("cluster_id"), F.lit(None).cast("long").alias("count"), "ds", "yhat"
+    )
+    return rounded(counts.unionByName(ahead))
+
+
+GEO_DAILY = "(SELECT CAST(label % 3 AS VARCHAR) AS district, CAST(occurred AS DATE) AS ds, count(*) AS y FROM {geo} GROUP BY ALL)"
+GEO_STATUS = STATUS_SQL.replace("{split}", f"({CTES['split']})").replace("{daily}", GEO_DAILY)
+
+
+# Both halves from one table: the status of every district and type, and over how many districts the summary averages.
+@query(
+    "forecast_main",
+    oracle(f"""SELECT 'district' AS part, district AS name, status, reason FROM ({GEO_STATUS})
+              UNION ALL SELECT 'type', CAST(t.label AS VARCHAR), CASE WHEN c.label IS NULL OR f.label IS NULL THEN 'skipped' ELSE 'success' END,
+                  CASE WHEN c.label IS NULL THEN '{hotspots.ALL_NOISE}' WHEN f.label IS NULL THEN '{hotspots.TOO_FEW_DAYS}' END
+              FROM (SELECT DISTINCT label FROM {{geo}}) t LEFT JOIN (SELECT DISTINCT label FROM {{hot_counts}}) c
+              ON t.label = c.label LEFT JOIN (SELECT DISTINCT label FROM {{hot_fit_rows}}) f ON t.label = f.label
+              UNION ALL SELECT 'summary', CAST(count(*) AS VARCHAR), NULL, NULL FROM ({GEO_STATUS}) WHERE status = 'success'"""),
+)
+def forecast_main(spark, sf_dir):
+    rows = view(spark, sf_dir, "geo").withColumn("district", (F.col("label") % 3).cast("string"))
+    result = analyse(rows, "occurred", "district", "label", "lat", "lon", "vec_id", hotspot_settings=PER_LABEL)
+    none = F.lit(None).cast("string")
+    series = result.summary.select(F.lit("summary").alias("part"), F.col("series").cast("string").alias("name"), none.alias("status"), none.alias("reason"))
+    return result.status.unionByName(series)

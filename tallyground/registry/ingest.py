@@ -300,20 +300,6 @@ def latest_date(spark, sf_dir):
     return quality.latest_date(typed_incidents(spark, sf_dir), "ts")
 
 
-@query(
-    "write_type_outputs",
-    oracle("SELECT type, cluster_id, \"count\" AS \"count\" FROM {grid_counts}"),
-)
-def write_type_outputs(spark, sf_dir):
-    return _saved_counts(spark, sf_dir)
-
-
-def _saved_counts(spark, sf_dir):
-    path = scratch_path(spark, "clusters")
-    store.write_series_outputs(cluster_counts(view(spark, sf_dir, "grid"), "type"), path, "type")
-    return store.load_series_outputs(spark, path)
-
-
 @query("load_clusters", oracle("SELECT type, cluster_id, \"count\" AS \"count\" FROM {grid_counts} WHERE type = 'R'"))
 def load_clusters(spark, sf_dir):
     path = scratch_path(spark, "clusters")

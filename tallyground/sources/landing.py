@@ -24,19 +24,23 @@ def require_table(spark: SparkSession, path: str, fmt: str = "parquet", **option
 
 
 def scan_incidents_csv(
-    spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_INCIDENT, encoding: str = "ISO-8859-1"
-) -> DataFrame:
-    """Incident CSV as text columns, matched to the schema by the header row."""
+    spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_INCIDENT, encoding: str = "ISO-8859-1",
+    line_breaks: bool = True,
+) -> DataFrame:
+    """Incident CSV as text columns, matched to the schema by the header row.
+
+    Quoted fields may hold line breaks; then a file is read by one task. Without ``line_breaks`` Spark may split files.
+    """
     return (
         spark.read.schema(schema)
-        .options(header=True, encoding=encoding, enforceSchema=False, escape='"')
+        .options(header=True, encoding=encoding, enforceSchema=False, escape='"', multiLine=line_breaks)
         .csv(path)
     )
 
 
 def scan_code_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """Offense code lookup landed as CSV with the columns CODE and NAME."""
-    return spark.read.schema(schemas.CODE_LOOKUP).options(header=True, enforceSchema=False, escape='"').csv(path)
+    """Offense code lookup landed as CSV with the columns CODE and NAME; quoted names may hold line breaks."""
+    return spark.read.schema(schemas.CODE_LOOKUP).options(header=True, enforceSchema=False, escape='"', multiLine=True).csv(path)
 
 
 def read_pages(spark: SparkSession, path: str | list[str], record: T.StructType = schemas.RAW_INCIDENT) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyground.operators import components
 from tallyground.operators.components import connected_components
 
 
@@ -21,8 +22,11 @@ def roots(edges):
     return sorted((x, find(x)) for x in list(parent) if find(x) != x)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_components(spark, seed):
+@pytest.mark.parametrize("one_task", [1_000_000, 40, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed, one_task, monkeypatch):
+    """In one task; by rounds that end in one task; by rounds alone."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(seed)
     names = rng.sample(range(1000), 300)
     paths = [(names[i], names[i + 1]) for i in range(200) if i % 50]

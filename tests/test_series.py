@@ -174,3 +174,63 @@ def test_short_series_is_skipped_and_others_run(spark):
     status = {r.series: r.status for r in plan.forecast(rows, ["series"]).status.collect()}
     assert status == {"a": "success", "short": "skipped"}
     assert [r.series for r in plan.forecast(rows, ["series"]).metrics.collect()] == ["a"]
+
+
+def test_trend_changes_are_sparse_and_optimal(spark):
+    """A trend with one change keeps few hinges, and the coefficients meet the conditions of the optimum."""
+    rng = np.random.default_rng(3)
+    days = np.arange(600)
+    values = 20 + 0.02 * days + np.where(days > 300, 0.1 * (days - 300), 0) + rng.normal(0, 1, 600)
+    rows = daily(spark, values)
+    models = ridge.fit_additive_ridge(rows, ["series"]).collect()
+    hinges = np.array(models[0].beta)[ridge.HINGE]
+    assert 1 <= (hinges != 0).sum() <= 12 and abs(hinges).sum() > 0
+    gap = ridge.ridge_gap(rows, ridge.fit_additive_ridge(rows, ["series"]), ["series"]).first().gap
+    assert gap < 1e-6
+    flat = ridge.fit_additive_ridge(daily(spark, 20 + rng.normal(0, 1, 600)), ["series"]).first()
+    assert (np.array(flat.beta)[ridge.HINGE] != 0).sum() <= 3
+
+
+def test_solver_against_a_plain_descent():
+    rng = np.random.default_rng(5)
+    x, prior = rng.normal(size=(80, 7)), np.array([5.0, 5.0, 0.05, 0.05, 0.05, 10.0, 10.0])
+    y = x @ np.array([1.0, 2.0, 0.0, 3.0, 0.0, 1.0, -1.0]) + rng.normal(0, 0.1, 80)
+    beta, _, noise, scale = ridge.additive_solver(prior, slice(2, 5))(x, y)
+
+    def loss(b):
+        rest, pull = y / scale - x @ b, np.abs(b) / prior
+        return rest @ rest / (2 * noise) + (pull[[0, 1, 5, 6]] ** 2).sum() / 2 + pull[2:5].sum()
+
+    best = loss(beta / scale)
+    for _ in range(3000):
+        assert loss(beta / scale + rng.normal(size=7) * 10 ** rng.uniform(-6, -1)) >= best - 1e-9
+
+
+def test_intervals_widen_with_the_horizon(spark):
+    rng = np.random.default_rng(7)
+    days, rows = np.arange(700), []
+    for k in range(12):
+        slopes = np.zeros(700)
+        for at in rng.integers(50, 640, 8):
+            slopes[at:] += rng.laplace(0, 0.05)
+        values = 60 + np.cumsum(slopes) + 3 * np.sin(days * 2 * np.pi / 7) + rng.normal(0, 2, 700)
+        rows += [(f"s{k:02d}", START + dt.timedelta(days=int(d)), float(v)) for d, v in zip(days, values)]
+    rows += [("flat", START + dt.timedelta(days=int(d)), 10.0) for d in days]
+    frame = spark.createDataFrame(rows, "series string, ds date, y double")
+    models = ridge.fit_additive_ridge(frame.filter(F.col("ds") < START + dt.timedelta(days=640)), ["series"])
+    ahead = additive.model_calendar(models, F.date_sub("last_day", 5), F.date_add("last_day", 60))
+    scored = ridge.score_ridge(ahead, 0.8, ["series"])
+    got = scored.withColumn("w", F.col("yhat_upper") - F.col("yhat_lower")).join(frame, ["series", "ds"], "left").collect()
+    covered = [r.yhat_lower <= r.y <= r.yhat_upper for r in got if r.y is not None and r.series != "flat" and r.ds >= START + dt.timedelta(days=640)]
+    assert 0.6 <= np.mean(covered) <= 0.97
+    by_series = {}
+    for r in sorted(got, key=lambda r: r.ds):
+        by_series.setdefault(r.series, []).append(r.w)
+    for name, widths in by_series.items():
+        assert np.allclose(widths[:6], widths[0])  # days of the fit
+        assert widths == sorted(widths) or name == "flat"
+        if name != "flat":
+            assert widths[-1] > widths[6]
+    assert np.mean([w[-1] / w[6] for name, w in by_series.items() if name != "flat"]) > 1.05
+    again = ridge.score_ridge(ahead.repartition(7), 0.8, ["series"]).select("series", "ds", "yhat_lower").collect()
+    assert sorted(again) == sorted(scored.select("series", "ds", "yhat_lower").collect())

@@ -384,3 +384,14 @@ def test_shared_folder():
     assert shared_folder(_Session(None, "local[8]")) == shared_folder(_Session(None, "local[8]"))
     with pytest.raises(RuntimeError):
         shared_folder(_Session(None, "yarn"))
+
+
+def test_csv_fields_may_hold_line_breaks(spark):
+    folder = scratch_path(spark, "csv")
+    os.makedirs(folder)
+    with open(f"{folder}/codes.csv", "w") as file:
+        file.write('CODE,NAME\n1,"a\nb"\n2,"say ""c"""\n')
+    assert sorted(tuple(r) for r in landing.scan_code_lookup(spark, folder).collect()) == [("1", "a\nb"), ("2", 'say "c"')]
+    with open(f"{folder}/codes.csv", "w") as file:
+        file.write(",".join(schemas.INCIDENT_COLUMNS) + "\n" + ",".join(['"x\ny"'] * len(schemas.INCIDENT_COLUMNS)) + "\n")
+    assert [r.STREET for r in landing.scan_incidents_csv(spark, folder).collect()] == ["x\ny"]
