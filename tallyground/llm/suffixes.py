@@ -14,6 +14,8 @@ ranks of a cover sample, so memory is bounded by the bucket:
    as a whole, and runs whose sample nobody else has are done.
 3. Ties. What is left are runs that share the sample but not the whole text with an earlier document, the edges of
    repeated passages. Their bytes are fetched and their suffixes sorted one by one, again bucket by bucket.
+4. Groups. A bucket sends what it has found as a blob per group of documents, a group being a hash of id and text; a group
+   merges the spans of each of its documents.
 
 A sample that very many different runs share is broken into single suffixes everywhere (``HEAVY``), so that no bucket
 holds an unbounded group; the list of such samples is bounded by ``MOST_HEAVY``. Names are 64-bit hashes and two of them
@@ -44,6 +46,8 @@ GRAM = 16
 # Bytes of text whose runs are combined and sent together, and bytes of text per bucket.
 SLICE = 8 << 20
 BUCKET_BYTES = 8 << 20
+# Bytes of text of a group of documents; the spans of a group are merged together.
+GROUP_BYTES = 16 << 20
 # Bytes of text that are hashed at once, and rows that are turned into Python objects at once.
 HASHED = 1 << 20
 ROWS = 256
@@ -164,18 +168,70 @@ def decide(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.
     return covered, tie
 
 
-def by_document(d, k, h, a, n, kind) -> pa.Table:
-    """One row per document with its spans as a blob."""
-    order, (_, new) = grouped(d, k)
-    d, k, h, a, n, kind = (v[order] for v in (d, k, h, a, n, kind))
-    begin = np.flatnonzero(new)
-    stop = np.concatenate([begin[1:], [len(d)]]) if len(d) else begin
-    blobs = [to_blob(h[s:e], a[s:e], n[s:e], kind[s:e]) for s, e in zip(begin.tolist(), stop.tolist(), strict=True)]
-    ties = np.add.reduceat(kind == TIE, begin) if len(d) else begin
-    return pa.table({"d": pa.array(d[begin]), "k": pa.array(k[begin]), "spans": pa.array(blobs, pa.binary()), "ties": pa.array(ties.astype(np.int32))})
+def group_of(d: np.ndarray, k: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a document belongs to; the copies of a text fall into different ones."""
+    spread = (d % (1 << 31)) * 2654435761 ^ (k << 15)
+    return (spread >> 17) % groups
 
 
-SPANS_TYPE = "d long, k long, spans binary, ties int"
+def by_group(d, k, h, a, n, kind, groups: int) -> pa.Table:
+    """The spans as one blob per group of documents, so that rows follow the bytes and not documents times buckets."""
+    order = np.lexsort((a, k, d))
+    d, k, h, a, n, kind = (v[order] for v in (d, k, h, a, n, kind))
+    # Repeated rows of the table have given the same span more than once.
+    again = np.zeros(len(d), bool)
+    again[1:] = (d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (n[1:] == n[:-1]) & (kind[1:] == kind[:-1])
+    group = group_of(d, k, groups)
+    group[again] = -1
+    order = np.argsort(group, kind="stable")[int(again.sum()) :]
+    names, begin = np.unique(group[order], return_index=True)
+    parts = np.split(order, begin[1:]) if len(order) else []
+    blobs = [to_blob(d[p], k[p].astype(np.uint32), h[p], a[p], n[p], kind[p]) for p in parts]
+    ties = [int((kind[p] == TIE).sum()) for p in parts]
+    return pa.table({"g": pa.array(names.astype(np.int32)), "spans": pa.array(blobs, pa.binary()), "ties": pa.array(ties, pa.int32())})
+
+
+GROUPS_TYPE = "g int, spans binary, ties int"
+SPANS_TYPE = "d long, k long, spans binary"
+
+
+def of_group(table: pa.Table, kind: int) -> list[np.ndarray]:
+    """``d, k, h, a, n`` of the spans of one kind, by document, then place."""
+    parts = [from_blob(b, (np.int64, np.uint32, *(t for _, t in SPAN))) for b in table.column("spans").to_pylist()]
+    d, k, h, a, n, kinds = (np.concatenate(v) for v in zip(*parts, strict=True))
+    order = np.flatnonzero(kinds == kind)
+    order = order[np.lexsort((a[order], k[order], d[order]))]
+    return [d[order], k[order].astype(np.int64), h[order], a[order], n[order]]
+
+
+def per_document(d: np.ndarray, k: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """One row per document with its part of the columns as a blob; rows are in order of the documents."""
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    begin = np.flatnonzero(new)
+    stop = np.append(begin[1:], len(d))
+    blobs = [to_blob(*(c[s:e] for c in columns)) for s, e in zip(begin.tolist(), stop.tolist(), strict=False)]
+    return pa.table({"d": pa.array(d[begin]), "k": pa.array(k[begin]), "spans": pa.array(blobs, pa.binary())})
+
+
+def ties_of(table: pa.Table) -> pa.Table:
+    """Per document of a group its tied runs."""
+    return per_document(*of_group(table, TIE))
+
+
+def stretches_of(table: pa.Table) -> pa.Table:
+    """Per document of a group its covered stretches, disjoint."""
+    d, k, _, a, n = of_group(table, COVERED)
+    if not len(d):
+        return per_document(d, k, a, n)
+    # All documents on one line, each further on than the one before can reach.
+    doc = np.cumsum(np.append(0, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
+    place = (doc << 33) + a.astype(np.int64)
+    reach = np.maximum.accumulate(place + n)
+    new = np.append(True, place[1:] > reach[:-1])
+    begin = np.flatnonzero(new)
+    end = reach[np.append(begin[1:], len(d)) - 1] - (doc[begin] << 33)
+    return per_document(d[begin], k[begin], a[begin], end.astype(np.uint32))
 
 
 def heavy_samples(texts: DataFrame, length: int, gram: int) -> np.ndarray:
@@ -203,8 +259,8 @@ def _distinct(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.column_stack([h, c])[order[new]]
 
 
-def found_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Covered runs and ties, one row per document and bucket."""
+def found_runs(texts: DataFrame, buckets: int, groups: int, length: int, gram: int) -> DataFrame:
+    """Covered runs and ties, a blob per bucket and group of documents."""
     heavy = texts.sparkSession.sparkContext.broadcast(heavy_samples(texts, length, gram))
 
     def deal(batches: Iterator[pa.RecordBatch]):
@@ -237,10 +293,10 @@ def found_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFr
         covered, tie = decide(h, c, d)
         keep = covered | tie | done
         kind = np.where(covered | done, COVERED, TIE).astype(np.uint8)
-        return by_document(d[keep], k[keep], h[keep], a[keep], n[keep], kind[keep])
+        return by_group(d[keep], k[keep], h[keep], a[keep], n[keep], kind[keep], groups)
 
     dealt = texts.mapInArrow(deal, "bucket int, runs binary, docs binary")
-    return cut_lineage(dealt.groupBy("bucket").applyInArrow(settle, SPANS_TYPE))
+    return cut_lineage(dealt.groupBy("bucket").applyInArrow(settle, GROUPS_TYPE))
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,23 +305,18 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def spans_of(blobs: list[bytes]) -> list[np.ndarray]:
-    parts = [from_blob(b, [kind for _, kind in SPAN]) for b in blobs]
-    return [np.concatenate(v) for v in zip(*parts, strict=True)]
-
-
-def settled_ties(texts: DataFrame, found: DataFrame, buckets: int, length: int) -> DataFrame:
+def settled_ties(texts: DataFrame, found: DataFrame, buckets: int, groups: int, length: int) -> DataFrame:
     """The suffixes of tied runs that an earlier document has."""
-    tied = found.filter("ties > 0").groupBy("d", "k").agg(F.collect_list("spans").alias("spans"))
+    tied = found.filter("ties > 0").groupBy("g").applyInArrow(ties_of, SPANS_TYPE)
     joined = texts.join(tied, ["d", "k"])
 
     def fetch(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             out: list[tuple] = []
-            for d, k, text, blobs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("d", "k", "t", "spans")), strict=True):
+            for d, k, text, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("d", "k", "t", "spans")), strict=True):
                 raw = text.encode()
-                h, a, n, kind = spans_of(blobs)
-                for j in np.flatnonzero(kind == TIE).tolist():
+                h, a, n = from_blob(blob, (np.uint64, np.uint32, np.uint32))
+                for j in range(len(h)):
                     out.append((int(h[j] >> np.uint64(11)) % buckets, int(h[j].view(np.int64)), d, k, int(a[j]), raw[int(a[j]) : int(a[j] + n[j])]))
             if out:
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -287,42 +338,29 @@ def settled_ties(texts: DataFrame, found: DataFrame, buckets: int, length: int)
         hit = order[d[row[order]] > least]
         own = row[hit]
         place = (a[own] + starts[hit] - (np.cumsum(size) - size)[own]).astype(np.uint32)
-        return by_document(d[own], k[own], np.zeros(len(own), np.uint64), place, np.full(len(own), length, np.uint32), np.zeros(len(own), np.uint8))
+        none = np.full(len(own), COVERED, np.uint8)
+        return by_group(d[own], k[own], np.zeros(len(own), np.uint64), place, np.full(len(own), length, np.uint32), none, groups)
 
     pulled = joined.mapInArrow(fetch, "bucket int, h long, d long, k long, a int, run binary")
-    return pulled.groupBy("bucket").applyInArrow(settle, SPANS_TYPE)
-
-
-def merged(blobs: list[bytes] | None) -> np.ndarray:
-    """Disjoint covered stretches as rows ``start, end``."""
-    if not blobs:
-        return np.zeros((0, 2), np.int64)
-    _, a, n, kind = spans_of(blobs)
-    a, n = a[kind == COVERED].astype(np.int64), n[kind == COVERED].astype(np.int64)
-    order = np.argsort(a, kind="stable")
-    a, reach = a[order], np.maximum.accumulate((a + n)[order]) if len(a) else a
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] > reach[:-1]
-    begin = np.flatnonzero(new)
-    stop = np.concatenate([begin[1:], [len(a)]]) - 1 if len(a) else begin
-    return np.column_stack([a[begin], reach[stop]])
+    return pulled.groupBy("bucket").applyInArrow(settle, GROUPS_TYPE)
 
 
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, removed`` (stretches of bytes) and ``kept`` (the remaining bytes) for every row."""
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("d"), (F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF))).alias("k"), t.alias("t"), F.col(doc).cast("long").alias("id"))
-    buckets = max(1, math.ceil(size_of(docs, text)[1] / BUCKET_BYTES))
-    found = found_runs(texts, buckets, length, gram)
-    every = found.unionByName(settled_ties(texts, found, buckets, length)).groupBy("d", "k").agg(F.collect_list("spans").alias("spans"))
+    n_bytes = size_of(docs, text)[1]
+    buckets, groups = (max(1, math.ceil(n_bytes / size)) for size in (BUCKET_BYTES, GROUP_BYTES))
+    found = found_runs(texts, buckets, groups, length, gram)
+    every = found.unionByName(settled_ties(texts, found, buckets, groups, length)).groupBy("g").applyInArrow(stretches_of, SPANS_TYPE)
     joined = texts.join(every, ["d", "k"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in small(batches):
             ids, sizes, lost, kept = [], [], [], []
-            for i, raw, blobs in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for i, raw, blob in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = raw.encode()
-                cuts = merged(blobs).tolist()
+                cuts = list(zip(*(v.tolist() for v in from_blob(blob, (np.uint32, np.uint32))), strict=True)) if blob else []
                 edges = [0, *(x for pair in cuts for x in pair), len(raw)]
                 ids.append(i)
                 sizes.append(len(raw))

@@ -215,6 +215,7 @@ def test_suffixes_against_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(suffixes, "HEAVY", heavy)
     monkeypatch.setattr(suffixes, "SLICE", 4000)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 8000)
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 8000)
     df = brute.awkward(spark)
     rng = random.Random(9)
     more = [(100 + i, "".join(rng.choices("ab", k=10)) * rng.randint(1, 12) + "x" * rng.randint(0, 70), "", 0, "", 0.0, 0, "") for i in range(25)]
