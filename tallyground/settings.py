@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -48,12 +50,14 @@ class HotspotSettings:
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tallyground-")
+    folder = tempfile.mkdtemp(prefix="tallyground-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only in a local session
-    without that setting, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own, deleted at the end, only in a local
+    session without that setting, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
