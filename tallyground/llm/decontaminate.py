@@ -1,7 +1,8 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Every slice of the documents is a shard. Its words that the benchmark knows form a suffix array; all test suffixes
-are looked up in it by one vectorised binary search, which gives the longest verbatim match and every location.
+Every slice of the documents is a shard. Its words that the benchmark knows form a suffix array; the suffixes of the test
+set at the first place of each distinct window are looked up in it by one vectorised binary search, which gives every location
+of a window and, from that place, the longest verbatim match (which another place of the same window may exceed).
 The documents are scanned once and nothing is shuffled. The benchmark goes to the tasks in blocks of bounded size;
 a larger one takes more blocks within the same scan.
 

@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -406,6 +407,81 @@ def test_clauses_of_a_passage_inside_other_prose(spark):
     assert left[3] == ""
 
 
+def plain_clauses(rows, least=5):
+    """The registered mode, unit by unit: per row the spans of bytes that go."""
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+    def units_of(raw):
+        words = [(m.start(), m[0].lower() if m[0].isascii() else re.sub(rb"[A-Z]", lambda x: x[0].lower(), m[0])) for m in word.finditer(raw)]
+
+        def cut(marks):
+            begin = sorted({0} | {m.end() for m in re.finditer(rb"\n", raw)} | {m.start() + 1 for m in re.finditer(rb"[" + marks + rb"](?= )", raw)})
+            begin = [x for x in begin if x < len(raw)]
+            for a, b in zip(begin, [*begin[1:], len(raw)]):
+                inside = [k for k, (at, _) in enumerate(words) if a <= at < b]
+                if inside:
+                    yield a, b, inside[0], inside[-1] + 1
+
+        text = lambda lo, hi: tuple(w for _, w in words[lo:hi])
+        sentences = list(cut(rb".!?"))
+        out = [(a, True, a, b, text(lo, hi)) for a, b, lo, hi in sentences if hi - lo >= least]
+        clauses = list(cut(rb".!?,;:"))
+        long = [hi - lo >= least for *_, lo, hi in clauses]
+        for k, (a, b, lo, hi) in enumerate(clauses):
+            start, _, first, last = next(x for x in sentences if x[2] <= lo and hi <= x[3])
+            whole = (first, last) == (lo, hi)
+            if long[k]:
+                if not whole:
+                    out.append((start, False, a, b, text(lo, hi)))
+                continue
+            before = next((j for j in range(k - 1, -1, -1) if long[j]), None)
+            after = next((j for j in range(k + 1, len(clauses)) if long[j]), None)
+            if before is not None:
+                _, _, x, y = clauses[before]
+                out.append((start, whole, a, b, ("before", text(x, y), text(y, hi))))
+            if after is not None:
+                _, _, x, y = clauses[after]
+                out.append((start, whole, a, b, ("after", text(x, y), text(lo, x))))
+        return out
+
+    found = [(key(i), t, u) for i, t in rows for u in units_of((t or "").encode())]
+    first = {}
+    for d, _, (_, _, a, _, name) in found:
+        first[name] = min(first.get(name, (LAST + 1, 0)), (d, a))
+    gone = collections.defaultdict(lambda: collections.defaultdict(set))
+    for d, t, (start, whole, a, b, name) in found:
+        if (d, a) != first[name]:
+            gone[d, t][start].add((whole, a, b))
+    spans = {}
+    for place, by_sentence in gone.items():
+        every = []
+        for units in by_sentence.values():
+            whole = [u for u in units if u[0]]
+            every += [max(whole)[1:]] if whole else [u[1:] for u in units]
+        spans[place] = sorted(set(every))
+    return [spans.get((key(i), t), []) for i, t in rows]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_clauses_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    clause = lambda: " ".join(rng.choices(["one", "two", "Three", "four", "é5", "six"], k=rng.choice([1, 2, 3, 5, 6, 7])))
+    stock = [clause() for _ in range(14)]
+    made = ["".join(rng.choice(stock) + rng.choice([", ", "; ", ". ", "! ", ".\n", ",", ": "]) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    df = brute.awkward(spark, seed).unionByName(spark.createDataFrame([(500 + i, t, "", 0, "", 0.0, 0, "") for i, t in enumerate(made)], brute.SCHEMA))
+    rows = pairs(df)
+    want = {(i, t): spans for (i, t), spans in zip(rows, plain_clauses(rows), strict=True)}
+    got = substrings.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans, raw, at, left = want[r.record.doc_id, r.record.text], (r.record.text or "").encode(), 0, b""
+        assert [(s.a, s.b) for s in r.spans] == spans, r.record.doc_id
+        for a, b in spans:
+            left, at = left + raw[at:a], b
+        assert r.kept.encode() == left + raw[at:]
+    assert sum(len(s) for s in want.values()) > 200
+
+
 # Toxicity
 
 
