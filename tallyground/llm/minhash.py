@@ -38,6 +38,8 @@ from tallyground.operators.components import connected_components
 from tallyground.settings import cut_lineage
 
 SHINGLE = 5
+# Tokens before a common one that are compared to tell whether a pair was met earlier.
+BEFORE = 6
 SIMILARITY = 0.8
 # A pair of similarity 0.8 is missed by all bands with probability (1 - 0.8^4)^24, below 4 in a million.
 BANDS = 24
@@ -215,9 +217,10 @@ def rarity(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, bits: np.ndarray, shingle: int, least: float) -> DataFrame:
-    """``token, node, root, size, at, short``: the rarest tokens of a text, of which any similar one has one.
+    """``token, node, root, size, at, short, before``: the rarest tokens of a text, of which any similar one has one.
 
-    ``short`` marks those that are enough on the smaller side of a pair.
+    ``short`` marks those that are enough on the smaller side of a pair; ``before`` holds up to ``BEFORE`` tokens that come
+    right before.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]):
@@ -232,15 +235,20 @@ def prefixes(texts: DataFrame, bits: np.ndarray, shingle: int, least: float) ->
             # Two texts of similarity s share s of the larger one's size at least, and 2s / (1 + s) of the smaller one's.
             keep = at <= size - np.ceil(least * size - 1e-6)
             short = at <= size - np.ceil(2 * least / (1 + least) * size - 1e-6)
+            own = np.flatnonzero(keep)
+            n = np.minimum(at[own], BEFORE)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            before = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[tk.expand(own - n, n)].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key[keep].view(np.int64)), pa.array(tk.long_column(batch, "node")[doc[keep]]), pa.array(tk.long_column(batch, "root")[doc[keep]]),
-                    pa.array(size[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(short[keep]),
+                    pa.array(size[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(short[keep]), before,
                 ],
-                names=["token", "node", "root", "size", "at", "short"],
+                names=["token", "node", "root", "size", "at", "short", "before"],
             )
 
-    return texts.select("node", "root", "t").mapInArrow(scan, "token long, node long, root long, size int, at int, short boolean")
+    kinds = "token long, node long, root long, size int, at int, short boolean, before array<long>"
+    return texts.select("node", "root", "t").mapInArrow(scan, kinds)
 
 
 def across(texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -250,12 +258,14 @@ def across(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     # Tokens of one component only link nothing; what is left is joined on the token, where Spark splits hot ones.
     several = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     every = cut_lineage(every.join(several, "token"))
-    one = every.filter("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "at")))
+    one = every.filter("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "at", "before")))
     most = F.least("at", "x_at") + F.least(F.col("size") - F.col("at"), F.col("x_size") - F.col("x_at"))
     both = F.col("size") + F.col("x_size")
     ordered = (F.struct("x_size", "x_node") < F.struct("size", "node")) & (F.col("root") != F.col("x_root"))
     fits = (F.col("x_size") >= F.col("size") * least - 1e-6) & (most * (1 + least) >= both * least - 1e-6)
-    met = every.join(one, "token").filter(ordered & fits)
+    # A pair that shares a token right before this one is met there already, as its nodes are in different components; so a pair
+    # makes about one row, not one per common token.
+    met = every.join(one, "token").filter(ordered & fits & ~F.arrays_overlap("before", "x_before"))
     first = F.col("x_root") < F.col("root")
     sides = [F.when(first, F.col(f"x_{c}")).otherwise(F.col(c)) for c in ("node", "root")]
     others = [F.when(first, F.col(c)).otherwise(F.col(f"x_{c}")) for c in ("node", "root")]
