@@ -12,7 +12,9 @@ lines are judged on the input, not on what is left. Blank lines stay.
 4. Each line is compared with the first line of each of its shingles, after a length and a positional filter; what has no
    match there is compared with all earlier lines that share a prefix shingle. So a group of near copies costs a row per
    member, not per pair, and no match is lost.
-5. Pairs are verified on whole sets.
+5. Before a pair's whole sets are fetched, the prefix shingles that it shares are counted; with all that may lie beyond the
+   prefixes they must reach the overlap of a similar pair.
+6. Pairs are verified on whole sets.
 
 Cases: a null text has no lines; a null id comes after all others; rows of equal id rank by a hash of their text, and
 rows that are equal in both get the same result; an empty table gives an empty result; further columns are carried
@@ -21,6 +23,8 @@ along by ``remove_lines``, whatever their names, and ignored by ``removed_lines`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ TENTHS = 8
 RARITY_CLASSES = 1 << 16
 # A grade of commonness holds the classes with so many times the mean count.
 GRADES = (8, 64, 512)
+# A line is heavy if it makes more than one in so many of all lines.
+HEAVY = 4096
 LAST = (1 << 63) - 1
 
 
@@ -46,20 +52,24 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return every.filter("line <> ''").withColumn("node", F.xxhash64("line"))
 
 
-def shingled(lines: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and ``shingles``, the hashes of each line's shingles, never empty.
+def shingled(lines: DataFrame, *keep: str, key: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """``keep`` and ``shingles``, the keys of each line's shingles, never empty.
 
     Explode these with the outer functions: for the others Spark infers a filter on the size, and pushing it down puts the
     whole word list into the loop over its shingles, which makes a long line cost the square of its length.
     """
-    # A shingle's hash joins those of its words, each shifted by its place: two and two words, then four, then the fifth.
-    joined = lambda left, right, by: F.zip_with(left, right, lambda x, y: F.shiftleft(x, by).bitwiseXOR(y))
     n = F.size("words")
     words = lines.select(*keep, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
-    two = words.withColumn("two", joined(F.col("words"), F.slice("words", F.lit(2), n), 7))
-    four = two.withColumn("four", joined(F.col("two"), F.slice("two", F.lit(3), n), 14))
-    five = F.slice(joined(F.col("four"), F.slice("words", F.lit(SHINGLE), n), 7), F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1)))
-    return four.select(*keep, F.when(n <= SHINGLE, F.array(F.xxhash64("words"))).otherwise(five).alias("shingles"))
+
+    def joined(at: Column) -> Column:
+        # A shingle's hash joins those of its words, each shifted by its place: two and two words, then the fifth.
+        two = lambda k: F.shiftleft(F.get("words", at + k), 7).bitwiseXOR(F.get("words", at + k + 1))
+        five = F.shiftleft(F.shiftleft(two(0), 14).bitwiseXOR(two(2)), 7).bitwiseXOR(F.get("words", at + 4))
+        # Declared free of nulls, so that Spark sorts plain numbers.
+        return key(F.coalesce(five, F.lit(0)))
+
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), joined)
+    return words.select(*keep, F.when(n <= SHINGLE, F.array(key(F.xxhash64("words")))).otherwise(every).alias("shingles"))
 
 
 def rarity_class(shingle: Column) -> Column:
@@ -68,8 +78,8 @@ def rarity_class(shingle: Column) -> Column:
 
 def rarity(lines: DataFrame) -> list[list[int]]:
     """Per grade the hash classes whose shingles occur often. A grade holds at most ``RARITY_CLASSES / factor`` classes."""
-    counts = shingled(lines).select(F.explode_outer("shingles").alias("s")).groupBy(rarity_class(F.col("s")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts)
+    classes = shingled(lines, key=rarity_class).select(F.explode_outer("shingles").alias("c"))
+    counts = cut_lineage(classes.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / RARITY_CLASSES
     often = counts.filter(F.col("n") > max(2.0, mean) * GRADES[0]).collect()
     return [[r.c for r in often if r.n > max(2.0, mean) * factor] for factor in GRADES]
@@ -85,8 +95,7 @@ def ordered(lines: DataFrame, grades: list[list[int]], *keep: str) -> DataFrame:
                 grade = grade + F.when(rarity_class(s).isin(classes), 1).otherwise(0)
         return F.shiftleft(grade.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(s, 7))
 
-    keys = shingled(lines, *keep).select(*keep, F.transform("shingles", key).alias("keys"))
-    return keys.select(*keep, F.sort_array(F.array_distinct("keys")).alias("set"))
+    return shingled(lines, *keep, key=key).select(*keep, F.sort_array(F.array_distinct("shingles")).alias("set"))
 
 
 def tenths_up(n: Column) -> Column:
@@ -101,49 +110,103 @@ def may_match(size: Column, at: Column, other: Column, other_at: Column) -> Colu
     return (F.least(size, other) * 10 >= F.greatest(size, other) * TENTHS) & (most * (10 + TENTHS) >= (size + other) * TENTHS)
 
 
+def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``u, v`` with the named columns of both nodes, as ``a_`` and ``b_``."""
+    for end, mark in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{mark}_{c}") for c in columns)), end)
+    return pairs
+
+
+def reaches(both: Column, size: Column, other: Column) -> Column:
+    """Whether an overlap of ``both`` makes two sets similar: ``both / (size + other - both) >= TENTHS / 10``."""
+    return both * (10 + TENTHS) >= (size + other) * TENTHS
+
+
+def most_beyond(size: Column, other: Column) -> Column:
+    """The most shingles that two sets share besides those in both prefixes: what the larger one has after its prefix."""
+    return tenths_up(F.greatest(size, other)) - 1
+
+
+def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose shared prefix shingles, and all that may lie beyond the prefixes, reach the similarity."""
+    size, other = F.col("a_size"), F.col("b_size")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    most = F.least(shared + most_beyond(size, other), size, other)
+    return both_sides(pairs, nodes, "size", "tokens").filter(reaches(most, size, other)).select("u", "v")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` of nodes whose sets reach the similarity."""
-    one = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-    two = one.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return two.withColumn("both", both).filter(F.col("both") * 10 >= (F.size("a") + F.size("b") - F.col("both")) * TENTHS).select("u", "v")
+    """``node``: the later nodes ``u`` of the pairs ``u, v`` whose sets reach the similarity."""
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    found = both_sides(pairs, sets, "set").filter(reaches(both, F.size("a_set"), F.size("b_set")))
+    return found.select(F.col("u").alias("node")).distinct()
 
 
-def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``node``: texts of lines that have a similar, different line before their own first occurrence."""
+def whole_sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, grades: list[list[int]]) -> DataFrame:
+    """``node, set`` of the wanted nodes, cut anew from the document of their first occurrence."""
+    asked = firsts.join(wanted, "node").groupBy(F.col("first.d").alias("d"), F.col("first.k").alias("k")).agg(F.collect_set("first.nth").alias("nths"))
+    # A document that stands in the table several times gives its lines as often; one of each is enough.
+    lines = texts.join(asked, ["d", "k"]).select("nths", F.posexplode(F.split("t", "\n")).alias("nth", "line"))
+    lines = lines.filter(F.array_contains("nths", F.col("nth"))).withColumn("line", F.trim(F.lower("line"))).withColumn("node", F.xxhash64("line"))
+    return ordered(lines, grades, "node").dropDuplicates(["node"])
+
+
+def postings_of(texts: DataFrame, firsts: DataFrame, grades: list[list[int]]) -> DataFrame:
+    """``token, node, size, at, there``: prefix shingles that several nodes have, and how many."""
     lines = lines_of(texts)
-    counts = rarity(lines)
-    sized = ordered(lines, counts, "node").select("node", F.size("set").alias("size"), "set")
+    # A line with more than this share of all occurrences goes on from its first one only; there are at most HEAVY such lines.
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    heavy = cut_lineage(firsts.filter(F.col("n") > max(1, total // HEAVY)).select("node", F.col("first").alias("only")))
+    lines = lines.join(F.broadcast(heavy), "node", "left").filter(F.col("only").isNull() | (F.col("only") == F.struct("d", "k", "nth")))
+    sized = ordered(lines, grades, "node").select("node", F.size("set").alias("size"), "set")
     prefix = F.slice("set", F.lit(1), F.col("size") - tenths_up(F.col("size")) + 1)
     postings = sized.select("node", "size", F.posexplode_outer(prefix).alias("at", "token")).repartition("token")
     # The aggregate and the window need the rows of a token together, as they already are: no further shuffle.
     once = postings.groupBy("token", "node").agg(F.min("size").alias("size"), F.min("at").alias("at"))
-    nodes_there = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    shared = cut_lineage(once.withColumn("there", nodes_there).filter("there > 1"))
-    shared = cut_lineage(shared.join(firsts, "node"))
-    heads = shared.groupBy("token").agg(F.min(F.struct("first", "node", "size", "at")).alias("head"))
-    asked = shared.join(heads, "token").filter(F.col("node") != F.col("head.node"))
+    there = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    return once.withColumn("there", there).filter("there > 1")
+
+
+def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``node``: texts of lines that have a similar, different line before their own first occurrence."""
+    grades = rarity(lines_of(texts))
+    shared = postings_of(texts, firsts, grades).groupBy("node").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("at", "token", "there"))).alias("own")
+    )
+    # A row per node with its shared prefix shingles, which a line's length bounds.
+    nodes = cut_lineage(shared.join(firsts.select("node", "first"), "node").withColumn("tokens", F.col("own.token")))
+    # ``from`` counts the shared prefix shingles of the node from this one on.
+    each = nodes.select("node", "first", "size", F.size("own").alias("n"), F.posexplode("own").alias("nth", "one"))
+    each = each.select("node", "first", "size", "one.*", (F.col("n") - F.col("nth")).alias("from"))
+
+    # Every line with the first line of each of its shingles.
+    heads = each.groupBy("token").agg(F.min(F.struct("first", "node", "size", "at")).alias("head"))
+    asked = each.join(heads, "token").filter(F.col("node") != F.col("head.node"))
     fits = may_match(F.col("size"), F.col("at"), F.col("head.size"), F.col("head.at"))
-    pairs = cut_lineage(asked.filter(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
-
-    # Whole sets are fetched for lines in these pairs, and for those that may meet others than the first of a shingle.
-    crowded = shared.filter("there > 2")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowded.select("node")).distinct()
-    nodes = cut_lineage(shared.select("node", "first").distinct().join(wanted, "node", "left_semi"))
-    asked = nodes.groupBy(F.col("first.d").alias("d"), F.col("first.k").alias("k")).agg(F.collect_set("first.nth").alias("nths"))
-    fetched = texts.join(asked, ["d", "k"]).select("nths", F.posexplode(F.split("t", "\n")).alias("nth", "line")).filter(F.array_contains("nths", F.col("nth")))
-    fetched = fetched.withColumn("line", F.trim(F.lower("line"))).withColumn("node", F.xxhash64("line"))
-    sets = cut_lineage(ordered(fetched, counts, "node"))
-    if sets.count() > nodes.count():  # a document that stands in the table several times gave its lines as often
-        sets = cut_lineage(sets.groupBy("node").agg(F.first("set").alias("set")))
-    gone = cut_lineage(similar(pairs, sets).select(F.col("u").alias("node")).distinct())
-
-    left = crowded.join(gone, "node", "left_anti").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "first", "size", "at")))
-    earlier = F.col("first") < F.col("x_first")
-    fits = may_match(F.col("x_size"), F.col("x_at"), F.col("size"), F.col("at"))
-    more = left.join(crowded, "token").filter(earlier & fits).select(F.col("x_node").alias("u"), F.col("node").alias("v")).distinct()
-    more = more.join(pairs, ["u", "v"], "left_anti")
-    return gone.unionByName(similar(more, sets).select(F.col("u").alias("node")).distinct())
+    tried = cut_lineage(asked.filter(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
+    hopeful = cut_lineage(promising(tried, nodes))
+
+    # What has no match there, with all earlier lines. Bounds hold for a pair's first common shingle; a later one may fail them.
+    crowded = each.filter("there > 2").drop("there")
+
+    def with_all(left: DataFrame) -> DataFrame:
+        mine = crowded.join(left, "node", "left_semi").select("token", *(F.col(c).alias(f"x_{c}") for c in crowded.columns if c != "token"))
+        size, other = F.col("x_size"), F.col("size")
+        beyond = F.least(size - F.col("x_at"), other - F.col("at"))
+        most = F.least(beyond, F.least("x_from", "from") + most_beyond(size, other), size, other)
+        met = mine.join(crowded, "token").filter((F.col("first") < F.col("x_first")) & reaches(most, size, other))
+        met = met.select(F.col("x_node").alias("u"), F.col("node").alias("v")).distinct()
+        return promising(met.join(tried, ["u", "v"], "left_anti"), nodes)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return cut_lineage(similar(pairs, cut_lineage(whole_sets(texts, firsts, wanted, grades))))
+
+    hoping = hopeful.select(F.col("u").alias("node")).distinct()
+    rest = with_all(nodes.select("node").join(hoping, "node", "left_anti"))
+    gone = verified(cut_lineage(hopeful.unionByName(rest)))
+    missed = cut_lineage(with_all(hoping.join(gone, "node", "left_anti")))
+    return gone.unionByName(verified(missed))
 
 
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,9 +214,9 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     as copies of an earlier line or as similar to one."""
     texts = keyed(docs, doc, text)
     narrow = cut_lineage(lines_of(texts).select("d", "k", "nth", "node"))
-    firsts = cut_lineage(narrow.groupBy("node").agg(F.min(F.struct("d", "k", "nth")).alias("first")))
+    firsts = cut_lineage(narrow.groupBy("node").agg(F.min(F.struct("d", "k", "nth")).alias("first"), F.count(F.lit(1)).alias("n")))
     near = near_nodes(texts, firsts).withColumn("is_near", F.lit(True))
-    judged = narrow.join(firsts.join(near, "node", "left"), "node")
+    judged = narrow.join(firsts.drop("n").join(near, "node", "left"), "node")
     copy = F.col("first") != F.struct("d", "k", "nth")
     numbers = lambda what: F.array_sort(F.collect_set(F.when(what, F.col("nth"))))
     return judged.groupBy("d", "k").agg(
