@@ -89,13 +89,16 @@ def ordered(lines: DataFrame, grades: list[list[int]], *keep: str) -> DataFrame:
     """``keep`` and ``set``: the distinct shingle keys, rarest first."""
 
     def key(s: Column) -> Column:
+        # Each grade's classes are among those of the one before, so most shingles are looked up once.
         grade = F.lit(0)
-        for classes in grades:
+        for classes in reversed(grades):
             if classes:
-                grade = grade + F.when(rarity_class(s).isin(classes), 1).otherwise(0)
+                grade = F.when(rarity_class(s).isin(classes), grade + 1).otherwise(0)
         return F.shiftleft(grade.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(s, 7))
 
-    return shingled(lines, *keep, key=key).select(*keep, F.sort_array(F.array_distinct("shingles")).alias("set"))
+    # A loop of its own over the hashes: inside the other one each use of ``s`` would hash the shingle again.
+    keys = F.transform("shingles", key)
+    return shingled(lines, *keep).select(*keep, F.sort_array(F.array_distinct(keys)).alias("set"))
 
 
 def tenths_up(n: Column) -> Column:
