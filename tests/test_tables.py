@@ -16,6 +16,7 @@ from tallyground.operators import clean, lookup, merge, quality, sampling
 from tallyground.plans.daily import load
 from tallyground.plans.enrich import enrich
 from tallyground.plans.update import merged_table, update
+from tallyground.registry.cleaning import drop_null_offense
 from tallyground.settings import scratch_path, shared_folder
 from tallyground.sources import landing, store
 from tallyground.streaming import feeds
@@ -107,6 +108,17 @@ def test_lookup_duplicates_and_nulls(spark):
     assert lookup.unmatched_codes(rows, codes, "code", "CODE", "NAME").first().unmatched == 2
 
 
+def test_incidents_without_a_type_are_dropped(spark, tmp_path):
+    # Priorities 4 (a null name) and 5 (no code) have no type, order 97 has no readable code.
+    orders = [(1, 1, "1-URGENT"), (2, 1, "1-URGENT"), (3, 1, "2-HIGH"), (4, 1, "4-NOT"), (5, 1, "5-LOW"), (97, 1, "1-URGENT")]
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.lit(dt.datetime(1996, 1, 1))).write.parquet(f"{tmp_path}/orders.parquet")
+    customers = spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    rows = drop_null_offense(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [("1", 1, "URGENT"), ("2", 1, "URGENT"), ("3", 2, "HIGH")]
+
+
 def test_enrich(spark):
     values = {"INCIDENT_NUMBER": "I1", "OFFENSE_CODE": "00301", "DISTRICT": None, "Lat": "42.3", "Long": "-71.0",
               "OCCURRED_ON_DATE": "2024-02-01 10:00:00+00", "HOUR": "10"}
