@@ -482,6 +482,19 @@ def test_clauses_against_a_plain_version(spark, seed):
     assert sum(len(s) for s in want.values()) > 200
 
 
+def test_units_are_sent_once_and_a_common_one_once_a_task(spark):
+    # The plan scanned the texts twice and sent every unit of each as a row of its own.
+    common, rows = "this line stands in each of the documents", [(i, f"line {i} of this document is its own\nthis line stands in each of the documents") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    left = {r.record.doc_id: (len(r.spans), r.kept) for r in got.collect()}
+    assert left[0] == (0, rows[0][1]) and all(left[i] == (1, rows[i][1].removesuffix(common)) for i in range(1, 400))
+    sent = substrings.sent_units(substrings.keyed(df, "doc_id", "text"), "text", "line", 5, 3).filter("range < 3")
+    assert 401 <= sent.agg(F.sum(F.length("x") / 8)).first()[0] <= 404
+
+
 # Toxicity
 
 
