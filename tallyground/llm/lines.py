@@ -9,11 +9,13 @@ lines are judged on the input, not on what is left. Blank lines stay.
    table; a shingle's key is the grade of its class by count, then its hash.
 3. Prefix filter: similar lines share one of the first ``size - ceil(0.8 size) + 1`` shingles in that order. These are dealt by
    shingle, and only shingles of several nodes go on.
-4. Each line is compared with the first line of each of its shingles, after a length and a positional filter; what has no
-   match there is compared with all earlier lines that share a prefix shingle. So a group of near copies costs a row per
-   member, not per pair, and no match is lost.
-5. Before a pair's whole sets are fetched, the prefix shingles that it shares are counted; with all that may lie beyond the
-   prefixes they must reach the overlap of a similar pair.
+4. Each line is compared with the first line of each of its shingles and ``LEADERS - 1`` more that are earlier, after a length and a
+   positional filter; what has no match there is compared with all earlier lines that share a prefix shingle. So a group of
+   near copies costs some rows per member, not per pair, and no match is lost.
+5. Nodes with a shared prefix shingle are cut once more, to a sketch of their whole sets: ``64 * SKETCH`` bits, of which
+   every shingle turns over one. Two sets differ in at least as many shingles as their sketches differ in bits, so a pair whose
+   sketches differ too much is left out within the joins of step 4, and no similar one is. What stays counts the prefix shingles
+   that it shares; with all that may lie beyond the prefixes they must reach the overlap of a similar pair.
 6. Pairs are verified on whole sets.
 
 Cases: a null text has no lines; a null id comes after all others; rows of equal id rank by a hash of their text, and
@@ -38,6 +40,11 @@ RARITY_CLASSES = 1 << 16
 GRADES = (8, 64, 512)
 # A line is heavy if it makes more than one in so many of all lines.
 HEAVY = 4096
+# Lines of a shingle that its other lines are compared with first.
+LEADERS = 4
+# Words of 64 bits in the sketch of a set, a power of two.
+SKETCH = 4
+BITS = [f"bits{k}" for k in range(SKETCH)]
 LAST = (1 << 63) - 1
 
 
@@ -113,6 +120,24 @@ def may_match(size: Column, at: Column, other: Column, other_at: Column) -> Colu
     return (F.least(size, other) * 10 >= F.greatest(size, other) * TENTHS) & (most * (10 + TENTHS) >= (size + other) * TENTHS)
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """``node`` and the words of the sketch of its set."""
+
+    def word(k: int) -> Column:
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+        mine = lambda t: F.shiftright(t, 6).bitwiseAND(SKETCH - 1) == k
+        return F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: F.when(mine(t), bits.bitwiseXOR(bit(t))).otherwise(bits))
+
+    return sets.select("node", *(word(k).alias(name) for k, name in enumerate(BITS)))
+
+
+def alike_bits(size: Column, bits: list[Column], other: Column, other_bits: list[Column]) -> Column:
+    """Whether sets with such sketches can be similar: ``apart`` shingles in one of them only leave ``size + other - apart`` for
+    twice the overlap, which ``reaches`` compares."""
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits, other_bits, strict=True)), F.lit(0))
+    return (size + other - apart) * (10 + TENTHS) >= (size + other) * (2 * TENTHS)
+
+
 def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """``u, v`` with the named columns of both nodes, as ``a_`` and ``b_``."""
     for end, mark in (("u", "a"), ("v", "b")):
@@ -146,12 +171,11 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, grades: list[list[int]]) -> DataFrame:
-    """``node, set`` of the wanted nodes, cut anew from the document of their first occurrence."""
+    """``node, set`` of the wanted nodes, cut anew from the document of their first occurrence; as often as the table has it."""
     asked = firsts.join(wanted, "node").groupBy(F.col("first.d").alias("d"), F.col("first.k").alias("k")).agg(F.collect_set("first.nth").alias("nths"))
-    # A document that stands in the table several times gives its lines as often; one of each is enough.
     lines = texts.join(asked, ["d", "k"]).select("nths", F.posexplode(F.split("t", "\n")).alias("nth", "line"))
     lines = lines.filter(F.array_contains("nths", F.col("nth"))).withColumn("line", F.trim(F.lower("line"))).withColumn("node", F.xxhash64("line"))
-    return ordered(lines, grades, "node").dropDuplicates(["node"])
+    return ordered(lines, grades, "node")
 
 
 def postings_of(texts: DataFrame, firsts: DataFrame, grades: list[list[int]]) -> DataFrame:
@@ -176,16 +200,22 @@ def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = postings_of(texts, firsts, grades).groupBy("node").agg(
         F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("at", "token", "there"))).alias("own")
     )
+    shared = cut_lineage(shared.join(firsts.select("node", "first"), "node"))
+    sketches = sketched(whole_sets(texts, firsts, shared.select("node"), grades)).dropDuplicates(["node"])
     # A row per node with its shared prefix shingles, which a line's length bounds.
-    nodes = cut_lineage(shared.join(firsts.select("node", "first"), "node").withColumn("tokens", F.col("own.token")))
+    nodes = cut_lineage(shared.join(sketches, "node").withColumn("tokens", F.col("own.token")))
     # ``from`` counts the shared prefix shingles of the node from this one on.
-    each = nodes.select("node", "first", "size", F.size("own").alias("n"), F.posexplode("own").alias("nth", "one"))
-    each = each.select("node", "first", "size", "one.*", (F.col("n") - F.col("nth")).alias("from"))
-
-    # Every line with the first line of each of its shingles.
-    heads = each.groupBy("token").agg(F.min(F.struct("first", "node", "size", "at")).alias("head"))
-    asked = each.join(heads, "token").filter(F.col("node") != F.col("head.node"))
+    each = nodes.select("node", "first", "size", *BITS, F.size("own").alias("n"), F.posexplode("own").alias("nth", "one"))
+    each = each.select("node", "first", "size", *BITS, "one.*", (F.col("n") - F.col("nth")).alias("from"))
+    columns = lambda mark: [F.col(f"{mark}{c}") for c in BITS]
+
+    # Every line with the first line of each of its shingles, and some more.
+    one = F.struct("first", "node", "size", "at", *BITS)
+    chosen = [F.min(one), *(F.min_by(one, F.xxhash64(F.lit(k), "node")) for k in range(1, LEADERS))]
+    heads = each.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("heads"))
+    asked = each.join(heads, "token").withColumn("head", F.explode("heads")).filter(F.col("head.first") < F.col("first"))
     fits = may_match(F.col("size"), F.col("at"), F.col("head.size"), F.col("head.at"))
+    fits &= alike_bits(F.col("size"), columns(""), F.col("head.size"), columns("head."))
     tried = cut_lineage(asked.filter(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
     hopeful = cut_lineage(promising(tried, nodes))
 
@@ -197,13 +227,15 @@ def near_nodes(texts: DataFrame, firsts: DataFrame) -> DataFrame:
         size, other = F.col("x_size"), F.col("size")
         beyond = F.least(size - F.col("x_at"), other - F.col("at"))
         most = F.least(beyond, F.least("x_from", "from") + most_beyond(size, other), size, other)
-        met = mine.join(crowded, "token").filter((F.col("first") < F.col("x_first")) & reaches(most, size, other))
+        earlier = F.col("first") < F.col("x_first")
+        met = mine.join(crowded, "token").filter(earlier & reaches(most, size, other) & alike_bits(size, columns("x_"), other, columns("")))
         met = met.select(F.col("x_node").alias("u"), F.col("node").alias("v")).distinct()
         return promising(met.join(tried, ["u", "v"], "left_anti"), nodes)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return cut_lineage(similar(pairs, cut_lineage(whole_sets(texts, firsts, wanted, grades))))
+        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        # A document that stands in the table several times gives its lines as often; one of each is enough.
+        return cut_lineage(similar(pairs, cut_lineage(whole_sets(texts, firsts, wanted, grades).dropDuplicates(["node"]))))
 
     hoping = hopeful.select(F.col("u").alias("node")).distinct()
     rest = with_all(nodes.select("node").join(hoping, "node", "left_anti"))
