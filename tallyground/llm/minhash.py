@@ -13,7 +13,7 @@ texts, and classes are the connected components.
    pairs grow with its members; ``TURNS`` times it then draws further leaders, if its members are in several components.
 2. Larger buckets that still hold several components are settled exactly: their members are joined on the rare shingles that
    two similar texts must share (prefix filter, each occurrence of a shingle counts), where their components differ and
-   sizes and places leave room for the similarity. One pair for each two components is verified first, then all pairs
+   sizes, places and sketches of all tokens leave room for the similarity. One pair for each two components is verified first, then all pairs
    whose components that has not joined. So no link of a bucket is lost. Members that are nearly similar, but in a component
    each, cost a comparison per pair that shares such a shingle.
 
@@ -49,6 +49,9 @@ LEADERS = 3
 TURNS = 2
 # Members of a bucket whose pairs are all verified at once.
 SMALL = 8
+# Words of 64 bits in the sketch of an unsettled text.
+SKETCH = 8
+BITS = [f"bits{k}" for k in range(SKETCH)]
 # Hash classes in which shingles are counted to order them by rarity, and the bits of a shingle's key below its rarity.
 RARITY_CLASSES = 1 << 20
 RARITY_SHIFT = 58
@@ -220,12 +223,16 @@ def prefixes(texts: DataFrame, bits: np.ndarray, shingle: int, least: float) ->
     """``token, node, root, size, at, short, before``: the rarest tokens of a text, of which any similar one has one.
 
     ``short`` marks those that are enough on the smaller side of a pair; ``before`` holds up to ``BEFORE`` tokens that come
-    right before.
+    right before. ``bits`` is a sketch of all tokens, each of which turns over one bit: two texts differ in at least as many
+    tokens as bits.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]):
         for batch, data, offsets in tk.slices(batches, "t"):
             doc, token = tokens(data, offsets, shingle)
+            wide = 64 * SKETCH
+            turned = np.bincount(doc * wide + (token % _U(wide)).astype(np.int64), minlength=batch.num_rows * wide) & 1
+            sketch = np.packbits(turned.astype(bool).reshape(-1, wide), axis=1).view(np.int64)
             key = (bits[(token % _U(RARITY_CLASSES)).astype(np.int64)].astype(_U) << _U(RARITY_SHIFT)) | (token >> _U(64 - RARITY_SHIFT))
             order = np.lexsort((key, doc))
             doc, key = doc[order], key[order]
@@ -243,11 +250,12 @@ def prefixes(texts: DataFrame, bits: np.ndarray, shingle: int, least: float) ->
                 [
                     pa.array(key[keep].view(np.int64)), pa.array(tk.long_column(batch, "node")[doc[keep]]), pa.array(tk.long_column(batch, "root")[doc[keep]]),
                     pa.array(size[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(short[keep]), before,
+                    *(pa.array(sketch[doc[keep], k]) for k in range(SKETCH)),
                 ],
-                names=["token", "node", "root", "size", "at", "short", "before"],
+                names=["token", "node", "root", "size", "at", "short", "before", *BITS],
             )
 
-    kinds = "token long, node long, root long, size int, at int, short boolean, before array<long>"
+    kinds = "token long, node long, root long, size int, at int, short boolean, before array<long>" + "".join(f", {c} long" for c in BITS)
     return texts.select("node", "root", "t").mapInArrow(scan, kinds)
 
 
@@ -258,11 +266,14 @@ def across(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     # Tokens of one component only link nothing; what is left is joined on the token, where Spark splits hot ones.
     several = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     every = cut_lineage(every.join(several, "token"))
-    one = every.filter("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "at", "before")))
+    one = every.filter("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "at", "before", *BITS)))
     most = F.least("at", "x_at") + F.least(F.col("size") - F.col("at"), F.col("x_size") - F.col("x_at"))
     both = F.col("size") + F.col("x_size")
     ordered = (F.struct("x_size", "x_node") < F.struct("size", "node")) & (F.col("root") != F.col("x_root"))
     fits = (F.col("x_size") >= F.col("size") * least - 1e-6) & (most * (1 + least) >= both * least - 1e-6)
+    # Texts that differ in so many tokens share half of the others at most.
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in BITS), F.lit(0))
+    fits &= apart * (1 + least) <= both * (1 - least) + 1e-6
     # A pair that shares a token right before this one is met there already, as its nodes are in different components; so a pair
     # makes about one row, not one per common token.
     met = every.join(one, "token").filter(ordered & fits & ~F.arrays_overlap("before", "x_before"))

@@ -286,6 +286,23 @@ def test_lines_against_brute_force(spark):
     assert lines.remove_lines(empty(spark)).count() == 0
 
 
+def test_sketches_leave_out_no_similar_lines(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        one = [rng.randrange(1 << 60) for _ in range(rng.choice([1, 5, 9, 30, 80]))]
+        other = [t if rng.random() < rng.choice([0.7, 0.9, 0.97]) else rng.randrange(1 << 60) for t in one] + [rng.randrange(1 << 60) for _ in range(rng.randint(0, 3))]
+        rows.append((i, one, other))
+    df = spark.createDataFrame(rows, "node long, one array<long>, other array<long>")
+    a, b = (lines.sketched(df.select("node", F.col(c).alias("set"))).toDF("node", *(f"{c}{k}" for k in range(lines.SKETCH))) for c in ("one", "other"))
+    columns = lambda c: [F.col(f"{c}{k}") for k in range(lines.SKETCH)]
+    fits = lines.alike_bits(F.size("one"), columns("one"), F.size("other"), columns("other"))
+    got = {r.node: r.fits for r in df.join(a, "node").join(b, "node").select("node", fits.alias("fits")).collect()}
+    alike = {i: len({*one} & {*other}) >= 0.8 * len({*one} | {*other}) for i, one, other in rows}
+    assert all(got[i] for i in alike if alike[i]) and sum(alike.values()) > 40
+    assert sum(not got[i] for i in alike if not alike[i]) > 0.7 * sum(not v for v in alike.values())
+
+
 # Decontamination
 
 
@@ -355,6 +372,24 @@ def test_minhash_joins_families_by_single_links(spark):
     assert {r.class_d for r in minhash.classes(df).collect()} == {0}
 
 
+def test_join_on_rare_shingles_leaves_out_unlike_texts(spark):
+    # All texts share 60 of about 100 words, so their rare shingles meet, yet few pairs are similar; before, such a pair made a row.
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(60):
+        text = base[:60] + [f"own{i}x{k}" for k in range(30 if i % 10 else 8)]
+        rows.append((i, i, " ".join(text)))
+        if i % 10 == 0:
+            text[rng.randrange(60)] = "changed"
+            rows.append((1000 + i, 1000 + i, " ".join(text)))
+    sets = {i: brute.shingles(t) for i, _, t in rows}
+    share = lambda i, j: (sets[i] & sets[j]).total() / (sets[i] | sets[j]).total()
+    want = {frozenset((i, j)) for i in sets for j in sets if i < j and share(i, j) >= 0.8}
+    df = spark.createDataFrame(rows, "node long, root long, t string")
+    got = {frozenset((r.u, r.v)) for r in minhash.across(df, minhash.SHINGLE, 0.8).collect()}
+    assert want and want <= got and len(got) <= 2 * len(want)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     element = np.arange(300, dtype=np.uint64) * np.uint64(7919)
