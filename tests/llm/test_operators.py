@@ -373,7 +373,7 @@ def test_minhash_joins_families_by_single_links(spark):
 
 
 def test_join_on_rare_shingles_leaves_out_unlike_texts(spark):
-    # All texts share 60 of about 100 words, so their rare shingles meet, yet few pairs are similar; before, such a pair made a row.
+    # All texts share 60 of about 100 words, so their rare shingles meet, yet few pairs are similar.
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(100)], []
     for i in range(60):
