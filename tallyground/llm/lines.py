@@ -36,6 +36,8 @@ SHINGLE = 5
 # The least similarity as tenths, so that all bounds are exact integers.
 TENTHS = 8
 RARITY_CLASSES = 1 << 16
+# The bits of a shingle's hash from this one on depend on each of its words.
+MIXED = 28
 # A grade of commonness holds the classes with so many times the mean count.
 GRADES = (8, 64, 512)
 # A line is heavy if it makes more than one in so many of all lines.
@@ -124,8 +126,10 @@ def sketched(sets: DataFrame) -> DataFrame:
     """``node`` and the words of the sketch of its set."""
 
     def word(k: int) -> Column:
-        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-        mine = lambda t: F.shiftright(t, 6).bitwiseAND(SKETCH - 1) == k
+        # A key has lost the lowest 7 bits of the hash. Lower bits of it would be the same for shingles that differ in an
+        # early word only, which would then cancel each other.
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, MIXED - 7).bitwiseAND(63).cast("int"))
+        mine = lambda t: F.shiftright(t, MIXED - 1).bitwiseAND(SKETCH - 1) == k
         return F.aggregate("set", F.lit(0).cast("long"), lambda bits, t: F.when(mine(t), bits.bitwiseXOR(bit(t))).otherwise(bits))
 
     return sets.select("node", *(word(k).alias(name) for k, name in enumerate(BITS)))
