@@ -25,8 +25,6 @@ along by ``remove_lines``, whatever their names, and ignored by ``removed_lines`
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,33 +59,49 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return every.filter("line <> ''").withColumn("node", F.xxhash64("line"))
 
 
-def shingled(lines: DataFrame, *keep: str, key: Callable[[Column], Column] = lambda s: s) -> DataFrame:
-    """``keep`` and ``shingles``, the keys of each line's shingles, never empty.
+def word_hashes(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``words``, a hash of each word of the lines."""
+    cut = F.split("line", " ")
+    # The line is trimmed, so only blanks side by side leave empty words.
+    words = F.when(F.contains("line", F.lit("  ")), F.array_remove(cut, "")).otherwise(cut)
+    return lines.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+
+
+def last_shingle() -> Column:
+    """The place of the last shingle of ``words``, from 0."""
+    return F.greatest(F.size("words") - SHINGLE, F.lit(0))
+
+
+def shingle_at(at: Column) -> Column:
+    """The shingle of ``words`` at a place. Its hash joins those of its words, each shifted by its place: two and two
+    words, then the fifth. Only the bits from ``MIXED`` on depend on all five words."""
+    word = lambda k: F.get("words", at + k if k else at)
+    two = lambda k: F.shiftleft(word(k), 7).bitwiseXOR(word(k + 1))
+    five = F.shiftleft(F.shiftleft(two(0), 14).bitwiseXOR(two(2)), 7).bitwiseXOR(word(4))
+    # Declared free of nulls, so that Spark sorts plain numbers.
+    return F.coalesce(five, F.lit(0))
+
+
+def shingled(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``shingles``, the hashes of each line's shingles, never empty.
 
     Explode these with the outer functions: for the others Spark infers a filter on the size, and pushing it down puts the
     whole word list into the loop over its shingles, which makes a long line cost the square of its length.
     """
-    n = F.size("words")
-    words = lines.select(*keep, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
-
-    def joined(at: Column) -> Column:
-        # A shingle's hash joins those of its words, each shifted by its place: two and two words, then the fifth.
-        two = lambda k: F.shiftleft(F.get("words", at + k), 7).bitwiseXOR(F.get("words", at + k + 1))
-        five = F.shiftleft(F.shiftleft(two(0), 14).bitwiseXOR(two(2)), 7).bitwiseXOR(F.get("words", at + 4))
-        # Declared free of nulls, so that Spark sorts plain numbers.
-        return key(F.coalesce(five, F.lit(0)))
-
-    every = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), joined)
-    return words.select(*keep, F.when(n <= SHINGLE, F.array(key(F.xxhash64("words")))).otherwise(every).alias("shingles"))
+    every = F.transform(F.sequence(F.lit(0), last_shingle()), shingle_at)
+    return word_hashes(lines, *keep).select(*keep, F.when(F.size("words") <= SHINGLE, F.array(F.xxhash64("words"))).otherwise(every).alias("shingles"))
 
 
 def rarity_class(shingle: Column) -> Column:
-    return F.pmod(shingle, F.lit(RARITY_CLASSES)).cast("int")
+    return F.shiftright(shingle, MIXED).bitwiseAND(RARITY_CLASSES - 1).cast("int")
 
 
 def rarity(lines: DataFrame) -> list[list[int]]:
     """Per grade the hash classes whose shingles occur often. A grade holds at most ``RARITY_CLASSES / factor`` classes."""
-    classes = shingled(lines, key=rarity_class).select(F.explode_outer("shingles").alias("c"))
+    # A row per place: the hashes are made in compiled code, not in a loop over an array.
+    places = word_hashes(lines).select("words", F.explode_outer(F.sequence(F.lit(0), last_shingle())).alias("at"))
+    shingle = F.when(F.size("words") <= SHINGLE, F.xxhash64("words")).otherwise(shingle_at(F.col("at")))
+    classes = places.select(rarity_class(shingle).alias("c"))
     counts = cut_lineage(classes.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / RARITY_CLASSES
     often = counts.filter(F.col("n") > max(2.0, mean) * GRADES[0]).collect()
